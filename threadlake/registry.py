@@ -1,11 +1,408 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries over the driver's tables, and the DuckDB SQL that says the same."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .functions import scalar, sections
+from .functions.tokens import tokens
+from .operators import browse, dml, ingest, paging, search, usage
+from .plans.tables import EPOCH, RATES, Tables
+from .sources import adapters
+from .streaming import tail
 
-def oracle_sql() -> dict:
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+BASE = f"""
+message AS (
+  SELECT ({EPOCH} + conv_id * 60000 + turn * 1000) * 1048576 AS id, conv_id // 10 AS source_file_id, conv_id AS session_id,
+         ['claude', 'codex', 'gemini', 'other'][(conv_id // 10) % 4 + 1] AS agent, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
+         'turn-' || turn AS source_key, role, {EPOCH} + conv_id * 60000 + turn * 1000 AS ts, coalesce(text, '') AS prose, length(text) AS char_count,
+         coalesce(length(text) % 11 = 0, false) AS has_error, turn % 5 = 4 AS is_sidechain
+  FROM conversations),
+flat AS (SELECT *, trim(regexp_replace(prose, '\\s+', ' ', 'g')) AS f FROM message),
+session AS (
+  SELECT session_id AS id, source_file_id, agent, min(ts) AS started_at, max(ts) AS last_activity_at, count(*) AS message_count, bool_or(has_error) AS had_error,
+         arg_min(CASE WHEN length(f) > 160 THEN left(f, 159) || '…' ELSE f END, seq) FILTER (role = 'user' AND prose <> '') AS first_user_message,
+         source_file_id % 7 AS project_id, 'conv-' || session_id AS external_id
+  FROM flat GROUP BY session_id, source_file_id, agent),
+file_id AS (SELECT DISTINCT conv_id // 10 AS id FROM conversations),
+source_file AS (SELECT id, id % 4 + 1 AS root_id, ['claude', 'codex', 'gemini', 'other'][id % 4 + 1] AS agent, '/logs/' || ['claude', 'codex', 'gemini', 'other'][id % 4 + 1] || '/f' || id || '.jsonl' AS path, CASE WHEN id % 5 = 0 THEN 'unreadable' END AS last_error FROM file_id),
+adapter_health AS (SELECT id AS source_file_id, {EPOCH} + id AS last_success_ms, CASE WHEN id % 6 = 1 THEN 'bad line' END AS last_error FROM file_id WHERE id % 3 <> 0),
+scan_error AS (SELECT id, id % 4 + 1 AS root_id, 'sub' || id AS relative_scope, 'permission denied' AS error FROM file_id WHERE id % 4 < 2 AND id % 8 < 5),
+project AS (SELECT DISTINCT id % 7 AS id, '/work/proj' || id % 7 AS canonical_key, 'Proj' || id % 7 AS display_name FROM file_id),
+root(id, agent, path) AS (VALUES (1, 'claude', '/logs/claude'), (2, 'codex', '/logs/codex'), (3, 'gemini', '/logs/gemini'), (4, 'other', '/logs/other')),
+observation AS (
+  SELECT event_id AS id, ['claude', 'codex', 'gemini'][user_id % 3 + 1] AS agent, user_id || ':' || coalesce(json_extract_string(props, '$.k'), 'none') AS dedupe_key, epoch_us(ts) // 1000 AS ts, user_id % 7 AS project_id,
+         event_type AS model, event_id % 4 = 0 AS is_sidechain, event_id % 1000 AS input_tokens, CASE WHEN event_id % 10 <> 0 THEN floor(value * 100)::BIGINT END AS output_tokens,
+         CASE WHEN event_type <> 'purchase' THEN event_id % 7 END AS cache_write_tokens, event_id % 300 AS cache_read_tokens, CASE WHEN event_id % 3 = 0 THEN event_id % 50 END AS reasoning_tokens
+  FROM events),
+canonical AS (
+  SELECT agent, dedupe_key, row_number() OVER (PARTITION BY agent, dedupe_key ORDER BY coalesce(output_tokens, -1) DESC, id DESC) AS rn, ts, project_id, model, is_sidechain,
+         max(input_tokens) OVER w AS input_tokens, max(output_tokens) OVER w AS output_tokens, max(cache_write_tokens) OVER w AS cache_write_tokens, max(cache_read_tokens) OVER w AS cache_read_tokens, max(reasoning_tokens) OVER w AS reasoning_tokens
+  FROM observation WINDOW w AS (PARTITION BY agent, dedupe_key)),
+daily AS (
+  SELECT strftime(make_timestamp((ts // 1000) * 1000000), '%Y-%m-%d') AS day, project_id, model, is_sidechain, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens,
+         sum(coalesce(cache_write_tokens, 0))::BIGINT AS cache_write_tokens, sum(coalesce(cache_read_tokens, 0))::BIGINT AS cache_read_tokens, sum(coalesce(reasoning_tokens, 0))::BIGINT AS reasoning_tokens
+  FROM canonical WHERE rn = 1 GROUP BY ALL),
+rate(model_pattern, input, output, cache_write, cache_read, extra, includes, unmetered) AS (VALUES {", ".join("(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" if i == 0 else f"{x}::DECIMAL(12,6)" for i, x in enumerate(r)) + ")" for r in RATES)}),
+rated AS (
+  SELECT d.*, r.* EXCLUDE (model_pattern), r.model_pattern, row_number() OVER (PARTITION BY day, project_id, model, is_sidechain ORDER BY CASE WHEN r.model_pattern LIKE '%*' THEN length(r.model_pattern) - 1 ELSE length(r.model_pattern) + 10000 END DESC) AS best
+  FROM daily d LEFT JOIN rate r ON CASE WHEN r.model_pattern LIKE '%*' THEN starts_with(lower(d.model), lower(left(r.model_pattern, length(r.model_pattern) - 1))) ELSE lower(d.model) = lower(r.model_pattern) END),
+priced AS (
+  SELECT *, CASE WHEN includes THEN greatest(0, input_tokens - cache_read_tokens) ELSE input_tokens END AS net_input FROM rated WHERE best = 1),
+estimate AS (
+  SELECT day, project_id, model, is_sidechain,
+         CASE WHEN model_pattern IS NULL THEN 'unavailable' WHEN unmetered THEN 'unmetered'
+              WHEN (net_input > 0 AND input IS NULL) OR (output_tokens > 0 AND output IS NULL) OR (cache_write_tokens > 0 AND cache_write IS NULL) OR (cache_read_tokens > 0 AND cache_read IS NULL) THEN 'unavailable' ELSE 'estimated' END AS status,
+         (net_input * coalesce(input, 0) + output_tokens * coalesce(output, 0) + cache_write_tokens * coalesce(cache_write, 0) + cache_read_tokens * coalesce(cache_read, 0) + reasoning_tokens * coalesce(extra, 0))::DOUBLE / 1000000 AS dollars
+  FROM priced),
+conv_token AS (SELECT id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM (SELECT id, regexp_extract_all(translate(lower(prose), 'äçèéêíñóöü', 'aceeeinoou'), '[\\p{{L}}\\p{{N}}]+') AS words FROM message)),
+doc_token AS (SELECT id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM (SELECT doc_id AS id, regexp_extract_all(translate(lower(text), 'äçèéêíñóöü', 'aceeeinoou'), '[\\p{{L}}\\p{{N}}]+') AS words FROM documents WHERE trim(text) <> ''))
+"""
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = f"WITH {BASE} {sql}" if not sql.lstrip().startswith("--plain") else sql.replace("--plain", "", 1)
+        return f
+
+    return add
+
+
+def _corpus(t: Tables) -> DataFrame:
+    s = t.session().select(F.col("id").alias("session_id"), "had_error", "project_id", "external_id")
+    p = t.project().select(F.col("id").alias("project_id"), F.col("canonical_key").alias("project_key"))
+    return t.message().join(s, "session_id").join(p, "project_id")
+
+
+def _found(t: Tables, text: str, **options) -> DataFrame:
+    postings, lengths = search.build_index(t.message(), text=F.col("prose"))
+    return search.search(_corpus(t), postings, lengths, t.supported(), text, **options)
+
+
+_MATCH = """, hit AS (SELECT id FROM conv_token WHERE starts_with(token, 'th') INTERSECT SELECT id FROM conv_token WHERE token = 'and')
+SELECT m.id, m.session_id, m.ts, m.role, m.agent FROM message m JOIN session s ON s.id = m.session_id JOIN hit ON hit.id = m.id WHERE m.agent <> 'other' {} ORDER BY m.ts DESC, m.id DESC LIMIT {}"""
+_RESULT = ("id", "session_id", "ts", "role", "agent")
+
+
+@register(_MATCH.format("", 200))
+def q1_search_recency(t):
+    return _found(t, 'th "and"').select(*_RESULT)
+
+
+CURSOR_TS = EPOCH + 60 * 60_000
+
+
+@register(_MATCH.format(f"AND (m.ts < {CURSOR_TS} OR (m.ts = {CURSOR_TS} AND m.id < {CURSOR_TS * 1048576}))", 50))
+def q1_search_next_page(t):
+    return _found(t, 'th "and"', cursor=(CURSOR_TS, CURSOR_TS * 1048576), limit=50).select(*_RESULT)
+
+
+@register(_MATCH.format(f"AND m.agent IN ('claude', 'codex') AND m.ts >= {EPOCH + 600000} AND m.ts <= {EPOCH + 5400000} AND (m.has_error OR s.had_error)", 200))
+def q1_search_filtered(t):
+    return _found(t, 'th "and"', agents=["claude", "codex"], since=EPOCH + 600_000, until=EPOCH + 5_400_000, errors_only=True).select(*_RESULT)
+
+
+_BM25 = """, starts AS (
+  SELECT 0 AS phrase, id, pos AS start FROM doc_token WHERE token = 'the'
+  UNION ALL SELECT 1, a.id, a.pos FROM doc_token a JOIN doc_token b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND starts_with(b.token, 't')),
+tf AS (SELECT phrase, id, count(*) AS tf FROM starts GROUP BY ALL),
+len AS (SELECT id, count(*) AS n FROM doc_token GROUP BY id),
+corpus AS (SELECT count(*) AS total, (SELECT avg(coalesce(n, 0)) FROM documents d LEFT JOIN len ON len.id = d.doc_id WHERE trim(text) <> '') AS avg_len FROM documents WHERE trim(text) <> ''),
+df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY phrase),
+idf AS (SELECT phrase, CASE WHEN ln((total - df + 0.5) / (df + 0.5)) > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, corpus),
+score AS (SELECT id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))) AS score FROM tf JOIN idf USING (phrase) JOIN len USING (id), corpus GROUP BY id HAVING count(*) = 2)
+SELECT id, round(score, 9) AS score FROM score ORDER BY score, id DESC LIMIT 200"""
+
+
+@register(_BM25)
+def q2_search_relevance(t):
+    docs = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
+    postings, lengths = search.build_index(docs)
+    scored = search.bm25(postings, lengths, search.parse_query('"the" "of t"')[:1] + [search.Phrase(("of", "t"), True)])
+    return scored.orderBy("score", F.col("id").desc()).limit(200).select("id", F.round("score", 9).alias("score"))
+
+
+@register("SELECT p.id, canonical_key, display_name, count(*) AS session_count, coalesce(max(last_activity_at), 0) AS last_activity_at FROM project p JOIN session s ON s.project_id = p.id WHERE s.agent <> 'other' GROUP BY ALL")
+def q3_projects(t):
+    return browse.projects(t.project(), t.session(), t.supported())
+
+
+def _summaries(t: Tables) -> DataFrame:
+    return browse.summaries(t.session(), t.source_file(), t.project(), t.root(), t.supported())
+
+
+_SUMMARY = "SELECT s.id, external_id, canonical_key AS project_key, f.path, r.path AS root_path, coalesce(first_user_message, 'Untitled session') AS resolved_title, started_at, last_activity_at, message_count, had_error FROM session s JOIN source_file f ON f.id = source_file_id JOIN project p ON p.id = project_id LEFT JOIN root r ON r.id = root_id WHERE s.agent <> 'other'"
+_SUMMARY_COLS = ("id", "external_id", "project_key", "path", "root_path", "resolved_title", "started_at", "last_activity_at", "message_count", "had_error")
+
+
+@register(f"{_SUMMARY} ORDER BY last_activity_at DESC, s.id DESC LIMIT 500")
+def q4_sessions(t):
+    return paging.page(_summaries(t), paging.SESSION_KEYS, paging.UNPAGED).select(*_SUMMARY_COLS)
+
+
+@register(f"{_SUMMARY} AND canonical_key = '/work/proj1' AND (last_activity_at, s.id) < ({EPOCH + 5_000_000}, 80) ORDER BY last_activity_at DESC, s.id DESC LIMIT 5")
+def q5_sessions_page(t):
+    key = "/work/proj1"
+    return paging.sessions_page(_summaries(t), key, 5, (key, EPOCH + 5_000_000, 80)).select(*_SUMMARY_COLS)
+
+
+@register(f", top AS ({_SUMMARY} ORDER BY last_activity_at DESC, s.id DESC LIMIT 20) SELECT * FROM top UNION SELECT * FROM ({_SUMMARY} AND s.id = 2)")
+def q5_session_snapshot(t):
+    return paging.snapshot(_summaries(t), 2, ensure_id=2, size=10).select(*_SUMMARY_COLS)
+
+
+@register("SELECT count(*) AS sessions FROM session WHERE agent <> 'other'")
+def q5_sidebar_total(t):
+    return browse.sidebar_total(browse.projects(t.project(), t.session(), t.supported()))
+
+
+@register(f"{_SUMMARY} AND s.id = 11")
+def q6_session(t):
+    return _summaries(t).where(F.col("id") == 11).select(*_SUMMARY_COLS)
+
+
+@register("SELECT id, seq, role, ts, prose, has_error FROM message WHERE session_id = 11")
+def q7_transcript(t):
+    return browse.transcript(t.message(), 11).select("id", "seq", "role", "ts", "prose", "has_error")
+
+
+@register("SELECT session_id, source_key, ts, 'tool' AS kind, CASE WHEN length(f) > 40 THEN left(f, 39) || '…' ELSE f END AS detail FROM flat WHERE has_error AND seq % 2 = 0")
+def q8_failures(t):
+    return browse.failures(t.failure())
+
+
+@register("SELECT * FROM daily")
+def q9_usage_daily(t):
+    return usage.daily(t.observations())
+
+
+@register("SELECT day, 'Proj' || project_id AS project, model, is_sidechain, input_tokens, output_tokens FROM daily WHERE day >= '2024-01-03' AND day <= '2024-01-20' AND NOT is_sidechain")
+def q10_usage(t):
+    return usage.usage(usage.daily(t.observations()), t.usage_project(), "2024-01-03", "2024-01-20", sidechains=False).select("day", "project", "model", "is_sidechain", "input_tokens", "output_tokens")
+
+
+@register("SELECT day, project_id, model, is_sidechain, status, CASE WHEN status = 'estimated' THEN round(dollars, 9) END AS amount FROM estimate")
+def q11_costs(t):
+    out = usage.estimate(usage.daily(t.observations()), t.rates())
+    return out.select("day", "project_id", "model", "is_sidechain", "status", F.round(F.col("amount").cast("double"), 9).alias("amount"))
+
+
+@register("SELECT round(sum(dollars) FILTER (status = 'estimated'), 4) AS amount, count(DISTINCT model) FILTER (status = 'unavailable') AS unavailable_models FROM estimate")
+def q11_cost_totals(t):
+    out = usage.totals(usage.estimate(usage.daily(t.observations()), t.rates()))
+    return out.select(F.round(F.col("amount").cast("double"), 4).alias("amount"), "unavailable_models")
+
+
+@register("SELECT (SELECT count(*) FROM source_file WHERE agent <> 'other') AS files, count(DISTINCT project_id) AS projects, count(*) AS sessions, sum(message_count)::BIGINT AS messages FROM session WHERE agent <> 'other'")
+def q12_statistics(t):
+    return browse.statistics(t.source_file(), t.session(), t.supported())
+
+
+@register("""SELECT r.id AS root_id, r.agent, r.path, scan_error, coalesce(scan_errors, 0) AS scan_errors, coalesce(files, 0) AS files, file_error, coalesce(failed_files, 0) AS failed_files, last_success_ms, coalesce(sessions, 0) AS sessions, first_started_at, last_activity_at
+FROM root r LEFT JOIN (SELECT root_id, max(error) AS scan_error, count(*) AS scan_errors FROM scan_error GROUP BY 1) e ON e.root_id = r.id
+LEFT JOIN (SELECT root_id, count(*) AS files, max(coalesce(h.last_error, f.last_error)) AS file_error, count(coalesce(h.last_error, f.last_error)) AS failed_files, max(last_success_ms) AS last_success_ms FROM source_file f LEFT JOIN adapter_health h ON h.source_file_id = f.id GROUP BY 1) f ON f.root_id = r.id
+LEFT JOIN (SELECT root_id, count(*) AS sessions, min(started_at) AS first_started_at, max(last_activity_at) AS last_activity_at FROM session s JOIN source_file f ON f.id = s.source_file_id GROUP BY 1) s ON s.root_id = r.id WHERE r.agent <> 'other'""")
+def q13_source_health(t):
+    return browse.source_health(t.root(), t.source_file(), t.session(), t.adapter_health(), t.scan_error(), t.supported()).drop("is_default")
+
+
+@register("SELECT (SELECT count(*) FROM source_file f WHERE last_error IS NOT NULL OR id IN (SELECT source_file_id FROM adapter_health WHERE last_error IS NOT NULL)) AS failed_files, (SELECT count(*) FROM scan_error WHERE root_id IN (SELECT id FROM root)) AS failed_scans")
+def q14_failure_counts(t):
+    return browse.failure_counts(t.source_file(), t.adapter_health(), t.scan_error(), t.root())
+
+
+@register("SELECT agent, path, 'file' AS work FROM source_file WHERE last_error IS NOT NULL UNION ALL SELECT agent, path || '/' || relative_scope, 'scope' FROM scan_error JOIN root ON root.id = root_id")
+def q14_recovery_work(t):
+    return browse.recovery_work(t.source_file(), t.scan_error(), t.root())
+
+
+@register("SELECT s.agent, r.path AS root_path, f.path, external_id, s.id AS session_id, m.id AS message_id FROM session s JOIN source_file f ON f.id = s.source_file_id JOIN root r ON r.id = root_id JOIN message m ON m.session_id = s.id WHERE s.id = 11 AND m.seq = 2")
+def q15_reference(t):
+    s, m = _summaries(t), t.message()
+    anchor = (EPOCH + 11 * 60_000 + 2_000) * (1 << 20)
+    return browse.resolve_reference(browse.capture_reference(s, m, 11, anchor), s, m)
+
+
+@register("SELECT session_id, string_agg('## ' || role || chr(10) || chr(10) || prose, chr(10) || chr(10) ORDER BY seq) AS transcript FROM message WHERE role <> 'system' OR has_error GROUP BY session_id")
+def q18_copy_transcript(t):
+    m = t.message().withColumn("section_flags", F.lit(None).cast("int"))
+    shown = m.where(sections.visible({"prose", "tools"}))
+    block = F.struct("seq", F.concat(F.lit("## "), "role", F.lit("\n\n"), "prose").alias("text"))
+    return shown.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda b: b["text"]), "\n\n").alias("transcript"))
+
+
+_PAGE = """, hit AS (SELECT id FROM conv_token WHERE starts_with(token, 'th') INTERSECT SELECT id FROM conv_token WHERE token = 'and'),
+first_page AS (SELECT m.id, m.session_id, m.ts, p.canonical_key AS project_key FROM message m JOIN session s ON s.id = m.session_id JOIN project p ON p.id = project_id JOIN hit ON hit.id = m.id WHERE m.agent <> 'other' ORDER BY m.ts DESC, m.id DESC LIMIT 200),
+ranked AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) - 1 AS rank FROM first_page),
+placed AS (SELECT *, min(rank) OVER (PARTITION BY project_key) AS project_at, min(rank) OVER (PARTITION BY project_key, session_id) AS session_at FROM ranked)
+SELECT project_at, project_key, session_at, session_id, count(*) AS hits, min(rank) AS first_rank FROM placed GROUP BY ALL"""
+
+
+@register(_PAGE)
+def q19_grouped_results(t):
+    page = _found(t, 'th "and"')
+    ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(*search.RECENCY())) - 1)  # one page, 200 rows at most
+    return search.grouped(ranked).select("project_at", "project_key", "session_at", "session_id", F.size("hits").alias("hits"), F.element_at("hits", 1)["rank"].alias("first_rank"))
+
+
+@register("--plain SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY event_type")
+def q20_latency_report(t):
+    return paging.nearest_rank(t.raw("events"), "value", (0.5, 0.95, 0.99), ["event_type"])
+
+
+BOUNDS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 5000.0)
+
+
+@register("--plain SELECT strftime(ts, '%Y-%m-%d') AS day, CASE " + " ".join(f"WHEN value <= {b} THEN {i}" for i, b in enumerate(BOUNDS)) + f" ELSE {len(BOUNDS)} END AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def q21_diagnostics(t):
+    e = t.raw("events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return paging.histogram(e, "value", BOUNDS, ["day"])
+
+
+@register("--plain SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'äçèéêíñóöü', 'aceeeinoou'), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL")
+def fts1_tokens(t):
+    words = t.raw("documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    return words.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
+@register("--plain SELECT doc_id, CASE WHEN length(f) > 160 THEN left(f, 159) || '…' ELSE f END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
+def exp1_preview(t):
+    return t.raw("documents").select("doc_id", scalar.preview(F.col("text")).alias("preview"))
+
+
+@register("--plain SELECT event_id, epoch_us(ts) // 1000 AS iso_ms, (epoch_us(ts) // 1000000) * 1000 AS seconds_ms, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def exp2_timestamps(t):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return t.raw("events").select("event_id", scalar.timestamp_ms(iso).alias("iso_ms"), scalar.timestamp_ms(F.expr("unix_seconds(cast(ts as timestamp))").cast("string")).alias("seconds_ms"), scalar.day_bucket(ms).alias("day"))
+
+
+def _sections(t: Tables) -> DataFrame:
+    m = t.message()
+    by = lambda r, c="prose": F.when(F.col("role") == r, F.col(c)).otherwise("")
+    return m.select("id", "role", "has_error", by("user").alias("prose"), by("assistant").alias("tool_invocation"), by("system").alias("tool_output"), F.when(F.col("seq") % 3 == 0, "because").otherwise("").alias("reasoning"), (F.col("seq") % 4 == 0).alias("has_non_text"))
+
+
+@register("""SELECT id, (CASE WHEN role = 'user' AND prose <> '' THEN 1 ELSE 0 END) + (CASE WHEN role IN ('assistant', 'system') AND prose <> '' THEN 2 ELSE 0 END) + (CASE WHEN seq % 3 = 0 THEN 4 ELSE 0 END) + (CASE WHEN seq % 4 = 0 THEN 8 ELSE 0 END) AS section_flags,
+prose AS indexed_text, prose || (CASE WHEN seq % 3 = 0 THEN chr(10) || chr(10) || 'because' ELSE '' END) AS shown_text FROM message""")
+def prj8_sections(t):
+    return _sections(t).select("id", sections.section_flags().alias("section_flags"), sections.indexed_text().alias("indexed_text"), sections.transcript_text().alias("shown_text"))
+
+
+@register("SELECT id FROM message WHERE has_error OR (role <> 'system' AND ((role = 'user' AND prose <> '') OR seq % 3 = 0))")
+def flt15_visible(t):
+    return _sections(t).withColumn("section_flags", sections.section_flags()).where(sections.visible({"prose", "reasoning"})).select("id")
+
+
+def _as_lines(t: Tables, agent: str, record) -> DataFrame:
+    """Messages written as a provider's JSON lines, one file a session."""
+    m = t.message()
+    return m.select(F.lit(agent).alias("agent"), F.concat(F.lit(f"/logs/{agent}/"), F.col("session_id").cast("string"), F.lit(".jsonl")).alias("path"), (F.col("seq") * 1000).alias("byte_offset"), F.lit(1).cast("bigint").alias("byte_length"), F.to_json(record).alias("raw"))
+
+
+_PARSED = ("external_id", "source_key", "role", "ts", "prose", "has_error", "is_sidechain")
+
+
+@register("SELECT 'conv-' || session_id AS external_id, source_key, role, ts, prose, has_error, is_sidechain FROM message WHERE prose <> ''")
+def prj1_block_records(t):
+    iso = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("prose").alias("text")))
+    lines = _as_lines(t, "claude", F.struct(F.col("role").alias("type"), F.col("source_key").alias("uuid"), F.concat(F.lit("conv-"), F.col("session_id").cast("string")).alias("sessionId"), iso.alias("timestamp"), F.col("is_sidechain").alias("isSidechain"), F.col("has_error").alias("is_error"), F.struct(block.alias("content")).alias("message")))
+    return adapters.messages(adapters.claude(lines)).select(*_PARSED)
+
+
+@register("SELECT CAST(session_id AS VARCHAR) AS external_id, 'message:' || source_key AS source_key, role, ts, prose FROM message WHERE prose <> ''")
+def prj4_rollout_records(t):
+    payload = F.struct(F.lit("message").alias("type"), F.col("source_key").alias("id"), F.col("role").alias("role"), F.array(F.struct(F.lit("output_text").alias("type"), F.col("prose").alias("text"))).alias("content"))
+    lines = _as_lines(t, "codex", F.struct(F.lit("response_item").alias("type"), F.col("ts").alias("timestamp"), payload.alias("payload")))
+    return adapters.messages(adapters.codex(lines)).select("external_id", "source_key", "role", "ts", "prose")
+
+
+@register("SELECT CAST(session_id AS VARCHAR) AS external_id, source_key, role, ts, prose FROM message WHERE prose <> ''")
+def prj6_chat_records(t):
+    kind = F.when(F.col("role") == "assistant", "gemini").when(F.col("role") == "system", "info").otherwise("user")
+    lines = _as_lines(t, "gemini", F.struct(F.col("session_id").cast("string").alias("sessionId"), F.array(F.struct(F.col("source_key").alias("id"), kind.alias("type"), F.col("ts").alias("timestamp"), F.col("prose").alias("content"))).alias("messages")))
+    return adapters.messages(adapters.gemini(lines)).select("external_id", "source_key", "role", "ts", "prose")
+
+
+@register("SELECT source_file_id, session_id, seq, last_value(CASE WHEN seq % 3 = 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY source_file_id ORDER BY session_id, seq) AS ts FROM message")
+def win5_carried_timestamps(t):
+    rows = t.message().select("source_file_id", "session_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("ts")).alias("ts"))
+    return ingest.carry(rows, "ts", by=("source_file_id",), order=("session_id", "seq"))
+
+
+@register("SELECT session_id, seq, (ts // 10000 * 10000) * 1048576 + row_number() OVER (PARTITION BY ts // 10000 ORDER BY session_id, seq) - 1 AS id FROM message")
+def win4_message_ids(t):
+    rows = t.message().select("session_id", "seq", (F.floor(F.col("ts") / 10_000) * 10_000).alias("ts"))
+    return ingest.message_ids(rows, ("session_id", "seq")).select("session_id", "seq", "id")
+
+
+@register("SELECT source_file_id, external_id, started_at, last_activity_at, message_count, first_user_message AS title, had_error FROM session")
+def agg7_session_fold(t):
+    rows = t.message().withColumn("external_id", F.concat(F.lit("conv-"), F.col("session_id").cast("string"))).withColumn("project_key", F.lit("p"))
+    return ingest.fold_sessions(rows).select("source_file_id", "external_id", "started_at", "last_activity_at", "message_count", "title", "had_error")
+
+
+@register("SELECT source_file_id, external_id, started_at, last_activity_at, message_count, first_user_message AS title, had_error FROM session")
+def snk3_merged_sessions(t):
+    """Folding two halves and merging them is folding the whole."""
+    rows = t.message().withColumn("external_id", F.concat(F.lit("conv-"), F.col("session_id").cast("string"))).withColumn("project_key", F.lit("p"))
+    halves = [ingest.fold_sessions(rows.where(c)) for c in ("seq < 3", "seq >= 3")]
+    return ingest.merge_sessions(*halves).select("source_file_id", "external_id", "started_at", "last_activity_at", "message_count", "title", "had_error")
+
+
+@register("SELECT id, path, arg_max(root, length(root)) AS root FROM source_file, (VALUES ('/logs'), ('/logs/claude'), ('/logs/codex')) r(root) WHERE starts_with(path, root || '/') GROUP BY id, path")
+def jn15_owner_root(t):
+    files = t.source_file().select("id", "path", F.lit("any").alias("agent"))
+    roots = t.spark.createDataFrame([("any", p, i) for i, p in enumerate(("/logs", "/logs/claude", "/logs/codex"))], "agent string, path string, id int")
+    owner = dml.owner_root(files, roots).join(roots.select(F.col("id").alias("root_id"), F.col("path").alias("root")), "root_id")
+    return files.select("id", "path").join(owner.select("path", "root"), "path")
+
+
+@register("SELECT id, session_id, seq FROM message WHERE source_file_id % 3 <> 0 UNION ALL SELECT id, session_id, seq FROM message WHERE source_file_id % 3 = 0 AND seq = 0")
+def snk6_replaced_files(t):
+    m = t.message().select("id", "source_file_id", "session_id", "seq")
+    again = m.where("source_file_id % 3 = 0")
+    return dml.replace_files(m, again.where("seq = 0"), again.select("source_file_id")).select("id", "session_id", "seq")
+
+
+@register("SELECT DISTINCT p.id, display_name FROM project p JOIN session s ON s.project_id = p.id WHERE s.source_file_id % 2 = 1")
+def snk8_deleted_files(t):
+    tables = {"session": t.session(), "project": t.project(), "source_file": t.source_file()}
+    gone = t.source_file().where("id % 2 = 0").select(F.col("id").alias("source_file_id"))
+    return dml.delete_files(tables, gone)["project"].select("id", "display_name")
+
+
+@register("SELECT agent, path FROM source_file WHERE id % 3 = 0 AND agent <> 'codex'")
+def str13_reconciled(t):
+    stored = t.source_file().select("agent", "path", "id")
+    scanned = t.root().select("agent", F.col("path").alias("scope"), (F.col("agent") == "codex").alias("failed"))
+    return dml.reconcile(stored, stored.where("id % 3 <> 0"), scanned).select("agent", "path")
+
+
+@register("SELECT id FROM session s WHERE id IN (SELECT session_id FROM message WHERE has_error AND seq % 2 = 1)")
+def flt22_unaccounted_errors(t):
+    return browse.legacy_failures(t.session(), t.message(), t.failure()).select("id")
+
+
+@register("--plain SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def ext_event_windows(t):
+    out = tail.windowed_counts(t.raw("events"))
+    return out.select("start", "event_type", "n", F.round("value", 4).alias("value"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
