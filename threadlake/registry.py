@@ -394,6 +394,102 @@ def flt22_unaccounted_errors(t):
     return browse.legacy_failures(t.session(), t.message(), t.failure()).select("id")
 
 
+@register("SELECT id, source_key FROM observation2 WHERE n = 1 AND source_file_id % 2 = 1".replace("observation2", "(SELECT event_id AS id, event_id // 3 AS k, CAST(event_id // 3 AS VARCHAR) AS source_key, user_id % 50 AS source_file_id, row_number() OVER (PARTITION BY user_id % 50, event_id // 3 ORDER BY event_id) AS n FROM events)"))
+def snk4_new_observations(t):
+    fresh = t.observations().withColumn("source_key", F.expr("cast(id div 3 as string)"))
+    return usage.insert_or_ignore(fresh.where("source_file_id % 2 = 0"), fresh).select("id", "source_key")
+
+
+@register("SELECT session_id, source_key, CASE WHEN seq % 4 = 0 THEN 'again' ELSE CASE WHEN length(f) > 40 THEN left(f, 39) || '…' ELSE f END END AS detail FROM flat WHERE has_error AND seq % 2 = 0")
+def snk5_failures_replaced(t):
+    stored = t.failure().select("session_id", "source_key", "detail")
+    again = t.message().where("has_error and seq % 4 = 0").select("session_id", "source_key", F.explode(F.array(F.lit("first"), F.lit("again"))).alias("detail"))
+    fresh = again.withColumn("arrival", F.when(F.col("detail") == "again", 2).otherwise(1))
+    return dml.upsert_failures(stored, fresh)
+
+
+@register("SELECT f.id, f.path FROM source_file f WHERE f.agent IN ('claude', 'gemini')")
+def snk12_synchronised_roots(t):
+    configured = t.root().where(F.col("agent").isin("claude", "gemini"))
+    kept, _, _ = dml.synchronise_roots(t.root(), configured)
+    return t.source_file().join(kept.select(F.col("id").alias("root_id")), "root_id", "left_semi").select("id", "path")
+
+
+@register("SELECT root_id, relative_scope, error FROM scan_error WHERE root_id <> 1 UNION ALL SELECT 1, 'fresh', 'gone'")
+def snk15_scan_errors_replaced(t):
+    stored = t.scan_error().select("root_id", "relative_scope", "error")
+    fresh = t.spark.createDataFrame([(1, "fresh", "gone")], "root_id bigint, relative_scope string, error string")
+    return dml.replace_scan_errors(stored, t.spark.createDataFrame([(1, "")], "root_id bigint, relative_scope string"), fresh)
+
+
+@register("SELECT external_id, CASE WHEN id % 2 = 0 THEN coalesce(first_user_message, 'other') ELSE first_user_message END AS first_user_message, CASE WHEN id % 2 = 0 THEN 'scan ' || id END AS generated_title, id % 6 = 0 AS has_plan FROM session")
+def snk16_merged_metadata(t):
+    s = t.session().withColumn("has_plan", F.lit(None).cast("boolean"))
+    scan = s.where("id % 2 = 0").select("external_id", F.lit("other").alias("first_user_message"), F.concat(F.lit("scan "), F.col("id").cast("string")).alias("generated_title"), (F.col("id") % 3 == 0).alias("has_plan"))
+    return dml.merge_metadata(s, scan).select("external_id", "first_user_message", "generated_title", "has_plan")
+
+
+@register("SELECT external_id, CASE WHEN id % 3 = 0 THEN 'side ' || id WHEN id % 2 = 0 THEN NULL ELSE 'own' END AS generated_title FROM session")
+def snk17_side_file_titles(t):
+    s = t.session().withColumn("generated_title", F.when(F.col("id") % 2 == 0, "earlier").when(F.col("id") % 3 != 0, "own")).withColumn("title_origin", F.when(F.col("id") % 2 == 0, "index"))
+    names = s.where("id % 3 = 0").select("external_id", F.concat(F.lit("side "), F.col("id").cast("string")).alias("name"), F.lit("index").alias("origin"))
+    return dml.apply_titles(s, names).select("external_id", "generated_title")
+
+
+@register("SELECT id, 'Proj' || id AS display_name FROM project WHERE lower('Proj' || id) LIKE '%oj1%'")
+def flt14_projects_by_name(t):
+    return browse.name_contains(t.project(), " OJ1 ").select("id", "display_name")
+
+
+@register("--plain SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'ask ' || user_id END AS title, user_id % 2 = 0 AS has_plan FROM (SELECT DISTINCT user_id FROM events)")
+def flt19_typed_titles(t):
+    u = t.raw("events").select("user_id").distinct()
+    ask = F.concat(F.lit("ask "), F.col("user_id").cast("string"))
+    text = F.when(F.col("user_id") % 3 == 0, F.lit("# AGENTS.md instructions for x")).otherwise(F.concat(F.lit("<system-reminder>no</system-reminder>  "), ask))
+    plan = F.when(F.col("user_id") % 2 == 0, F.lit("a <proposed_plan> go </proposed_plan>")).otherwise(F.lit("<proposed_plan> </proposed_plan>"))
+    return u.select("user_id", sections.user_title(text).alias("title"), sections.has_plan(plan).alias("has_plan"))
+
+
+@register("SELECT 'conv-' || session_id AS external_id, arg_min(CASE WHEN length(f) > 160 THEN left(f, 159) || '…' ELSE f END, seq) FILTER (role = 'user' AND f <> '') AS first_user_message, arg_max('title ' || seq, seq) FILTER (seq % 3 = 1) AS generated_title, bool_or(seq = 4) AS has_plan FROM flat GROUP BY session_id")
+def agg16_session_metadata(t):
+    m = t.message().withColumn("path", F.col("source_file_id").cast("string")).withColumn("byte_offset", F.col("seq")).withColumn("item", F.lit(0)).withColumn("external_id", F.concat(F.lit("conv-"), F.col("session_id").cast("string")))
+    rows = m.withColumn("prose", F.when(F.col("role") == "user", F.col("prose"))).withColumn("explicit_title", F.when(F.col("seq") % 3 == 1, F.concat(F.lit("title "), F.col("seq").cast("string"))).when(F.col("seq") % 3 == 2, F.lit("  "))).withColumn("plan", F.col("seq") == 4)
+    return ingest.session_metadata(rows)
+
+
+@register("--plain SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN 'bad ' || event_id ELSE NULL END AS error FROM events")
+def exp3_json_values(t):
+    e = t.raw("events")
+    v = F.parse_json("props")
+    failure = F.parse_json(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"error":{"message":" bad '), F.col("event_id").cast("string"), F.lit(' "}}'))).otherwise(F.lit('{"error":{"code":5}}')))
+    return e.select("event_id", scalar.lenient_long(v, "$.k").alias("k"), scalar.error_description(failure).alias("error"))
+
+
+@register("SELECT DISTINCT model, model_pattern FROM rated WHERE best = 1")
+def jn14_models_with_rates(t):
+    models = t.observations().select("model").distinct()
+    return usage.with_rates(models, t.rates()).select("model", F.col("rate.model_pattern").alias("model_pattern"))
+
+
+@register("SELECT DISTINCT '/logs/' || agent AS path FROM source_file")
+def set4_minimal_scopes(t):
+    scopes = t.source_file().select("path").union(t.source_file().select(F.concat(F.lit("/logs/"), "agent").alias("path")))
+    return dml.minimal_cover(scopes)
+
+
+@register("SELECT id, CASE WHEN id % 5 = 0 THEN 'new' WHEN id % 5 = 1 THEN 'skip' WHEN id % 5 = 2 THEN 'append' ELSE 'replace' END AS action FROM source_file")
+def flt18_file_actions(t):
+    base = t.source_file().select("id", "agent", "path", F.lit(1).alias("dev"), F.col("id").alias("inode"))
+    stored = base.where("id % 5 <> 0").select("*", F.lit(10).alias("size"), F.lit(5).alias("mtime_ns"), F.lit("h").alias("head_hash"), F.lit(10).alias("scanned_bytes"), F.lit(None).cast("string").alias("last_error"))
+    found = base.withColumn("file", F.col("id")).drop("id").withColumn("size", F.when(F.col("file") % 5 == 2, 20).when(F.col("file") % 5 == 3, 4).otherwise(10)).withColumn("mtime_ns", F.when((F.col("file") % 5).isin(2, 3), 6).otherwise(5)).withColumn("head_hash", F.when(F.col("file") % 5 == 4, "x").otherwise("h"))
+    return dml.changed_files(found, stored).select(F.col("file").alias("id"), "action")
+
+
+@register("SELECT id, row_number() OVER (ORDER BY last_activity_at DESC, id DESC) <= 10 AS recent FROM session ORDER BY last_activity_at DESC, id DESC LIMIT 10")
+def ord6_recent_sessions(t):
+    return paging.page(t.session(), paging.SESSION_KEYS, paging.RECENT).select("id", F.lit(True).alias("recent"))
+
+
 @register("--plain SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def ext_event_windows(t):
     out = tail.windowed_counts(t.raw("events"))
