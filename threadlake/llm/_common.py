@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _kept is not None:
+        _kept.append(path)
+    return path
+
+
+_kept: list[str] | None = None
+
+
+@contextmanager
+def noting(paths: list[str]):
+    """Adds to ``paths`` all tables written meanwhile, so :func:`release` can remove them once their reader is done."""
+    global _kept
+    before, _kept = _kept, paths
+    try:
+        yield
+    finally:
+        _kept = before
+
+
+def release(spark: SparkSession, paths: list[str], still: DataFrame) -> None:
+    """Removes tables, but for those that ``still`` reads."""
+    used = [f.split("://")[-1].lstrip("/") for f in still.inputFiles()]
+    keep = [p for p in paths if any(f.startswith(p.split("://")[-1].lstrip("/") + "/") for f in used)]
+    for p in paths:
+        if p not in keep:
+            _delete(spark, p)
+    paths[:] = keep
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -38,11 +66,13 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Remove the files of a table that :func:`save` wrote and no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, f)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stage(df: DataFrame, tag: str, **cols) -> DataFrame:
@@ -78,12 +108,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = save(large, tag)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        drop(edges)
-        edges = save(small, tag)
-        drop(large)
+        old, edges = edges, save(small, tag)
+        drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
