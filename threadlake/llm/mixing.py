@@ -38,7 +38,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float) -> list
         share = {i: rest * weights[i] / weight for i in open_}
         over = [i for i in open_ if share[i] > most * sizes[i]]
         for i in over or open_:
-            out[i] = most * sizes[i] if over else share[i]
+            out[i] = float(most * sizes[i]) if over else share[i]
         if not over:
             break
         rest -= sum(most * sizes[i] for i in over)
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MAX_R
     order = sorted(sums, key=lambda s: (s == "", s))
     aims = targets([sums[s][1] for s in order], [weights[i % len(weights)] for i in range(len(order))], most)
     passes = [min(int(a // max(1, sums[s][1])), int(most)) for s, a in zip(order, aims, strict=True)]
-    plan_rows = [(s, sums[s][1], a, k, a - k * sums[s][1], max(1, math.ceil(sums[s][0] / BLOCK_DOCS)), int(most)) for s, a, k in zip(order, aims, passes, strict=True)]
+    plan_rows = [(s, sums[s][1], a, k, float(a - k * sums[s][1]), max(1, math.ceil(sums[s][0] / BLOCK_DOCS)), int(most)) for s, a, k in zip(order, aims, passes, strict=True)]
     plan = spark.createDataFrame(plan_rows, "src string, source_size bigint, target double, passes int, rest double, blocks bigint, most int")
     placed = base.join(plan, "src").withColumn("block", F.pmod("h", "blocks"))
     sizes = placed.groupBy("src", "block").agg(F.sum("size").alias("words"))
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MAX_R
     full = full.withColumn("extra", extra)
     flips = _closest(full, {s: p[4] for s, p in zip(order, plan_rows, strict=True)})
     full = full.withColumn("extra", F.col("extra") != F.col("rid").isin(flips)) if flips else full
-    last = F.element_at(F.filter("list", lambda d: d["pass"] == F.col("passes")), 1)
+    last = F.get(F.filter("list", lambda d: d["pass"] == F.col("passes")), F.lit(0))
     shard = F.coalesce(last["shard"], F.pmod(F.col("h"), F.lit(shards)).cast("int"))
     taken = F.concat(F.filter("list", lambda d: d["pass"] < F.col("passes")), F.when(F.col("extra"), F.array(F.struct(F.col("passes").alias("pass"), shard.alias("shard")))).otherwise(F.expr(NO_DRAWS)))
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.col("h"), d["pass"]).alias("order")))
