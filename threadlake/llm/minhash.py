@@ -1,7 +1,7 @@
 """MinHash near-dedup with b-bit signatures.
 
-Per document 128 minima over its 5-word shingles.  Bands of the full minima
-propose candidates; the low four bits of each minimum, packed into eight longs,
+Per document 512 minima over its 5-word shingles.  Bands of the full minima
+propose candidates; the low four bits of each minimum, packed into 32 longs,
 give a collision-corrected similarity by bit counts that discards most of them;
 the rest are confirmed on the full shingle sets.  Documents with equal sets
 are one node from the start.
@@ -9,12 +9,14 @@ are one node from the start.
 Groups never expand into all their pairs.  While a round could compare too many
 pairs, each bucket compares its members with one random member only, and linked
 components are merged before the next round; a bucket inside one component needs no
-more work.  What is left at the end is compared pair by pair, so nothing is capped.
+more work.  What is left at the end is compared pair by pair, so nothing is capped;
+distances from earlier pivots rule out most of it by the triangle inequality.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,20 +27,20 @@ from pyspark.sql import functions as F
 from ._common import components, record, save, stage
 
 WORDS, SIMILAR = 5, 75
-HASHES, BITS, BANDS, ROWS = 128, 4, 40, 5
-#: A pair at the threshold agrees in 98 of 128 low-bit minima on average, standard deviation 4.8.
-#: Pairs with an estimate under 0.56 agree in at most 75; one pair in a million at the threshold does.
-LEAST_ESTIMATE = 0.56
-#: Pairs a document, on average, that the last round may compare; over that, another pivot round comes first.
+HASHES, BITS, BANDS, ROWS = 512, 4, 40, 5
+#: A pair at the threshold agrees in 392 of 512 low-bit minima on average, standard deviation 9.6.
+#: Under 0.66 an estimate agrees in at most 348; of pairs at the threshold about one in 250,000 does.
+LEAST_ESTIMATE = 0.66
+#: Pairs a document, on average, that the last round may compare; over that, another pivot round comes first.  One always does.
 PAIRS_PER_DOC, PIVOT_ROUNDS = 32, 12
 WORD_CACHE = 500_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 _MIX = _RNG.integers(1, 2**63, WORDS, dtype=_U) | _U(1)
-_A = (_RNG.integers(1, 2**63, HASHES, dtype=_U) | _U(1))[:, None]
-_B = _RNG.integers(0, 2**63, HASHES, dtype=_U)[:, None]
-_BAND_OF = np.stack([_RNG.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
+_A = _RNG.integers(1, 2**32, HASHES, dtype=np.uint32)[:, None] | np.uint32(1)
+_B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
+_BAND_OF = _RNG.permutation(HASHES)[: BANDS * ROWS].reshape(BANDS, ROWS)
 _BAND_MIX = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=_U) | _U(1)
 
 
@@ -77,16 +79,20 @@ class Shingler:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, _U(2**64 - 1))
-    for i in range(0, len(shingles), 2048):
-        low = np.minimum(low, (shingles[None, i : i + 2048] * _A + _B).min(axis=1))
+    """The least of each of the hash functions, 32 bits wide."""
+    x = (shingles >> _U(32)).astype(np.uint32)
+    low = np.full(HASHES, 2**32 - 1, np.uint32)
+    for i in range(0, len(x), 512):
+        h = x[None, i : i + 512] * _A
+        h += _B
+        np.minimum(low, h.min(axis=1), out=low)
     return low
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """The low bits of all minima as eight signed longs."""
-    nibbles = (low & _U(15)).reshape(-1, 16) << (_U(4) * np.arange(16, dtype=_U))
-    return np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
+    """Four bits of each scrambled minimum, sixteen to a signed long."""
+    bits = (low * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(_U)
+    return np.bitwise_or.reduce(bits.reshape(-1, 16) << (_U(4) * np.arange(16, dtype=_U)), axis=1).view(np.int64)
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +106,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((rid, 0, None, None, None))
                 continue
             low = minima(s)
-            bands = _scramble((low[_BAND_OF] * _BAND_MIX).sum(axis=1) + salt).view(np.int64)
+            bands = _scramble((low[_BAND_OF].astype(_U) * _BAND_MIX).sum(axis=1) + salt).view(np.int64)
             rows.append((rid, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands, pack(low)))
         yield pd.DataFrame(rows, columns=["rid", "n", "same", "bands", "sig"])
 
@@ -119,7 +125,7 @@ def estimate(a, b):
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps pairs whose full sets are similar enough; the last few sets stay at hand, as pairs come in runs."""
+    """Says of each pair whether its full sets are similar enough, and their distance; the last few sets stay at hand, as pairs come in runs."""
     shingle, near = Shingler(), {}
 
     def of(rid: int, text: str) -> np.ndarray:
@@ -130,18 +136,49 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return near[rid]
 
     for b in batches:
-        good = []
+        links, far = [], []
         for a, c, ta, tc in zip(b["a"], b["b"], b["text_a"], b["text_b"], strict=True):
             x, y = of(a, ta), of(c, tc)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
-        yield b.loc[good, ["a", "b"]]
+            either = len(x) + len(y) - both
+            links.append(100 * both >= SIMILAR * either)
+            far.append(1 - both / either)
+        yield b[["a", "b", "ca", "cb"]].assign(near=links, distance=far)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(_confirm, "a bigint, b bigint")
+    return pairs.join(right, "b").join(left, "a").mapInPandas(_confirm, "a bigint, b bigint, ca bigint, cb bigint, near boolean, distance double")
+
+
+def _distances(checked: list[DataFrame]) -> DataFrame:
+    """``(rid, far)``: each document's exact distances from the pivots it was compared with, as a map; a pivot's from itself is 0."""
+    rows = reduce(DataFrame.unionByName, [c.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), "distance") for c in checked])
+    rows = rows.unionByName(rows.select(F.col("pivot").alias("rid"), "pivot", F.lit(0.0).alias("distance"))).distinct()
+    return rows.groupBy("rid", "pivot").agg(F.min("distance").alias("d")).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "d"))).alias("far"))
+
+
+def _provably_far(x, y):
+    """Jaccard distance is a metric: two documents whose distances from one pivot differ by more than a link allows are no link."""
+    return F.coalesce(F.exists(F.map_keys(x), lambda p: F.coalesce(F.abs(F.try_element_at(x, p) - F.try_element_at(y, p)) > 1 - SIMILAR / 100 + 1e-9, F.lit(False))), F.lit(False))
+
+
+def _sizes_allow(x, y):
+    """A similarity is at most the smaller set's size over the larger's."""
+    return 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
+
+
+def _merge(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(rid, label)`` after new links.  Equal labels mean linked; not all that is linked need have one label yet, as the links themselves are kept."""
+    hook = links.groupBy(F.greatest("ca", "cb").alias("old")).agg(F.min(F.least("ca", "cb")).alias("new"))
+    jump = hook.select(F.col("old").alias("new"), F.col("new").alias("further"))
+    hook = save(hook.join(jump, "new", "left").select("old", F.coalesce("further", "new").alias("new")), "hooks")
+    fresh = hook.select(F.col("old").alias("rid"), F.col("new").alias("label"))
+    if label is None:
+        return fresh
+    moved = label.join(hook, label["label"] == hook["old"], "left").select("rid", F.coalesce("new", "label").alias("label"))
+    return save(moved.unionByName(fresh.join(label, "rid", "left_anti")), "labels")
 
 
 def _components(sigs: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -149,38 +186,43 @@ def _components(sigs: DataFrame, texts: DataFrame) -> DataFrame | None:
     bands = sigs.select(F.explode("bands").alias("key"), "rid")
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = save(bands.join(shared, "key").select("key", "rid"), "buckets")
-    packed = sigs.select("rid", "sig")
-    total, comp = sigs.count(), None
+    packed = sigs.select("rid", "n", "sig", "bands")
+    total, label, checked, before = sigs.count(), None, [], None
     for turn in range(PIVOT_ROUNDS + 1):
-        here = buckets.withColumn("comp", F.col("rid")) if comp is None else buckets.join(comp, "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-        pivots = here.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "rid").alias("h"), "rid", "comp")).alias("pivot")).where("lo < hi")
-        live = save(here.join(pivots, "key").select("key", "rid", "comp", "m", F.col("pivot.rid").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")), "live")
-        pairs = live.agg(F.sum(F.col("m") - 1) / 2).first()[0]
+        here = buckets.withColumn("label", F.col("rid")) if label is None else buckets.join(label, "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
+        # Per bucket: a random member as pivot, and the label that most members have.
+        member = F.struct(F.xxhash64(F.lit(turn), "rid").alias("h"), "rid", "label")
+        parts = here.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(member).alias("pivot"))
+        pivots = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.min("pivot").alias("pivot")).where("most.n < m")
+        live = save(here.join(pivots, "key").select("key", "rid", "label", "m", F.col("most.label").alias("most"), F.col("pivot.rid").alias("pivot"), F.col("pivot.label").alias("pivot_label")), "live")
+        # Each member outside its bucket's largest part meets all others there.
+        pairs = live.where("label <> most").agg(F.sum("m")).first()[0]
         if not pairs:
             break
-        last = turn == PIVOT_ROUNDS or pairs <= PAIRS_PER_DOC * total
+        last = turn == PIVOT_ROUNDS or (turn > 0 and pairs <= PAIRS_PER_DOC * total) or (before is not None and pairs > 0.7 * before)
+        before = pairs
         if last:
-            # Every pair of a bucket that no component joins yet; the estimate is part of the join's condition.
-            side = live.join(packed, "rid").select("key", "rid", "comp", "sig")
-            x, y = side.alias("x"), side.alias("y")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.comp") != F.col("y.comp")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= LEAST_ESTIMATE)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+            # The estimate is part of the join's condition, so only likely pairs come out of it.
+            side = live.join(packed, "rid")
+            side = (side.join(_distances(checked), "rid", "left") if checked else side.withColumn("far", F.lit(None).cast("map<bigint,double>"))).select("key", "rid", "label", "most", "n", "sig", "bands", "far")
+            x, y = side.where("label <> most").alias("x"), side.alias("y")
+            once = (F.col("y.label") == F.col("y.most")) | (F.col("x.rid") < F.col("y.rid"))
+            likely = (estimate(F.col("x.sig"), F.col("y.sig")) >= LEAST_ESTIMATE) & ~_provably_far(F.col("x.far"), F.col("y.far"))
+            # Of the bands two documents share, the first one brings them together.
+            first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
+            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _sizes_allow(F.col("x.n"), F.col("y.n")) & likely & first).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.label").alias("ca"), F.col("y.label").alias("cb")).distinct()
         else:
-            found = live.where("comp <> pivot_comp").select(F.col("rid").alias("a"), F.col("pivot").alias("b"), F.col("comp").alias("ca"), F.col("pivot_comp").alias("cb")).distinct()
-            found = found.join(packed.select(F.col("rid").alias("a"), F.col("sig").alias("sa")), "a").join(packed.select(F.col("rid").alias("b"), F.col("sig").alias("sb")), "b").where(estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE).select("a", "b", "ca", "cb")
-        found = save(found, "candidates")
-        links = save(_verified(found.select("a", "b"), texts).join(found, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
-        if not links.isEmpty():
-            merged = components(links)
-            if comp is None:
-                comp = save(merged.select(F.col("node").alias("rid"), "comp"), "comp")
-            else:
-                # Old members follow their old component; a component seen for the first time is its own member.
-                old = comp.select("rid", F.col("comp").alias("node")).unionByName(merged.select(F.col("node").alias("rid"), "node")).distinct()
-                comp = save(old.join(merged, "node", "left").select("rid", F.coalesce("comp", "node").alias("comp")).distinct(), "comp")
-        buckets = live.select("key", "rid")
+            found = live.where("label <> pivot_label").select(F.col("rid").alias("a"), F.col("pivot").alias("b"), F.col("label").alias("ca"), F.col("pivot_label").alias("cb")).distinct()
+            found = found.join(packed.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(packed.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b").where(_sizes_allow(F.col("na"), F.col("nb")) & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)).select("a", "b", "ca", "cb")
+        checked.append(save(_checked(found, texts), "checked"))
         if last:
             break
-    return comp
+        label = _merge(label, checked[-1].where("near"))
+        buckets = live.select("key", "rid")
+    every = reduce(DataFrame.unionByName, checked).where("near") if checked else None
+    if every is None or every.isEmpty():
+        return None
+    return components(every.select("a", "b")).select(F.col("node").alias("rid"), "comp")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
