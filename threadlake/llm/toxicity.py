@@ -134,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = min(0.9, n_toxic / n_labels) if n_toxic < n_labels else DEFAULT_PRIOR
     positive = _pick(known.where("label = 1").select("doc_id"), MAX_POSITIVE, n_toxic)
     n_texts = texts.count()
-    chosen = texts.join(positive, "doc_id").select(F.lit(True).alias("positive"), "text")
+    # At most 2 * MAX_POSITIVE ids, so the texts need not move to meet them.
+    chosen = texts.join(F.broadcast(positive.limit(2 * MAX_POSITIVE)), "doc_id").select(F.lit(True).alias("positive"), "text")
     sample = save(chosen.unionByName(_pick(texts, MAX_UNLABELLED, n_texts).select(F.lit(False).alias("positive"), "text")), "sample")
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     np_, nu = n.get(True, 0), n.get(False, 0)
