@@ -31,7 +31,8 @@ HASHES, BITS, BANDS, ROWS = 512, 4, 40, 5
 #: A pair at the threshold agrees in 392 of 512 low-bit minima on average, standard deviation 9.6.
 #: Under 0.66 an estimate agrees in at most 348; of pairs at the threshold about one in 250,000 does.
 LEAST_ESTIMATE = 0.66
-#: Pairs a document, on average, that the last round may compare; over that, another pivot round comes first.  One always does.
+#: Pairs a document, on average, that the last round may compare; over that, another pivot round comes first, while rounds
+#: still save a tenth of the pairs.  One always does.
 PAIRS_PER_DOC, PIVOT_ROUNDS = 32, 12
 WORD_CACHE = 500_000
 
@@ -170,8 +171,14 @@ def _sizes_allow(x, y):
 
 
 def _merge(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``(rid, label)`` after new links.  Equal labels mean linked; not all that is linked need have one label yet, as the links themselves are kept."""
-    hook = links.groupBy(F.greatest("ca", "cb").alias("old")).agg(F.min(F.least("ca", "cb")).alias("new"))
+    """``(rid, label)`` after new links of documents (``ca``) with pivots (``cb``).
+
+    All documents of one pivot take the smallest label of its star.  Equal labels mean linked; not all that
+    is linked need have one label yet, as the links themselves are kept.
+    """
+    star = links.groupBy("cb").agg(F.min(F.least("ca", "cb")).alias("new"))
+    hook = links.join(star, "cb").select(F.col("ca").alias("old"), "new").unionByName(star.select(F.col("cb").alias("old"), "new"))
+    hook = hook.where("old <> new").groupBy("old").agg(F.min("new").alias("new"))
     jump = hook.select(F.col("old").alias("new"), F.col("new").alias("further"))
     hook = save(hook.join(jump, "new", "left").select("old", F.coalesce("further", "new").alias("new")), "hooks")
     fresh = hook.select(F.col("old").alias("rid"), F.col("new").alias("label"))
@@ -199,7 +206,7 @@ def _components(sigs: DataFrame, texts: DataFrame) -> DataFrame | None:
         pairs = live.where("label <> most").agg(F.sum("m")).first()[0]
         if not pairs:
             break
-        last = turn == PIVOT_ROUNDS or (turn > 0 and pairs <= PAIRS_PER_DOC * total) or (before is not None and pairs > 0.7 * before)
+        last = turn == PIVOT_ROUNDS or (turn > 0 and pairs <= PAIRS_PER_DOC * total) or (before is not None and pairs > 0.9 * before)
         before = pairs
         if last:
             # The estimate is part of the join's condition, so only likely pairs come out of it.
