@@ -284,13 +284,17 @@ def near_components(rows):
     return [root(a) for a in range(len(rows))], sets
 
 
-@pytest.mark.parametrize("pairs", [32, 0])
-def test_minhash(spark, pairs, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_PER_DOC", pairs)  # 0: pivot rounds first
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_minhash(spark, rounds, monkeypatch):
+    """With small blocks and squares, so that one group spans many of them."""
+    for name, value in {"PIVOT_ROUNDS": rounds, "BLOCK_LEFT": 6, "BLOCK_RIGHT": 9, "SQUARE_LEFT": 2, "SQUARE_RIGHT": 4, "SQUARE_SHINGLES": 64}.items():
+        monkeypatch.setattr(minhash, name, value)
     rng = random.Random(8)
     base = prose(rng, 80).split()
     rows = corpus(4) + [(3000 + k, " ".join("new" if rng.random() < 0.01 else w for w in base), None) for k in range(25)] + [(None, "lone null id here and more", None)]
     rows += [(3000, " ".join(base), None)]
+    base = prose(rng, 150).split()  # a group whose pairs lie on both sides of the threshold
+    rows += [(4000 + k, " ".join(f"n{rng.random()}" if rng.random() < 0.02 else w for w in base), None) for k in range(60)]
     comp, sets = near_components(rows)
     got = minhash.report(make_docs(spark, rows)).collect()
     ids = {c: min((rows[k][0] for k in range(len(rows)) if comp[k] == c and rows[k][0] is not None), default=None) for c in set(comp)}

@@ -9,17 +9,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one of its own; on a cluster that would be a folder nobody else sees, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="threadlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,47 +34,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if _kept is not None:
-        _kept.append(path)
+    if (kept := _kept.get()) is not None:
+        kept.append(path)
     return path
 
 
-_kept: list[str] | None = None
+_kept: ContextVar[list[str] | None] = ContextVar("kept", default=None)
 
 
 @contextmanager
 def noting(paths: list[str]):
     """Adds to ``paths`` all tables written meanwhile, so :func:`release` can remove them once their reader is done."""
-    global _kept
-    before, _kept = _kept, paths
+    token = _kept.set(paths)
     try:
         yield
     finally:
-        _kept = before
+        _kept.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that nobody reads any more."""
+    while paths:
+        _delete(spark, paths.pop())
 
 
-def release(spark: SparkSession, paths: list[str], still: DataFrame) -> None:
-    """Removes tables, but for those that ``still`` reads."""
-    used = [f.split("://")[-1].lstrip("/") for f in still.inputFiles()]
-    keep = [p for p in paths if any(f.startswith(p.split("://")[-1].lstrip("/") + "/") for f in used)]
-    for p in paths:
-        if p not in keep:
-            _delete(spark, p)
-    paths[:] = keep
+@contextmanager
+def _shuffle_files_go(spark: SparkSession):
+    """Shuffle files are removed as soon as the query is done, not when the driver next collects garbage: a written table needs none of them."""
+    old = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if old is None else spark.conf.set(SHUFFLE_CLEANUP, old)
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffle_files_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table that :func:`save` wrote and no later plan reads."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, f)
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that :func:`save` wrote and no later plan reads."""
+    for df in tables:
+        _delete(df.sparkSession, df.saved_at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

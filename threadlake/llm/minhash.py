@@ -6,11 +6,12 @@ give a collision-corrected similarity by bit counts that discards most of them;
 the rest are confirmed on the full shingle sets.  Documents with equal sets
 are one node from the start.
 
-Groups never expand into all their pairs.  While a round could compare too many
-pairs, each bucket compares its members with one random member only, and linked
-components are merged before the next round; a bucket inside one component needs no
-more work.  What is left at the end is compared pair by pair, so nothing is capped;
-distances from earlier pivots rule out most of it by the triangle inequality.
+Groups never expand into rows for all their pairs.  First each bucket's members
+meet one of them, the pivot, and linked ones are merged, for a few rounds; a
+bucket inside one component needs no more work.  Then the members outside a
+bucket's largest part meet all others block against block: signatures travel once
+a block, candidates as one list a document, and the shingle sets of a
+small square of documents are intersected in one task by an index of the shingles.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, record, save, stage
+from ._common import components, drop, record, save, stage
 
 WORDS, SIMILAR = 5, 75
 HASHES, BITS, BANDS, ROWS = 512, 4, 40, 5
 #: A pair at the threshold agrees in 392 of 512 low-bit minima on average, standard deviation 9.6.
 #: Under 0.66 an estimate agrees in at most 348; of pairs at the threshold about one in 250,000 does.
 LEAST_ESTIMATE = 0.66
-#: Pairs a document, on average, that the last round may compare; over that, another pivot round comes first, while rounds
-#: still save a tenth of the pairs.  One always does.
-PAIRS_PER_DOC, PIVOT_ROUNDS = 32, 12
+PIVOT_ROUNDS = 4
+#: Documents on the two sides of a block of signatures, and on those of a square of shingle sets; squares of long documents hold fewer.
+BLOCK_LEFT, BLOCK_RIGHT = 1_024, 4_096
+SQUARE_LEFT, SQUARE_RIGHT, SQUARE_SHINGLES = 64, 256, 4_096
 WORD_CACHE = 500_000
 
 _U = np.uint64
@@ -125,44 +127,150 @@ def estimate(a, b):
     return (1 - differing / HASHES - chance) / (1 - chance)
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Says of each pair whether its full sets are similar enough, and their distance; the last few sets stay at hand, as pairs come in runs."""
-    shingle, near = Shingler(), {}
-
-    def of(rid: int, text: str) -> np.ndarray:
-        if rid not in near:
-            if len(near) > 32:
-                near.clear()
-            near[rid] = shingle(text)
-        return near[rid]
-
+CANDIDATES = "square bigint, a bigint, ca bigint, bs array<bigint>, cbs array<bigint>"
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal rows."""
+    cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True))
+
+
+def _power_of_two(x) -> np.ndarray:
+    return _U(1) << np.ceil(np.log2(np.maximum(1, x))).astype(_U)
+
+
+def _squares(rid, other, n, n_other, m, m_other, most) -> np.ndarray:
+    """Which square a candidate pair is confirmed in: the two documents' slots among the members of like size; buckets of one group share them."""
+    name = _scramble(np.array([most], np.int64).view(_U) + _U(1))
+    for ident, size, members, most_docs, salt in ((rid, n, m, SQUARE_LEFT, 11), (other, n_other, m_other, SQUARE_RIGHT, 13)):
+        longer = np.maximum(0, np.ceil(np.log2(np.maximum(1, size) / SQUARE_SHINGLES))).astype(np.int64)
+        slots = _power_of_two(members / np.maximum(1, most_docs >> longer))
+        slot = _scramble(ident.astype(_U) + _U(salt)) & (slots - _U(1))
+        name = _scramble(name ^ _scramble(slot * _U(64) + longer.astype(_U) + slots * _U(2**40) + _U(salt)))
+    return name.view(np.int64)
+
+
+class _Block:
+    """Members of one bucket's block: columns of equal length."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rid, self.n, self.label = (rows[c].to_numpy(np.int64) for c in ("rid", "n", "label"))
+        self.sig = np.stack(rows["sig"].to_numpy()).view(_U)
+        self.bands = np.stack(rows["bands"].to_numpy())
+
+
+def _likely(x: _Block, y: _Block, key: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose labels differ, whose sizes and estimate allow a link, and whose first shared band is this bucket's."""
+    found = [], []
+    step = max(1, 400_000 // len(y.rid))
+    for lo in range(0, len(x.rid), step):
+        cut = slice(lo, lo + step)
+        able = x.label[cut, None] != y.label
+        able &= 100 * np.minimum(x.n[cut, None], y.n) >= SIMILAR * np.maximum(x.n[cut, None], y.n)
+        able &= (y.label == most) | (x.rid[cut, None] < y.rid)
+        i, j = np.nonzero(able)
+        i += lo
+        for k in range(0, len(i), 65_536):
+            a, b = i[k : k + 65_536], j[k : k + 65_536]
+            d = x.sig[a] ^ y.sig[b]
+            d |= d >> _U(1)
+            d |= d >> _U(2)
+            same = 1 - np.bitwise_count(d & _U(0x1111111111111111)).sum(axis=1) / HASHES
+            chance = 2.0**-BITS
+            good = (same - chance) / (1 - chance) >= LEAST_ESTIMATE
+            a, b = a[good], b[good]
+            shared = x.bands[a] == y.bands[b]
+            first = x.bands[a, shared.argmax(axis=1)] == key
+            found[0].append(a[first])
+            found[1].append(b[first])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found[0]]), np.concatenate([none, *found[1]])
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks, which come in runs of rows, to squares: a row without ``bs`` says that a square needs a document's set, others list what a document is to be compared with."""
+
+    def block(g: pd.DataFrame) -> list[tuple]:
+        left = g["left"].to_numpy()
+        if left.all() or not left.any():
+            return []
+        x, y = _Block(g[left]), _Block(g[~left])
+        key, most, m, mx = (int(g[c].iloc[0]) for c in ("key", "most", "m", "mx"))
+        i, j = _likely(x, y, key, most)
+        if not len(i):
+            return []
+        square = _squares(x.rid[i], y.rid[j], x.n[i], y.n[j], mx, m, most)
+        order = np.lexsort((i, square))
+        i, j, square = i[order], j[order], square[order]
+        out = [(s, r, 0, None, None) for s, r in {*zip(square.tolist(), x.rid[i].tolist(), strict=True), *zip(square.tolist(), y.rid[j].tolist(), strict=True)}]
+        for lo, hi in _runs(np.stack([square, i], axis=1)):
+            out.append((int(square[lo]), int(x.rid[i[lo]]), int(x.label[i[lo]]), y.rid[j[lo:hi]].tolist(), y.label[j[lo:hi]].tolist()))
+        return out
+
+    held = None
     for b in batches:
-        links, far = [], []
-        for a, c, ta, tc in zip(b["a"], b["b"], b["text_a"], b["text_b"], strict=True):
-            x, y = of(a, ta), of(c, tc)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            either = len(x) + len(y) - both
-            links.append(100 * both >= SIMILAR * either)
-            far.append(1 - both / either)
-        yield b[["a", "b", "ca", "cb"]].assign(near=links, distance=far)
+        held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+        if not len(held):
+            continue
+        *whole, (last, _) = _runs(held[["key", "xb", "yb"]].to_numpy())
+        out = [r for lo, hi in whole for r in block(held.iloc[lo:hi])]
+        held = held.iloc[last:]
+        yield _as_candidates(out)
+    if held is not None and len(held):
+        yield _as_candidates(block(held))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(_confirm, "a bigint, b bigint, ca bigint, cb bigint, near boolean, distance double")
+def _as_candidates(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["square", "a", "ca", "bs", "cbs"]).astype({"square": "int64", "a": "int64", "ca": "int64"})
 
 
-def _distances(checked: list[DataFrame]) -> DataFrame:
-    """``(rid, far)``: each document's exact distances from the pivots it was compared with, as a map; a pivot's from itself is 0."""
-    rows = reduce(DataFrame.unionByName, [c.select(F.col("a").alias("rid"), F.col("b").alias("pivot"), "distance") for c in checked])
-    rows = rows.unionByName(rows.select(F.col("pivot").alias("rid"), "pivot", F.lit(0.0).alias("distance"))).distinct()
-    return rows.groupBy("rid", "pivot").agg(F.min("distance").alias("d")).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "d"))).alias("far"))
-
-
-def _provably_far(x, y):
-    """Jaccard distance is a metric: two documents whose distances from one pivot differ by more than a link allows are no link."""
-    return F.coalesce(F.exists(F.map_keys(x), lambda p: F.coalesce(F.abs(F.try_element_at(x, p) - F.try_element_at(y, p)) > 1 - SIMILAR / 100 + 1e-9, F.lit(False))), F.lit(False))
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Squares come as runs of rows, texts first: the candidates whose full sets are similar enough, one a pair of labels and document."""
+    shingle, square, sets, held, whose, place = Shingler(), None, {}, None, None, {}
+
+    def overlaps(a: np.ndarray, bs: list[int]) -> np.ndarray:
+        """How many shingles each of the documents shares with one."""
+        nonlocal held, whose, place
+        if len(bs) < 8:
+            return np.array([len(np.intersect1d(a, sets[b], assume_unique=True)) for b in bs])
+        if held is None:  # all the square's shingles in order, and whose they are
+            place = {r: k for k, r in enumerate(sets)}
+            every = np.concatenate(list(sets.values()))
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
+            order = np.argsort(every, kind="stable")
+            held, whose = every[order], owner[order]
+        lo, hi = np.searchsorted(held, a, "left"), np.searchsorted(held, a, "right")
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
+        return np.bincount(whose[at], minlength=len(sets))[[place[b] for b in bs]]
+
+    for batch in batches:
+        out = []
+        for s, a, ca, bs, cbs, text in zip(*(batch[c] for c in ("square", "a", "ca", "bs", "cbs", "text")), strict=True):
+            if s != square:
+                square, sets, held = s, {}, None
+            if bs is None:
+                sets[a] = shingle(text)
+                continue
+            x, bs = sets[a], [int(b) for b in bs]
+            both = overlaps(x, bs)
+            either = len(x) + np.array([len(sets[b]) for b in bs]) - both
+            seen = set()
+            for k in np.flatnonzero(100 * both >= SIMILAR * either).tolist():
+                if cbs[k] not in seen:
+                    seen.add(cbs[k])
+                    out.append((a, bs[k], int(ca), int(cbs[k])))
+        yield pd.DataFrame(out, columns=["a", "b", "ca", "cb"], dtype="int64")
+
+
+def _links(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """The confirmed ones of ``candidates``: a square's texts go to the task that compares them, once each."""
+    needed = candidates.where("bs is null").select("square", "a").distinct().join(texts.select(F.col("rid").alias("a"), "text"), "a")
+    none = [F.lit(0).cast("bigint").alias("ca"), *[F.lit(None).cast("array<bigint>").alias(n) for n in ("bs", "cbs")]]
+    both = needed.select("square", "a", *none, "text").unionByName(candidates.where("bs is not null").withColumn("text", F.lit(None).cast("string")))
+    ordered = both.repartition("square").sortWithinPartitions("square", F.col("bs").isNotNull())
+    return save(ordered.mapInPandas(_confirm, "a bigint, b bigint, ca bigint, cb bigint"), "links")
 
 
 def _sizes_allow(x, y):
@@ -170,6 +278,38 @@ def _sizes_allow(x, y):
     return 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
 
 
+def _with_pivots(live: DataFrame, packed: DataFrame, first_round: bool) -> DataFrame:
+    """Candidates of each bucket's members with its pivot: all of them at first, later of each document the likeliest."""
+    met = live.where("label <> pivot_label").groupBy(F.col("rid").alias("a"), F.col("pivot").alias("b")).agg(F.min("label").alias("ca"), F.min("pivot_label").alias("cb"), F.max("m").alias("m"))
+    side = lambda i: packed.select(F.col("rid").alias(i), F.col("n").alias(f"n{i}"), F.col("sig").alias(f"s{i}"))
+    near = estimate(F.col("sa"), F.col("sb"))
+    rated = met.join(side("a"), "a").join(side("b"), "b").where(_sizes_allow(F.col("na"), F.col("nb")) & (near >= LEAST_ESTIMATE)).select("a", "b", "ca", "cb", "m", "na", near.alias("near"))
+    if not first_round:
+        rated = rated.groupBy("a").agg(F.max(F.struct("near", "b", "ca", "cb", "m", "na")).alias("top")).select("a", "top.*")
+    longer = F.greatest(F.lit(0), F.ceil(F.log2(F.col("na") / SQUARE_SHINGLES))).cast("int")
+    slots = F.ceil(F.col("m") / F.greatest(F.lit(1), F.lit(SQUARE_RIGHT) / F.pow(F.lit(2), longer))).cast("bigint")
+    pairs = rated.select(F.xxhash64("b", longer, F.pmod(F.xxhash64("a"), slots)).alias("square"), "a", "b", "ca", "cb")
+    whole = pairs.select("square", "a", "ca", F.array("b").alias("bs"), F.array("cb").alias("cbs"))
+    none = [F.lit(0).cast("bigint").alias("ca"), *[F.lit(None).cast("array<bigint>").alias(n) for n in ("bs", "cbs")]]
+    return save(whole.unionByName(pairs.select("square", F.explode(F.array("a", "b")).alias("a"), *none)), "candidates")
+
+
+def _with_all(live: DataFrame, packed: DataFrame) -> DataFrame:
+    """Candidates of the members outside each bucket's largest part with all others in it, by blocks of signatures."""
+    left = F.col("label") != F.col("most")
+    outside = live.where(left).groupBy("key").agg(F.count("*").alias("mx"))
+    rows = live.join(outside, "key").join(packed, "rid").select("key", "rid", "label", "most", "m", "mx", "n", "sig", "bands")
+    count = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    sides = F.array(
+        F.struct(F.lit(True).alias("left"), F.array(F.pmod(F.xxhash64("rid"), count("mx", BLOCK_LEFT)).cast("int")).alias("xs"), F.sequence(F.lit(0), count("m", BLOCK_RIGHT) - 1).alias("ys")),
+        F.struct(F.lit(False).alias("left"), F.sequence(F.lit(0), count("mx", BLOCK_LEFT) - 1).alias("xs"), F.array(F.pmod(F.xxhash64("rid"), count("m", BLOCK_RIGHT)).cast("int")).alias("ys")),
+    )
+    sides = F.filter(sides, lambda s: ~s["left"] | left)
+    rows = rows.withColumn("s", F.explode(sides)).withColumn("xb", F.explode("s.xs")).withColumn("yb", F.explode("s.ys")).withColumn("left", F.col("s.left")).drop("s")
+    ordered = rows.repartition("key", "xb", "yb").sortWithinPartitions("key", "xb", "yb")
+    return save(ordered.mapInPandas(_candidates, CANDIDATES), "candidates")
+
+
 def _merge(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """``(rid, label)`` after new links of documents (``ca``) with pivots (``cb``).
 
@@ -188,48 +328,38 @@ def _merge(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return save(moved.unionByName(fresh.join(label, "rid", "left_anti")), "labels")
 
 
-def _components(sigs: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _components(sigs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """``(rid, comp)`` of the nodes that are linked with another; None if there are none."""
-    bands = sigs.select(F.explode("bands").alias("key"), "rid")
+    bands = sigs.join(nodes, "rid").select(F.explode("bands").alias("key"), "rid")
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = save(bands.join(shared, "key").select("key", "rid"), "buckets")
-    packed = sigs.select("rid", "n", "sig", "bands")
-    total, label, checked, before = sigs.count(), None, [], None
+    met = buckets.select("rid").distinct()
+    texts = save(texts.join(met, "rid"), "texts")
+    packed = save(sigs.select("rid", "n", "sig", "bands").join(met, "rid"), "packed")
+    label, links = None, []
     for turn in range(PIVOT_ROUNDS + 1):
         here = buckets.withColumn("label", F.col("rid")) if label is None else buckets.join(label, "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
         # Per bucket: a random member as pivot, and the label that most members have.
         member = F.struct(F.xxhash64(F.lit(turn), "rid").alias("h"), "rid", "label")
         parts = here.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(member).alias("pivot"))
-        pivots = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.min("pivot").alias("pivot")).where("most.n < m")
+        # A bucket of two has nothing left to compare after the first round.
+        pivots = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.min("pivot").alias("pivot")).where((F.col("most.n") < F.col("m")) & (F.col("m") > (2 if turn else 1)))
         live = save(here.join(pivots, "key").select("key", "rid", "label", "m", F.col("most.label").alias("most"), F.col("pivot.rid").alias("pivot"), F.col("pivot.label").alias("pivot_label")), "live")
-        # Each member outside its bucket's largest part meets all others there.
-        pairs = live.where("label <> most").agg(F.sum("m")).first()[0]
-        if not pairs:
-            break
-        last = turn == PIVOT_ROUNDS or (turn > 0 and pairs <= PAIRS_PER_DOC * total) or (before is not None and pairs > 0.9 * before)
-        before = pairs
-        if last:
-            # The estimate is part of the join's condition, so only likely pairs come out of it.
-            side = live.join(packed, "rid")
-            side = (side.join(_distances(checked), "rid", "left") if checked else side.withColumn("far", F.lit(None).cast("map<bigint,double>"))).select("key", "rid", "label", "most", "n", "sig", "bands", "far")
-            x, y = side.where("label <> most").alias("x"), side.alias("y")
-            once = (F.col("y.label") == F.col("y.most")) | (F.col("x.rid") < F.col("y.rid"))
-            likely = (estimate(F.col("x.sig"), F.col("y.sig")) >= LEAST_ESTIMATE) & ~_provably_far(F.col("x.far"), F.col("y.far"))
-            # Of the bands two documents share, the first one brings them together.
-            first = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & _sizes_allow(F.col("x.n"), F.col("y.n")) & likely & first).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.label").alias("ca"), F.col("y.label").alias("cb")).distinct()
-        else:
-            found = live.where("label <> pivot_label").select(F.col("rid").alias("a"), F.col("pivot").alias("b"), F.col("label").alias("ca"), F.col("pivot_label").alias("cb")).distinct()
-            found = found.join(packed.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(packed.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b").where(_sizes_allow(F.col("na"), F.col("nb")) & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)).select("a", "b", "ca", "cb")
-        checked.append(save(_checked(found, texts), "checked"))
-        if last:
+        drop(buckets)
+        if live.isEmpty():
             break
-        label = _merge(label, checked[-1].where("near"))
-        buckets = live.select("key", "rid")
-    every = reduce(DataFrame.unionByName, checked).where("near") if checked else None
-    if every is None or every.isEmpty():
-        return None
-    return components(every.select("a", "b")).select(F.col("node").alias("rid"), "comp")
+        last = turn == PIVOT_ROUNDS
+        candidates = _with_all(live, packed) if last else _with_pivots(live, packed.drop("bands"), turn == 0)
+        links.append(_links(candidates, texts))
+        drop(candidates)
+        if not last:
+            label = _merge(label, links[-1])
+            buckets = live.select("key", "rid")
+            buckets.saved_at = live.saved_at
+    every = reduce(DataFrame.unionByName, links) if links else None
+    comp = None if every is None or every.isEmpty() else components(every.select("a", "b")).select(F.col("node").alias("rid"), "comp")
+    drop(texts, packed, live, *links)
+    return comp
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,24 +372,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeats.  Other columns stay in ``rec``; an empty table gives an empty result.
     """
     staged = stage(docs, "near", rec=record(docs))
-    text = F.col(f"rec.`{text_col}`")
-    sigs = save(staged.select("rid", text.alias("text")).mapInPandas(_signatures, "rid bigint, n bigint, same binary, bands array<bigint>, sig array<bigint>"), "signatures")
+    text, ident = F.col(f"rec.`{text_col}`").alias("text"), F.col(f"rec.`{id_col}`").alias("id")
+    sigs = save(staged.select("rid", text).mapInPandas(_signatures, "rid bigint, n bigint, same binary, bands array<bigint>, sig array<bigint>"), "signatures")
+    # ``rep`` stands for all documents with its set.
     twins = sigs.where("n > 0").groupBy("same").agg(F.min("rid").alias("rep"))
-    members = save(sigs.join(twins, "same", "left").select("rid", "n", F.coalesce("rep", "rid").alias("rep"), "bands", "sig"), "members")
-    nodes = members.where("n > 0 and rid = rep")
-    comp = _components(nodes, staged.select("rid", text.alias("text")))
-    owned = members.select("rid", "n", F.col("rep").alias("node"))
+    members = save(sigs.select("rid", "n", "same").join(twins, "same", "left").select("rid", "n", F.coalesce("rep", "rid").alias("node")), "members")
+    comp = _components(sigs, members.where("n > 0 and rid = node").select("rid"), staged.select("rid", text))
     if comp is not None:
-        owned = owned.join(comp.withColumnRenamed("rid", "node"), "node", "left").select("rid", "n", F.coalesce("comp", "node").alias("node"))
-    ident = F.col(f"rec.`{id_col}`")
-    every = staged.join(owned, "rid")
+        members = members.join(comp.withColumnRenamed("rid", "node"), "node", "left").select("rid", "n", F.coalesce("comp", "node").alias("node"))
+    # Decisions are made on ids; whole records move once, to meet theirs.
+    named = save(members.join(staged.select("rid", ident), "rid"), "named")
+    drop(sigs)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
-    heads = every.select("node", ident.alias("id"), "rid").groupBy("node").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1").select("node", "first")
-    return every.join(heads, "node", "left").select(
-        "rec", F.col("n").alias("n_shingles"),
-        F.when(F.col("first").isNull(), ident).otherwise(F.col("first.id")).alias("component_id"),
+    heads = named.groupBy("node").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1").select("node", "first")
+    decided = named.join(heads, "node", "left").select(
+        "rid", F.col("n").alias("n_shingles"),
+        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
         (F.coalesce("first.rid", "rid") == F.col("rid")).alias("kept"),
     )
+    return staged.join(decided, "rid").drop("rid")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
