@@ -6,6 +6,7 @@ Each stage reads what the one before wrote and works on all of it.
 from __future__ import annotations
 
 import functools
+import threading
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from threadlake.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from threadlake.llm._common import new_path, noting, release
 
-#: Tables that stages so far have written for themselves; a later stage removes them, as its input is what they led to.
-_left: list[str] = []
+#: Tables that stages so far have written for themselves, by thread and folder; the next stage of that run removes them, as its input is what they led to.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
 def _stage(f):
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left, docs)
-        with noting(_left):
+        left = _left.setdefault((threading.get_ident(), sf_dir), [])
+        release(spark, left)
+        with noting(left):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -66,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the folder's ``documents``; what a stage wrote goes once the next has read it, only the last output stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         path = new_path(spark, "stage-" + name.split()[0].lower())
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, before)
+        before.append(path)
         docs = spark.read.parquet(path)
+    release(spark, _left.pop((threading.get_ident(), sf_dir)))
     return docs
