@@ -226,6 +226,19 @@ def test_token_counts(spark, tmp_path):
     assert token_counts.report(make_docs(spark, []), path).count() == 0
 
 
+def mix_targets(sizes, weights, most):
+    """Shares by weight, one source over its bound at a time."""
+    closed, out = set(), [0.0] * len(sizes)
+    while len(closed) < len(sizes):
+        rest, weight = sum(sizes) - sum(most * sizes[i] for i in closed), sum(w for i, w in enumerate(weights) if i not in closed)
+        share = {i: rest * weights[i] / weight for i in range(len(sizes)) if i not in closed}
+        over = [i for i in share if share[i] > most * sizes[i]]
+        if not over:
+            return [share.get(i, most * sizes[i]) for i in range(len(sizes))]
+        closed.add(over[0])
+    return [most * s for s in sizes]
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(0, 60)), rng.choice(["a", "b", "c", "d", "é", None, "empty"])) for i in range(800)]
@@ -238,7 +251,7 @@ def test_mixing(spark):
     for _, t, s in rows:
         sizes[s] += len((t or "").encode().split())
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    aims = mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 3)
+    aims = mix_targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 3)
     target = dict(zip(order, aims, strict=True))
     taken, per_shard = Counter(), Counter()
     for r in got:
@@ -249,16 +262,37 @@ def test_mixing(spark):
     assert sum(target.values()) == pytest.approx(sum(sizes.values()))
     for s in order:
         assert abs(taken[s] - target[s]) <= 30
-    assert set(per_shard) <= set(range(mixing.SHARDS))
+    # Blocks are finer than shards: all shards get rows, in like numbers.
+    assert set(per_shard) == set(range(mixing.SHARDS)) and max(per_shard.values()) <= 2.5 * min(per_shard.values())
+    assert len({(d["shard"], d["order"]) for r in got for d in r["draws"]}) >= 0.99 * sum(per_shard.values())
     again = mixing.report(make_docs(spark, random.Random(9).sample(rows, len(rows))))
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, mixing.report(df).collect()), key=str)
     assert mixing.rows(out).count() == sum(len(r["draws"]) for r in got)
     assert mixing.report(make_docs(spark, [])).count() == 0
 
 
-def test_mixing_targets_and_tree():
-    assert mixing.targets([10, 100, 100], [5, 2, 1], 3) == pytest.approx([30, 120, 60])
-    assert mixing.targets([0, 0], [1, 1], 3) == [0, 0]
+def test_mixing_quotas(spark):
+    """Every block's draws as a plain replay of the quotas gives them, and the tree's counts as the shards show them."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(1, 30)), f"s{rng.choice('aaaabbcd')}") for i in range(1500)]
+    docs = make_docs(spark, rows + rows[:3])  # with fully repeated rows
+    got = mixing.mix(docs, shards=5, block_docs=4).select("rec.source", "size", "source_size", "target", "draws").collect()
+    assert len(got) == 1503
+    for source in "abcd":
+        own = [r for r in got if r["source"] == f"s{source}"]
+        whole = min(3, int(own[0]["target"] // own[0]["source_size"]))
+        assert all(whole <= len(r["draws"]) <= whole + 1 and [d["pass"] for d in r["draws"]] == list(range(len(r["draws"]))) for r in own)
+        assert abs(sum(r["size"] * len(r["draws"]) for r in own) - own[0]["target"]) <= 15
+        # All shards get of every source, and no shard the same pass of a document twice.
+        assert {d["shard"] for r in own for d in r["draws"]} == set(range(5))
+    again = mixing.mix(docs, shards=5, block_docs=4).select("rec.doc_id", "draws").collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixing.mix(docs.repartition(7), shards=5, block_docs=4).select("rec.doc_id", "draws").collect()))
+
+
+def test_mixing_targets_and_tree(spark):
+    for sizes, weights in (([10, 100, 100], [5, 2, 1]), ([0, 0], [1, 1]), ([1, 1, 1000, 50], [5, 2, 1, 5]), ([7], [5])):
+        df = spark.createDataFrame([(w, float(v)) for w, v in zip(sizes, weights, strict=True)], "words bigint, weight double")
+        assert [r["target"] for r in mixing.with_targets(df, 3).collect()] == pytest.approx(mix_targets(sizes, weights, 3))
     tree = mixing.split_tree(np.random.default_rng(0), [100, 7, 0, 53], 8)
     assert [sum(c) for c in zip(*tree, strict=True)] == [100, 7, 0, 53] and {sum(r) for r in tree} == {20}
 
@@ -339,13 +373,51 @@ def test_sharding(spark):
     assert sharding.report(make_docs(spark, rows[:3]), shards=7).count() == 3
 
 
+def test_sharding_through_a_deep_matrix(spark):
+    """Partitions of a few rows and two branches a node: the matrix has many levels, its sums are exact."""
+    rows = [(i, f"t{i}", None) for i in range(400)] + [(7, "t7", None)] * 30
+    df = make_docs(spark, rows)
+    got = sharding.report(df, shards=6, partition_rows=9, fan_out_bits=1).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert sorted(counts.values()) == [71, 71, 72, 72, 72, 72]
+    for k in counts:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(counts[k]))
+    again = sharding.report(df.repartition(5), shards=6, partition_rows=9, fan_out_bits=1).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
+def test_sharding_written_with_clashing_columns(spark, tmp_path):
+    sharding.write(sharding.shuffle(make_docs(spark, corpus()), shards=3), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == ["rec", "slot", "shard"] and back.count() == len(corpus()) and "shard" in back.select("rec.*").columns
+
+
 def test_communication_matrix():
-    m = sharding.communication_matrix([100, 0, 37, 5], 6, 1)
+    rng = np.random.default_rng(1)
+    m = sharding.communication_matrix(rng, [100, 0, 37, 5], sharding.even(142, 6))
     assert [sum(r) for r in m] == [100, 0, 37, 5] and sorted(sum(c) for c in zip(*m, strict=True)) == [23, 23, 24, 24, 24, 24]
-    mean = np.mean([sharding.communication_matrix([30, 10], 4, s) for s in range(300)], axis=0)
+    mean = np.mean([sharding.communication_matrix(rng, [30, 10], [10] * 4) for _ in range(300)], axis=0)
     assert abs(mean - np.array([[7.5] * 4, [2.5] * 4])).max() < 0.4
 
 
+def test_hypergeometric_law():
+    """Against the law itself for small numbers, against its mean and variance for numbers of any size."""
+    import math
+
+    rng, n = np.random.default_rng(5), 20_000
+    for good, bad, draws in ((30, 45, 25), (60, 20, 50), (12, 300, 40)):
+        seen = np.bincount([sharding.hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=draws + 1)
+        law = n * np.array([math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws) for k in range(draws + 1)])
+        usual = law > 10
+        assert ((seen - law)[usual] ** 2 / law[usual]).sum() < 2.5 * usual.sum()
+    for good, bad, draws in ((10**12, 3 * 10**12, 10**12), (10**14, 10**13, 10**7), (25, 10**12, 10**11)):
+        x = np.array([sharding.hypergeometric(rng, good, bad, draws) for _ in range(n)], float)
+        total = good + bad
+        mean, var = draws * good / total, draws * (good / total) * (bad / total) * ((total - draws) / (total - 1))
+        assert abs(x.mean() - mean) < 5 * math.sqrt(var / n) and abs(x.var() / var - 1) < 0.06
+    assert sharding.hypergeometric(rng, 0, 5, 3) == 0 and sharding.hypergeometric(rng, 5, 0, 3) == 3 and sharding.hypergeometric(rng, 0, 0, 0) == 0
+
+
 def toxic_corpus(seed=0, n=600):
     rng = random.Random(seed)
     rows, labels = [], []
