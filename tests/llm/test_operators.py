@@ -170,12 +170,14 @@ def unit_vectors(seed=3, n=300, dim=12):
     return [[float(np.float32(x)) for x in r] for r in v]
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block": 5, "fan_out_bits": 1}])
+def test_embedding_dedup(spark, sizes):
+    """With blocks of five vectors and two intervals in the one above, the descent has many levels."""
     v = unit_vectors()
     rows = [(i, x, i % 3) for i, x in enumerate(v)]
     rows += [(1000, None, 1), (1001, [0.0] * 12, 1), (1002, [float("nan")] * 12, 1), (1003, [1.0, None] * 6, 1), (1004, v[0], None), (1005, v[0][:5], 0), (1006, v[0][:5], 0), (1007, [], 0), (1008, [float("inf")] + v[0][1:], 0), (0, v[0], 0), (None, v[1], 1), (1009, [x * 1e30 for x in v[2]], 2)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id bigint, embedding array<float>, label int, node int, comp string")
-    got = embedding_dedup.report(df).collect()
+    got = embedding_dedup.report(df, **sizes).collect()
     ok = lambda x: x and all(y is not None and np.isfinite(y) for y in x) and any(x)
     n, parent = len(rows), list(range(len(rows)))
 

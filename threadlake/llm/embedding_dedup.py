@@ -2,7 +2,8 @@
 
 Unit vectors are turned onto their principal axes and put on a grid of cell
 width epsilon, the distance that belongs to the least cosine.  Vectors sorted by
-their cells are one sequence, cut into intervals at three levels; pairs of
+their cells are one sequence, cut into blocks and, above them, into intervals of
+sixteen of the intervals below; from one root for each label, pairs of
 intervals are joined recursively, and a pair whose bounding boxes lie farther
 apart than epsilon is skipped with all below it.  Equal vectors are one node from the start.
 """
@@ -16,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, record, save, stage
+from ._common import components, numbered, record, save, stage
 
 LEAST_COSINE = 0.93
-#: Leading axes in the grid; vectors in a block, the lowest interval; blocks in the interval above, as a power of two.
+#: Leading axes in the grid; vectors in a block, the lowest interval; intervals in the one above, as a power of two.
 AXES, BLOCK, FAN_OUT_BITS = 4, 256, 4
 #: Inside a block pair, intervals are halved down to this.
 LEAF = 64
@@ -44,10 +45,18 @@ def _axes(nodes: DataFrame) -> np.ndarray | None:
                 total, s, n = total + x.T @ x, s + x.sum(axis=0), n + len(x)
         yield pd.DataFrame({"i": range(dim + 2), "row": [*total, s, np.full(dim, float(n))]})
 
-    sums = nodes.where(F.col("dim") == dim).select("v").mapInPandas(moments, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, row in zip(b["i"], b["row"], strict=True):
+                sums[i] = sums.get(i, 0.0) + row
+        yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
+
+    schema = "i int, row array<double>"
+    sums = nodes.where(F.col("dim") == dim).select("v").mapInPandas(moments, schema).repartition("i").mapInPandas(add, schema)
     m = np.zeros((dim + 2, dim))
     for r in sums.collect():
-        m[r["i"], r["j"]] = r["x"]
+        m[r["i"]] = r["row"]
     n = m[dim + 1, 0]
     cov = m[:dim] / n - np.outer(m[dim], m[dim]) / n**2
     return np.linalg.eigh((cov + cov.T) / 2)[1][:, ::-1][:, :AXES]
@@ -130,7 +139,7 @@ def _join_blocks(axes: np.ndarray, least: float, eps: float):
     return run
 
 
-def _blocks(nodes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
+def _blocks(nodes: DataFrame, axes: np.ndarray, eps: float, block: int) -> DataFrame:
     """Packed blocks in grid order, one row each with its bounding box."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,10 +168,10 @@ def _blocks(nodes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             held = b if held is None else pd.concat([held, b])
             groups = [g for _, g in held.groupby(["label", "dim"], sort=False)]
             for k, g in enumerate(groups):
-                end = len(g) if k < len(groups) - 1 else len(g) // BLOCK * BLOCK  # the last run may go on
-                for i in range(0, end, BLOCK):
-                    yield out(g.iloc[i : min(end, i + BLOCK)])
-            held = groups[-1].iloc[len(groups[-1]) // BLOCK * BLOCK :] if groups else held
+                end = len(g) if k < len(groups) - 1 else len(g) // block * block  # the last run may go on
+                for i in range(0, end, block):
+                    yield out(g.iloc[i : min(end, i + block)])
+            held = groups[-1].iloc[len(groups[-1]) // block * block :] if groups else held
         if held is not None and len(held):
             yield out(held)
 
@@ -184,27 +193,25 @@ def _near(a: str, b: str, eps: float):
     return sum((g * g for g in gaps), F.lit(0.0)) <= eps * eps
 
 
-def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """Pairs of blocks left after the descent through the intervals."""
-    meta = save(blocks.select("label", "dim", "block", "lo", "hi"), "boxes")
-    levels = [F.shiftright("block", 32), F.shiftright("block", FAN_OUT_BITS), F.col("block")]
-    pairs = None
-    for depth, level in enumerate(levels):
-        nodes = _boxes(meta, level)
-        if pairs is None:
-            a, b = nodes.alias("a"), nodes.alias("b")
-            joined = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.node") <= F.col("b.node")))
-        else:
-            above = meta.select("label", "dim", levels[depth - 1].alias("up"), level.alias("node")).distinct()
-            nodes = nodes.join(above, ["label", "dim", "node"])
-            a, b = nodes.alias("a"), nodes.alias("b")
-            joined = pairs.alias("p").join(a, (F.col("p.label") == F.col("a.label")) & (F.col("p.dim") == F.col("a.dim")) & (F.col("p.na") == F.col("a.up")))
-            joined = joined.join(b, (F.col("p.label") == F.col("b.label")) & (F.col("p.dim") == F.col("b.dim")) & (F.col("p.nb") == F.col("b.up")) & (F.col("a.node") <= F.col("b.node")))
+def _block_pairs(blocks: DataFrame, eps: float, bits: int) -> DataFrame:
+    """Pairs of blocks left after the descent from each label's root: a pair of intervals brings up those below it only if its own boxes are near."""
+    meta = save(numbered(blocks.select("label", "dim", "block", "lo", "hi"), "label", "dim", "block"), "boxes")
+    depth, count = 1, meta.count()
+    while count > 1 << bits * depth:
+        depth += 1
+    # At the root all of a label's blocks are one node, near itself.
+    pairs = meta.select("label", "dim", F.lit(0).cast("bigint").alias("na"), F.lit(0).cast("bigint").alias("nb")).distinct()
+    for height in reversed(range(depth)):
+        nodes = _boxes(meta, F.shiftright("place", bits * height)).withColumn("up", F.shiftright("node", bits))
+        a, b = nodes.alias("a"), nodes.alias("b")
+        joined = pairs.alias("p").join(a, (F.col("p.label") == F.col("a.label")) & (F.col("p.dim") == F.col("a.dim")) & (F.col("p.na") == F.col("a.up")))
+        joined = joined.join(b, (F.col("p.label") == F.col("b.label")) & (F.col("p.dim") == F.col("b.dim")) & (F.col("p.nb") == F.col("b.up")) & (F.col("a.node") <= F.col("b.node")))
         pairs = joined.where(_near("a", "b", eps)).select(F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.col("a.node").alias("na"), F.col("b.node").alias("nb"))
-    return pairs.select(F.col("na").alias("block_a"), F.col("nb").alias("block_b"))
+    name = lambda s: meta.select(F.col("place").alias(f"n{s}"), F.col("block").alias(f"block_{s}"))
+    return pairs.select("na", "nb").join(name("a"), "na").join(name("b"), "nb").select("block_a", "block_b")
 
 
-def near_groups(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_groups(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK, fan_out_bits: int = FAN_OUT_BITS) -> DataFrame:
     """``rec`` (the whole row), ``n_links``, ``component_id``, ``kept`` for every row.
 
     Vectors are linked when their labels are equal and not null, their lengths
@@ -228,9 +235,9 @@ def near_groups(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str = "
     if axes is None:
         links = staged.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
     else:
-        blocks = save(_blocks(nodes, axes, eps), "blocks")
+        blocks = save(_blocks(nodes, axes, eps, block), "blocks")
         side = lambda s: blocks.select(F.col("block").alias(f"block_{s}"), F.col("ids").alias(f"ids_{s}"), F.col("copies").alias(f"copies_{s}"), F.col("data").alias(f"data_{s}"))
-        work = _block_pairs(blocks, eps).join(side("b"), "block_b").join(side("a"), "block_a")
+        work = _block_pairs(blocks, eps, fan_out_bits).join(side("b"), "block_b").join(side("a"), "block_a")
         links = save(work.mapInPandas(_join_blocks(axes, least, eps), "a bigint, b bigint, n bigint"), "links")
     counts = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     edges = links.where("b is not null").select("a", "b")
@@ -243,4 +250,5 @@ def near_groups(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str = "
 
 
 def report(vectors: DataFrame, id_col: str = "vec_id", **options) -> DataFrame:
+    """One row per vector: id, links, component and whether it stays; other cases as in :func:`near_groups`."""
     return near_groups(vectors, id_col=id_col, **options).select(F.col(f"rec.`{id_col}`").alias("vec_id"), "n_links", "component_id", "kept")
