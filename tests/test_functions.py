@@ -84,7 +84,10 @@ def test_visibility(spark):
 def test_user_title(spark):
     assert one(spark, sections.user_title(F.col("x")), "<environment_context>\nx</environment_context> Fix it ") == "Fix it"
     assert one(spark, sections.user_title(F.col("x")), "# AGENTS.md instructions for /x") is None
-    assert one(spark, sections.user_title(F.col("x")), "<command-name>/run</command-name>") == "/run"
+    assert one(spark, sections.user_title(F.col("x")), "<user_query>run it</user_query>") == "run it"
+    assert one(spark, sections.user_title(F.col("x")), "<user_instructions> run </user_instructions>") == "run"
+    assert one(spark, sections.user_title(F.col("x")), "<permissions instructions>no</permissions instructions><recommended_plugins>p</recommended_plugins><instructions>\n</instructions>go") == "go"
+    assert one(spark, sections.user_title(F.col("x")), "  # AGENTS.md instructions for x") is None
 
 
 @pytest.mark.parametrize("text", ["résumé Été_x", "🤖 🙂 ₿ -> :: &&", "ﬁ ß ½ ² Ⅷ", "修复 123 ->", "İstanbul", "foo-bar", "x"])
@@ -116,7 +119,7 @@ def test_match_and_bm25_against_the_standard_library(spark, query):
     phrases = parse_query(query)
     fts = " AND ".join('"' + " ".join(p.words) + '"' + ("*" if p.prefix else "") for p in phrases)
     want = dict(db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (fts,)).fetchall())
-    postings, lengths = build_index(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
-    assert {r["id"] for r in match(postings, phrases).collect()} == set(want)
-    got = {r["id"]: r["score"] for r in bm25(postings, lengths, phrases).collect()}
+    index = build_index(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    assert {r["id"] for r in match(index.postings, phrases).collect()} == set(want)
+    got = {r["id"]: r["score"] for r in bm25(index, phrases).collect()}
     assert got == pytest.approx(want)

@@ -40,7 +40,7 @@ def test_block_records(spark):
         {"type": "user", "uuid": "u3", "sessionId": "s", "message": {"content": [{"type": "tool_result", "content": [{"type": "text", "text": "boom"}], "is_error": True}]}},
         "not json {",
         {"type": "progress", "uuid": "u4"},
-        {"type": "assistant", "uuid": "u5", "sessionId": "s", "isSidechain": True, "message": {"content": [{"type": "image", "source": {}}]}},
+        {"type": "assistant", "uuid": "u5", "sessionId": "s", "isSidechain": True, "message": {"content": [{"type": "image", "source": {"data": "x"}}]}},
     ]
     rows = adapters.claude(lines(spark, "claude", records)).orderBy("byte_offset").collect()
     assert [(r["role"], r["prose"], r["tool_invocation"], r["tool_output"], r["reasoning"], r["has_error"]) for r in rows] == [

@@ -71,8 +71,8 @@ def resolved_title() -> Column:
 
 
 #: Tags that clients inject around or before what a user typed.
-DROPPED_TAGS = ("environment_context", "user_instructions", "system-reminder", "local-command-stdout", "command-message")
-UNWRAPPED_TAGS = ("command-name", "command-args")
+DROPPED_TAGS = ("environment_context", "permissions instructions", "recommended_plugins", "instructions", "system-reminder")
+UNWRAPPED_TAGS = ("user_query", "user_instructions")
 INJECTED_START = "# AGENTS.md instructions for"
 
 
@@ -84,7 +84,7 @@ def user_title(prose: Column) -> Column:
     for t in UNWRAPPED_TAGS:
         out = F.regexp_replace(out, f"(?s)</?{t}>", "")
     out = F.nullif(F.regexp_replace(out, r"^\s+|\s+$", ""), F.lit(""))
-    return F.when(~F.startswith(out, F.lit(INJECTED_START)), out)
+    return F.when(~F.startswith(F.regexp_replace(prose, r"^\s+", ""), F.lit(INJECTED_START)), out)
 
 
 def has_plan(text: Column) -> Column:

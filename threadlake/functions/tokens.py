@@ -50,7 +50,12 @@ def late_symbols() -> tuple[tuple[int, int], ...]:
 
 
 def token_class() -> str:
-    return r"[\p{L}\p{N}\p{Co}" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in late_symbols()) + "]+"
+    """As a pattern.  The late symbols' many ranges stand behind one comparison, so common separators are not tried against each of them."""
+    late = late_symbols()
+    if not late:
+        return r"[\p{L}\p{N}\p{Co}]+"
+    ranges = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in late)
+    return rf"[\p{{L}}\p{{N}}\p{{Co}}[[^\x00-\x{{{late[0][0] - 1:X}}}]&&[{ranges}]]]+"
 
 
 def tokens(text: Column) -> Column:

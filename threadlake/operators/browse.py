@@ -42,6 +42,13 @@ def transcript(message: DataFrame, session_id: int) -> DataFrame:
     return message.where(F.col("session_id") == session_id).orderBy("seq")
 
 
+def message(message: DataFrame, session: DataFrame, source_file: DataFrame, id_: int) -> DataFrame:
+    """One message with its session and file; none if either is gone."""
+    s = session.select(F.col("id").alias("session_id"), "external_id", "project_id")
+    f = source_file.select(F.col("id").alias("source_file_id"), "path")
+    return message.where(F.col("id") == id_).join(s, "session_id").join(f, "source_file_id")
+
+
 def failures(failure: DataFrame, session_id: int | None = None) -> DataFrame:
     rows = failure if session_id is None else failure.where(F.col("session_id") == session_id)
     return rows.orderBy(F.col("ts").desc(), "source_key")

@@ -38,15 +38,18 @@ def number_in_session(df: DataFrame, order: tuple[str, ...] = ARRIVAL, start: Co
     return df.withColumn("seq", F.row_number().over(w) - 1 + start)
 
 
-def message_ids(df: DataFrame, order: tuple[str, ...] = ARRIVAL) -> DataFrame:
-    """``id`` holds the clamped millisecond and an ordinal; a full millisecond goes on below zero."""
+def message_ids(df: DataFrame, order: tuple[str, ...] = ARRIVAL, first: Column | int = 0, overflow: Column | int = OVERFLOW_START, capacity: int = 1 << ORDINAL_BITS) -> DataFrame:
+    """``id`` holds the clamped millisecond and an ordinal from ``first``; a full millisecond goes on below zero from ``overflow``.
+
+    Rows over capacity are numbered by millisecond and offset by the totals of the full milliseconds before.
+    """
     w = Window.partitionBy("_ms").orderBy(*order)
-    placed = df.withColumn("_ms", clamp_ts(F.col("ts"))).withColumn("_n", (F.row_number().over(w) - 1).cast("bigint"))
-    capacity = 1 << ORDINAL_BITS
-    full = placed.where(F.col("_n") >= capacity)
-    fits = placed.where(F.col("_n") < capacity).withColumn("id", F.shiftleft("_ms", ORDINAL_BITS) + F.col("_n"))
-    rest = full.withColumn("id", F.lit(OVERFLOW_START) + F.row_number().over(Window.orderBy(*order)) - 1)  # empty but for over a million rows of one millisecond
-    return fits.unionByName(rest).drop("_ms", "_n")
+    placed = df.withColumn("_ms", clamp_ts(F.col("ts"))).withColumn("_n", (F.row_number().over(w) - 1 + first).cast("bigint"))
+    full = placed.where(F.col("_n") >= capacity).groupBy("_ms").agg(F.count("*").alias("_over"))
+    before = F.coalesce(F.sum("_over").over(Window.orderBy("_ms").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a full millisecond
+    rows = placed.join(full.select("_ms", before.alias("_before")), "_ms", "left")
+    ident = F.when(F.col("_n") < capacity, F.shiftleft("_ms", ORDINAL_BITS) + F.col("_n")).otherwise(overflow + F.col("_before") + F.col("_n") - capacity)
+    return rows.withColumn("id", ident).drop("_ms", "_n", "_before")
 
 
 def derive(messages: DataFrame) -> DataFrame:
@@ -84,16 +87,17 @@ def merge_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def session_metadata(records: DataFrame) -> DataFrame:
-    """Per external id: the first user title, the last explicit title that is not blank, whether a plan was made.
+def session_metadata(records: DataFrame, *key: str) -> DataFrame:
+    """Per external id: the first user title, the last explicit title that is not blank (else the last summary), whether a plan was made.
 
-    ``records`` has ``prose`` (user text), ``explicit_title`` and ``plan`` with the arrival columns.
+    ``records`` has ``prose`` (user text), ``explicit_title``, ``plan`` and perhaps ``summary`` with the arrival columns.
     """
     order = F.struct(*ARRIVAL)
     typed = user_title(F.col("prose"))
-    explicit = F.nullif(F.trim("explicit_title"), F.lit(""))
-    return records.groupBy("external_id").agg(
+    given = lambda c: F.max_by(F.nullif(F.trim(c), F.lit("")), F.when(F.nullif(F.trim(c), F.lit("")).isNotNull(), order))
+    titles = [given(c) for c in ("explicit_title", "summary") if c in records.columns]
+    return records.groupBy(*(key or ("external_id",))).agg(
         F.min_by(preview(typed), F.when(typed.isNotNull(), order)).alias("first_user_message"),
-        F.max_by(explicit, F.when(explicit.isNotNull(), order)).alias("generated_title"),
+        F.coalesce(*titles).alias("generated_title"),
         F.bool_or(F.coalesce("plan", F.lit(False))).alias("has_plan"),
     )

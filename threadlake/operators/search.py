@@ -1,17 +1,19 @@
 """Full-text search over a posting table: parse, match, rank, page.
 
-``postings(id, token, positions)`` and ``lengths(id, n)`` are ordinary tables;
-a query reads only the postings of its own tokens.
+``postings(id, token, positions, n)`` is an ordinary table, stored in order of the
+token, so a query's terms prune the files and row groups it reads; ``n`` is the row's
+number of tokens, and ``corpus`` holds the two figures of all rows that scores need.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import storage
 from ..functions.tokens import tokenise, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -59,17 +61,32 @@ def parse_query(text: str) -> list[Phrase]:
     return [p for p in phrases if p.words]
 
 
-def build_index(messages: DataFrame, id_col: str = "id", text: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(postings, lengths)`` of all messages whose text is not blank."""
+class Index(NamedTuple):
+    postings: DataFrame
+    corpus: DataFrame
+
+
+def build_index(messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
+    """Postings of all messages whose text is not blank, a message's own built inside its row, and ``(total, avg_len)``."""
     text = F.col("text") if text is None else text
     base = messages.select(F.col(id_col).alias("id"), text.alias("body")).where(F.trim("body") != "").select("id", tokens(F.col("body")).alias("words"))
-    seen = base.select("id", F.posexplode("words").alias("pos", "token"))
-    postings = seen.groupBy("id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return postings, base.select("id", F.size("words").alias("n"))
+    seen = base.select("id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "token"))
+    postings = seen.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("n").alias("n"))
+    return Index(postings, base.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("avg_len")))
+
+
+def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
+    """The index of messages in this state, from storage if it is there; else it is built and stored in order of the token."""
+
+    def tables() -> dict[str, DataFrame]:
+        new = build_index(messages, id_col, text)
+        return {"postings": new.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "corpus": new.corpus.coalesce(1)}
+
+    return Index(**storage.kept(spark, f"search-{name}", state, tables))
 
 
 def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """``(id, phrase, tf)``: how often each phrase stands in each row that has it."""
+    """``(id, phrase, tf, n)``: how often each phrase stands in each row that has it, and the row's length."""
 
     def fits(word: str, open_end: bool) -> Column:
         return F.startswith("token", F.lit(word)) if open_end else F.col("token") == word
@@ -80,9 +97,9 @@ def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
     for _, _, cond in slots[1:]:
         any_slot = any_slot | cond
     # A phrase stands where all its words agree on one start.
-    starts = postings.where(any_slot).select("id", F.explode(wanted).alias("s"), "positions").select("id", "s.*", F.explode("positions").alias("pos"))
-    found = starts.groupBy("id", "phrase", "size", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("words")).where("words = size")
-    return found.groupBy("id", "phrase").agg(F.count("*").alias("tf"))
+    starts = postings.where(any_slot).select("id", "n", F.explode(wanted).alias("s"), "positions").select("id", "n", "s.*", F.explode("positions").alias("pos"))
+    found = starts.groupBy("id", "n", "phrase", "size", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("words")).where("words = size")  # a start and an offset name one token
+    return found.groupBy("id", "n", "phrase").agg(F.count("*").alias("tf"))
 
 
 def match(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
@@ -90,16 +107,25 @@ def match(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
     return phrase_hits(postings, phrases).groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") == len(phrases)).select("id")
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, phrases: list[Phrase]) -> DataFrame:
+def bm25(index: Index, phrases: list[Phrase]) -> DataFrame:
     """``(id, score)`` of the rows that hold every phrase; lower is better.  Corpus figures are of all indexed rows."""
-    hits = phrase_hits(postings, phrases)
-    rows = hits.groupBy("phrase").agg(F.count("*").alias("n"))
-    corpus = lengths.agg(F.count("*").alias("total"), F.avg("n").alias("avg_len"))  # one row
-    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    rated = rows.crossJoin(F.broadcast(corpus)).select("phrase", "avg_len", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
-    scored = hits.join(F.broadcast(rated), "phrase").join(lengths, "id")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))
-    return scored.groupBy("id").agg(F.count("*").alias("k"), (-F.sum(part)).alias("score")).where(F.col("k") == len(phrases)).select("id", "score")
+    hits = phrase_hits(index.postings, phrases)
+    # A row's counts side by side, so the phrases' rows are counted in the same pass that scores read.
+    wide = hits.groupBy("id", "n").agg(*[F.sum(F.when(F.col("phrase") == k, F.col("tf"))).alias(f"tf{k}") for k in range(len(phrases))])
+    rows = wide.agg(*[F.count(f"tf{k}").alias(f"df{k}") for k in range(len(phrases))]).crossJoin(F.broadcast(index.corpus))  # one row each
+
+    def idf(k: int) -> Column:
+        x = F.log((F.col("total") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        return F.when(x > 0, x).otherwise(F.lit(LEAST_IDF))
+
+    def part(k: int) -> Column:
+        tf = F.col(f"tf{k}")
+        return idf(k) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))
+
+    score = part(0)
+    for k in range(1, len(phrases)):
+        score = score + part(k)  # null if a phrase is not there
+    return wide.crossJoin(F.broadcast(rows)).select("id", (-score).alias("score")).where("score is not null")
 
 
 def filters(df: DataFrame, supported: DataFrame, agents: list[str] | None = None, project: str | None = None, since: int | None = None, until: int | None = None, errors_only: bool = False) -> DataFrame:
@@ -135,18 +161,30 @@ def after_relevance(df: DataFrame, score: float, id_: int) -> DataFrame:
     return df.where((F.col("score") > score) | ((F.col("score") == score) & (F.col("id") < id_)))
 
 
-def search(corpus: DataFrame, postings: DataFrame, lengths: DataFrame, supported: DataFrame, text: str, sort: str = "recency", limit: int = PAGE, cursor: tuple | None = None, **only) -> DataFrame:
-    """One page of results.  ``corpus`` has one row a message with its session, project and file columns."""
+def search(corpus: DataFrame, index: Index, supported: DataFrame, text: str, sort: str = "recency", limit: int = PAGE, cursor: tuple | None = None, **only) -> DataFrame:
+    """One page of results.  ``corpus`` has one row a message with its session, project, file and root columns.
+
+    ``has_more`` says whether rows follow the page; :func:`next_cursor` is where they start.
+    """
     phrases = parse_query(text)
     if not phrases:
-        return corpus.limit(0)
-    hits = match(postings, phrases) if sort == "recency" else bm25(postings, lengths, phrases)
+        return corpus.limit(0).withColumn("has_more", F.lit(False))
+    hits = match(index.postings, phrases) if sort == "recency" else bm25(index, phrases)
     found = filters(corpus, supported, **only).join(hits, "id")
     if sort == "recency":
-        found = after_recency(found, *cursor) if cursor else found
-        return found.orderBy(*RECENCY()).limit(limit)
-    found = after_relevance(found, *cursor) if cursor else found
-    return found.orderBy(F.col("score").asc(), F.col("id").desc()).limit(limit)
+        found, order = after_recency(found, *cursor) if cursor else found, RECENCY()
+    else:
+        found, order = after_relevance(found, *cursor) if cursor else found, [F.col("score").asc(), F.col("id").desc()]
+    top = found.orderBy(*order).limit(limit + 1)
+    placed = top.withColumn("_place", F.row_number().over(Window.orderBy(*order))).withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > limit)  # a page and one row
+    return placed.where(F.col("_place") <= limit).orderBy("_place").drop("_place")
+
+
+def next_cursor(page: DataFrame, sort: str = "recency") -> tuple[Any, int] | None:
+    """The last row's sort values, if rows follow it."""
+    by = [F.col("ts").asc(), (F.col("id") < 0).asc(), F.col("id").asc()] if sort == "recency" else [F.col("score").desc(), F.col("id").asc()]
+    last = page.orderBy(*by).limit(1).select("ts" if sort == "recency" else "score", "id", "has_more").first()
+    return (last[0], last["id"]) if last and last["has_more"] else None
 
 
 def grouped(page: DataFrame) -> DataFrame:

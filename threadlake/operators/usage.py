@@ -45,7 +45,7 @@ def usage(rollups: DataFrame, projects: DataFrame, since: str | None = None, thr
     if not sidechains:
         rows = rows.where(~F.col("is_sidechain"))
     names = projects.select(F.col("id").alias("project_id"), F.col("display_name").alias("project"))
-    return rows.join(names, "project_id")
+    return rows.join(names, "project_id").orderBy(F.col("day").desc(), "project", "model")
 
 
 def date_range(preset: str, today: str) -> tuple[str | None, str | None]:

@@ -54,6 +54,10 @@ class Tables:
             F.coalesce(F.length("text") % 11 == 0, F.lit(False)).alias("has_error"), (F.col("turn") % 5 == 4).alias("is_sidechain"),
         )
 
+    def message_text(self) -> DataFrame:
+        """Ids and texts alone, without the turns' numbering."""
+        return self.raw("conversations").select(((F.lit(EPOCH) + F.col("conv_id") * 60_000 + F.col("turn") * 1000) * (1 << ORDINAL_BITS)).alias("id"), F.coalesce("text", F.lit("")).alias("prose"))
+
     def session(self) -> DataFrame:
         user = (F.col("role") == "user") & (F.col("prose") != "")
         return self.message().groupBy(F.col("session_id").alias("id"), "source_file_id", "agent").agg(

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import storage
 from .functions import scalar, sections
 from .functions.tokens import tokens
-from .operators import browse, dml, ingest, paging, search, usage
+from .operators import browse, dml, index_job, ingest, paging, search, usage
 from .plans.tables import EPOCH, RATES, Tables
 from .sources import adapters
 from .streaming import tail
@@ -78,19 +79,22 @@ def register(sql: str | None = None):
 
 
 def _corpus(t: Tables) -> DataFrame:
+    """Messages with what searches filter by and show: session, project, file and root."""
     s = t.session().select(F.col("id").alias("session_id"), "had_error", "project_id", "external_id")
     p = t.project().select(F.col("id").alias("project_id"), F.col("canonical_key").alias("project_key"))
-    return t.message().join(s, "session_id").join(p, "project_id")
+    f = t.source_file().select(F.col("id").alias("source_file_id"), "path", "root_id")
+    r = t.root().select(F.col("id").alias("root_id"), F.col("path").alias("root_path"))
+    return t.message().join(s, "session_id").join(p, "project_id").join(f, "source_file_id").join(r, "root_id", "left")
 
 
 def _found(t: Tables, text: str, **options) -> DataFrame:
-    postings, lengths = search.build_index(t.message(), text=F.col("prose"))
-    return search.search(_corpus(t), postings, lengths, t.supported(), text, **options)
+    index = search.stored_index(t.spark, "messages", storage.state_of(t.raw("conversations")), t.message_text(), text=F.col("prose"))
+    return search.search(_corpus(t), index, t.supported(), text, **options)
 
 
 _MATCH = """, hit AS (SELECT id FROM conv_token WHERE starts_with(token, 'th') INTERSECT SELECT id FROM conv_token WHERE token = 'and')
-SELECT m.id, m.session_id, m.ts, m.role, m.agent FROM message m JOIN session s ON s.id = m.session_id JOIN hit ON hit.id = m.id WHERE m.agent <> 'other' {} ORDER BY m.ts DESC, m.id DESC LIMIT {}"""
-_RESULT = ("id", "session_id", "ts", "role", "agent")
+SELECT m.id, m.session_id, m.ts, m.role, m.agent, f.path, r.path AS root_path FROM message m JOIN session s ON s.id = m.session_id JOIN hit ON hit.id = m.id JOIN source_file f ON f.id = m.source_file_id LEFT JOIN root r ON r.id = f.root_id WHERE m.agent <> 'other' {} ORDER BY m.ts DESC, m.id DESC LIMIT {}"""
+_RESULT = ("id", "session_id", "ts", "role", "agent", "path", "root_path")
 
 
 @register(_MATCH.format("", 200))
@@ -119,16 +123,42 @@ len AS (SELECT id, count(*) AS n FROM doc_token GROUP BY id),
 corpus AS (SELECT count(*) AS total, (SELECT avg(coalesce(n, 0)) FROM documents d LEFT JOIN len ON len.id = d.doc_id WHERE trim(text) <> '') AS avg_len FROM documents WHERE trim(text) <> ''),
 df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY phrase),
 idf AS (SELECT phrase, CASE WHEN ln((total - df + 0.5) / (df + 0.5)) > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, corpus),
-score AS (SELECT id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))) AS score FROM tf JOIN idf USING (phrase) JOIN len USING (id), corpus GROUP BY id HAVING count(*) = 2)
-SELECT id, round(score, 9) AS score FROM score ORDER BY score, id DESC LIMIT 200"""
+score AS (SELECT id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))) AS score FROM tf JOIN idf USING (phrase) JOIN len USING (id), corpus GROUP BY id HAVING count(*) = 2),
+doc AS (SELECT doc_id AS id, doc_id // 10 AS session_id, ['claude', 'codex', 'gemini', 'other'][doc_id % 4 + 1] AS agent, '/work/proj' || (doc_id // 10) % 7 AS project_key, {EPOCH} + doc_id * 1000 AS ts, doc_id % 11 = 0 AS has_error, (doc_id // 10) % 6 = 0 AS had_error FROM documents),
+ranked AS (SELECT d.id, session_id, project_key, round(score, 9) AS score, score AS exact FROM doc d JOIN score USING (id) WHERE agent <> 'other' {{}})
+SELECT id, session_id, project_key, score FROM ranked {{}} ORDER BY exact, id DESC LIMIT {{}}""".replace("{EPOCH}", str(EPOCH)).replace("{{}}", "{}")
 
 
-@register(_BM25)
+def _documents(t: Tables, **options) -> DataFrame:
+    """Documents searched as messages, ten to a session, by relevance; the bare term makes a phrase whose last word may go on."""
+    d = t.raw("documents")
+    session = F.floor(F.col("doc_id") / 10)
+    corpus = d.select(
+        F.col("doc_id").alias("id"), session.alias("session_id"), t.agent_of(F.col("doc_id")).alias("agent"), F.concat(F.lit("/work/proj"), F.pmod(session, F.lit(7)).cast("string")).alias("project_key"),
+        (F.lit(EPOCH) + F.col("doc_id") * 1000).alias("ts"), (F.col("doc_id") % 11 == 0).alias("has_error"), (session % 6 == 0).alias("had_error"),
+    )
+    index = search.stored_index(t.spark, "documents", storage.state_of(d), d.select(F.col("doc_id").alias("id"), "text"))
+    return search.search(corpus, index, t.supported(), '"the" of-t', sort="relevance", **options)
+
+
+_SHOWN = ("id", "session_id", "project_key")
+
+
+@register(_BM25.format("", "", 200))
 def q2_search_relevance(t):
-    docs = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
-    postings, lengths = search.build_index(docs)
-    scored = search.bm25(postings, lengths, search.parse_query('"the" "of t"')[:1] + [search.Phrase(("of", "t"), True)])
-    return scored.orderBy("score", F.col("id").desc()).limit(200).select("id", F.round("score", 9).alias("score"))
+    return _documents(t).select(*_SHOWN, F.round("score", 9).alias("score"))
+
+
+@register(_BM25.format(f"AND agent IN ('claude', 'gemini') AND ts >= {EPOCH + 50_000} AND ts <= {EPOCH + 800_000} AND (has_error OR had_error)", "", 200))
+def q2_filtered(t):
+    return _documents(t, agents=["claude", "gemini"], since=EPOCH + 50_000, until=EPOCH + 800_000, errors_only=True).select(*_SHOWN, F.round("score", 9).alias("score"))
+
+
+@register(_BM25.format("", "", "10 OFFSET 5"))
+def q2_next_page(t):
+    """The page after the first five results, by the first page's cursor."""
+    first = _documents(t, limit=5)
+    return _documents(t, limit=10, cursor=search.next_cursor(first, "relevance")).select(*_SHOWN, F.round("score", 9).alias("score"))
 
 
 @register("SELECT p.id, canonical_key, display_name, count(*) AS session_count, coalesce(max(last_activity_at), 0) AS last_activity_at FROM project p JOIN session s ON s.project_id = p.id WHERE s.agent <> 'other' GROUP BY ALL")
@@ -170,6 +200,11 @@ def q6_session(t):
     return _summaries(t).where(F.col("id") == 11).select(*_SUMMARY_COLS)
 
 
+@register(f"SELECT id, session_id, seq, role, prose, path FROM (SELECT m.*, f.path FROM message m JOIN source_file f ON f.id = source_file_id) WHERE id = {(EPOCH + 11 * 60_000 + 1_000) << 20}")
+def q6_message(t):
+    return browse.message(t.message(), t.session(), t.source_file(), (EPOCH + 11 * 60_000 + 1_000) << 20).select("id", "session_id", "seq", "role", "prose", "path")
+
+
 @register("SELECT id, seq, role, ts, prose, has_error FROM message WHERE session_id = 11")
 def q7_transcript(t):
     return browse.transcript(t.message(), 11).select("id", "seq", "role", "ts", "prose", "has_error")
@@ -334,6 +369,73 @@ def prj6_chat_records(t):
     return adapters.messages(adapters.gemini(lines)).select("external_id", "source_key", "role", "ts", "prose")
 
 
+def _log_lines(t: Tables) -> DataFrame:
+    """Conversations as log files of one provider: ten sessions a file, records in order, usage on every third."""
+    iso = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    used = F.when(F.col("seq") % 3 == 0, F.struct((F.col("seq") + 1).alias("input_tokens"), F.length("prose").alias("output_tokens")))
+    body = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("prose").alias("text"))).alias("content"), F.when(F.col("seq") % 3 == 0, "mod").alias("model"), used.alias("usage"))
+    record = F.struct(F.col("role").alias("type"), F.col("source_key").alias("uuid"), F.concat(F.lit("conv-"), F.col("session_id").cast("string")).alias("sessionId"), F.concat(F.lit("/work/proj"), F.pmod("source_file_id", F.lit(7)).cast("string")).alias("cwd"), iso.alias("timestamp"), F.col("has_error").alias("is_error"), body.alias("message"))
+    path = F.concat(F.lit("/logs/claude/f"), F.col("source_file_id").cast("string"), F.lit(".jsonl"))
+    return t.message().select(F.lit("claude").alias("agent"), path.alias("path"), (F.col("session_id") * 1_000_000 + F.col("seq") * 1000).alias("byte_offset"), F.lit(1).cast("bigint").alias("byte_length"), F.to_json(record).alias("raw"), "seq")
+
+
+def _log_files(lines: DataFrame, action: str, stored: DataFrame | None = None) -> DataFrame:
+    files = lines.groupBy("agent", "path").agg(F.max("byte_offset").alias("size")).select("agent", "path", F.lit(1).cast("bigint").alias("root_id"), F.lit(1).cast("bigint").alias("dev"), F.xxhash64("path").alias("inode"), "size", F.lit(1).cast("bigint").alias("mtime_ns"), F.lit("h").alias("head_hash"), F.lit(action).alias("action"), F.lit(0).cast("bigint").alias("start"))
+    return index_job.with_ids(files, stored if stored is not None else _no_files(lines), "agent", "path")
+
+
+def _no_files(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], index_job.FILE)
+
+
+def _indexed(t: Tables, halves: bool = False) -> dict[str, DataFrame]:
+    """The job's tables from those logs: read at once, or the first turns and then what came after."""
+    lines = storage.save(_log_lines(t), "lines")
+    empty = {n: t.spark.createDataFrame([], s) for n, s in index_job.TABLES.items()}
+    if not halves:
+        return index_job.build(empty, _log_files(lines, "new"), lines.drop("seq"))
+    early, late = lines.where("seq < 3"), lines.where("seq >= 3")
+    first = {n: storage.save(df, n) for n, df in index_job.build(empty, _log_files(early, "new"), early.drop("seq")).items()}
+    return index_job.build(first, _log_files(late, "append", first["source_file"]), late.drop("seq"))
+
+
+_LOGGED = """, said AS (SELECT session_id, source_file_id, 'conv-' || session_id AS external_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS place, source_key, role, ts, prose, f, has_error, seq, id FROM flat WHERE prose <> '')"""
+
+
+@register(_LOGGED + " SELECT external_id, place AS seq, source_key, role, ts, prose, has_error, id, CASE WHEN length(f) > 160 THEN left(f, 159) || '…' ELSE f END AS prefix, 1 AS section_flags, '/logs/claude/f' || source_file_id || '.jsonl' AS path FROM said")
+def q17_index_messages(t):
+    out = _indexed(t)
+    s, f = out["session"].select(F.col("id").alias("session_id"), "external_id"), out["source_file"].select(F.col("id").alias("source_file_id"), "path")
+    return out["message"].join(s, "session_id").join(f, "source_file_id").select("external_id", "seq", "source_key", "role", "ts", "prose", "has_error", "id", "prefix", "section_flags", "path")
+
+
+_INDEXED_SESSIONS = _LOGGED + """ SELECT external_id, '/work/proj' || source_file_id % 7 AS project_key, min(ts) AS started_at, max(ts) AS last_activity_at, count(*) AS message_count, bool_or(has_error) AS had_error,
+  arg_min(CASE WHEN length(f) > 160 THEN left(f, 159) || '…' ELSE f END, place) FILTER (role = 'user') AS title FROM said GROUP BY external_id, source_file_id"""
+
+
+def _session_rows(out: dict[str, DataFrame]) -> DataFrame:
+    p = out["project"].select(F.col("id").alias("project_id"), F.col("canonical_key").alias("project_key"))
+    return out["session"].join(p, "project_id").select("external_id", "project_key", "started_at", "last_activity_at", "message_count", "had_error", "title")
+
+
+@register(_INDEXED_SESSIONS)
+def q17_index_sessions(t):
+    return _session_rows(_indexed(t))
+
+
+@register(_INDEXED_SESSIONS)
+def q17_appended_sessions(t):
+    """Files that grew between two runs give what one run over the whole gives."""
+    return _session_rows(_indexed(t, halves=True))
+
+
+@register("SELECT strftime(make_timestamp((ts // 1000) * 1000000), '%Y-%m-%d') AS day, '/work/proj' || source_file_id % 7 AS project_key, sum(seq + 1)::BIGINT AS input_tokens, sum(length(prose))::BIGINT AS output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id, source_key ORDER BY session_id) AS n FROM message WHERE seq % 3 = 0 QUALIFY n = 1) GROUP BY ALL")
+def q17_index_usage(t):
+    out = _indexed(t)
+    p = out["project"].select(F.col("id").alias("project_id"), F.col("canonical_key").alias("project_key"))
+    return usage.daily(out["observation"].withColumn("dedupe_key", F.concat_ws(":", "source_file_id", "dedupe_key"))).join(p, "project_id").groupBy("day", "project_key").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
 @register("SELECT source_file_id, session_id, seq, last_value(CASE WHEN seq % 3 = 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY source_file_id ORDER BY session_id, seq) AS ts FROM message")
 def win5_carried_timestamps(t):
     rows = t.message().select("source_file_id", "session_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("ts")).alias("ts"))

@@ -7,10 +7,14 @@ fields, the four sections, and usage counts.  Malformed lines and unknown types
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import error_description, flag, kind, lenient_long, string_at, timestamp_ms
+from ..functions.scalar import error_description, flag, kind, lenient_long, nonempty, string_at, timestamp_ms
+from ..functions.sections import has_plan
 from ..operators.ingest import carry
 
 BLOCKS = "array<variant>"
@@ -21,6 +25,11 @@ TEXT_BLOCKS, REASONING_BLOCKS = ("text", "input_text", "output_text"), ("thinkin
 CODEX_CALLS, CODEX_OUTPUTS = ("function_call", "custom_tool_call"), ("function_call_output", "custom_tool_call_output")
 CODEX_EVENTS = ("turn_aborted", "task_failed", "turn_failed")
 CODEX_FAILED, GEMINI_FAILED = ("failed", "error", "aborted"), ("error", "failed", "cancelled")
+ATTACHMENT_TYPES = ("audio", "document", "file", "image", "image_url", "input_audio", "input_file", "input_image", "output_audio", "output_file", "output_image")
+ATTACHMENT_KEYS = ("attachment", "attachments", "file", "fileData", "image", "image_url", "inlineData")
+CALL_TYPES, WORDS_ONLY = ("tool_use", "function_call", "custom_tool_call"), ("text", "input_text", "output_text", "thinking", "reasoning")
+LABELS, ARGUMENTS = ("type", "media_type", "mime_type", "format"), ("input", "args", "arguments", "media_type", "mime_type", "format")
+CLAUDE_TITLES, PLAN_TOOLS = ("custom-title", "summary"), ("exitplanmode", "exit_plan_mode")
 USAGE = ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", "reasoning_tokens")
 
 
@@ -50,10 +59,50 @@ def _lines(parts: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")
 
 
+def _says_something(x) -> bool:
+    """Whether a JSON value holds more than blanks and labels."""
+    if isinstance(x, dict):
+        return any(_says_something(v) for k, v in x.items() if k not in LABELS)
+    if isinstance(x, list):
+        return any(map(_says_something, x))
+    return bool(x.strip()) if isinstance(x, str) else x is not None
+
+
+def _holds_attachment(content: str) -> bool:
+    """An attachment with content at any depth; a call's arguments and plain text parts are not looked into."""
+    todo = [json.loads(content)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo += x
+        if not isinstance(x, dict):
+            continue
+        name = x.get("type")
+        name = name.lower() if isinstance(name, str) else None
+        if name in CALL_TYPES:
+            continue
+        if (name in ATTACHMENT_TYPES and _says_something(x)) or any(_says_something(x[k]) for k in ATTACHMENT_KEYS if k in x):
+            return True
+        if name not in WORDS_ONLY:
+            todo += [v for k, v in x.items() if k not in ARGUMENTS]
+    return False
+
+
+def _attachments(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: False if c is None else _holds_attachment(c)).astype(bool)
+
+
 def _non_text(v: Column) -> Column:
-    """An image, file or audio part somewhere among the blocks, or one level down in a tool's result."""
-    media = r'"type"\s*:\s*"(image|input_image|image_url|file|input_file|document|audio|input_audio|video)"|"(inlineData|fileData)"\s*:\s*\{\s*"'
-    return F.coalesce(F.to_json(v).rlike(media), F.lit(False))
+    """Whether a message holds more than text.  Only content that names an attachment's type or key is looked into in Python."""
+    content = F.to_json(v)
+    named = '(?i)"(' + "|".join(dict.fromkeys([*ATTACHMENT_TYPES, *ATTACHMENT_KEYS])) + ')"'
+    return F.coalesce(F.pandas_udf(_attachments, "boolean")(F.when(content.rlike(named), content)), F.lit(False))
+
+
+def _submits_plan(name: Column, args: Column) -> Column:
+    """A call of the tool that leaves plan mode, with a plan among its arguments, which may be JSON in a string."""
+    parsed = F.coalesce(F.try_parse_json(string_at(args, "$")), args)
+    return F.coalesce(F.lower(name).isin(*PLAN_TOOLS) & (F.trim(F.coalesce(string_at(parsed, "$.plan"), F.lit(""))) != ""), F.lit(False))
 
 
 def _usage(v: Column, paths: dict[str, str]) -> list[Column]:
@@ -71,7 +120,7 @@ def file_stem(path: Column) -> Column:
 def claude(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("v", F.try_parse_json("raw"))
     v = F.col("v")
-    rows = rows.where(string_at(v, "$.type").isin(*CLAUDE_MESSAGES))
+    rows = rows.where(string_at(v, "$.type").isin(*CLAUDE_MESSAGES, *CLAUDE_TITLES))
     content = F.coalesce(_get(v, "$.message.content"), _get(v, "$.content"))
     blocks = F.coalesce(F.try_variant_get(content, "$", BLOCKS), F.expr(EMPTY_BLOCKS))
     plain = string_at(content, "$")
@@ -82,11 +131,14 @@ def claude(lines: DataFrame) -> DataFrame:
     reasoning = _lines(of(REASONING_BLOCKS, lambda b: F.coalesce(string_at(b, "$.thinking"), string_at(b, "$.text"))))
     call = _lines(of(("tool_use",), lambda b: F.trim(F.concat_ws(" ", F.coalesce(string_at(b, "$.name"), F.lit("tool")), F.coalesce(_json(_get(b, "$.input")), F.lit(""))))))
     output = _lines(of(("tool_result",), lambda b: text_of(_get(b, "$.content"))))
+    planned = F.exists("blocks", lambda b: (btype(b) == "tool_use") & _submits_plan(string_at(b, "$.name"), _get(b, "$.input")))
     failed = F.exists("blocks", lambda b: (btype(b) == "tool_result") & (flag(b, "$.is_error") | flag(b, "$.isError")))
     v = F.col("v")
     rows = rows.select(
-        *_place(), F.lit(0).alias("item"), F.lit("message").alias("kind"), F.col("byte_length"), string_at(v, "$.type").alias("type"),
-        F.coalesce(string_at(v, "$.sessionId"), string_at(v, "$.session_id"), file_stem(F.col("path"))).alias("external_id"),
+        *_place(), F.lit(0).alias("item"), F.when(string_at(v, "$.type").isin(*CLAUDE_MESSAGES), "message").otherwise("context").alias("kind"), F.col("byte_length"), string_at(v, "$.type").alias("type"),
+        F.coalesce(string_at(v, "$.sessionId"), string_at(v, "$.session_id")).alias("external_id"),
+        F.when(string_at(v, "$.type") == "custom-title", string_at(v, "$.customTitle")).alias("explicit_title"), F.when(string_at(v, "$.type") == "summary", string_at(v, "$.summary")).alias("summary"),
+        (F.coalesce(string_at(v, "$.type") == "assistant", F.lit(False)) & (has_plan(prose) | planned)).alias("plan"),
         F.coalesce(string_at(v, "$.cwd"), F.lit("Unknown")).alias("cwd"), timestamp_ms(F.try_variant_get(v, "$.timestamp", "string")).alias("ts"),
         F.coalesce(string_at(v, "$.uuid"), string_at(v, "$.message.id"), F.col("byte_offset").cast("string")).alias("source_key"), string_at(v, "$.uuid").alias("external_uuid"),
         prose.alias("prose"), call.alias("tool_invocation"), output.alias("tool_output"), reasoning.alias("reasoning"), _non_text(F.col("content")).alias("has_non_text"),
@@ -97,7 +149,7 @@ def claude(lines: DataFrame) -> DataFrame:
         *_usage(v, {"input_tokens": "$.message.usage.input_tokens", "output_tokens": "$.message.usage.output_tokens", "cache_write_tokens": "$.message.usage.cache_creation_input_tokens", "cache_read_tokens": "$.message.usage.cache_read_input_tokens", "reasoning_tokens": "$.message.usage.output_tokens_details.thinking_tokens"}),
     )
     role = F.when(F.col("type") == "system", "system").when((F.col("tool_output") != "") & (F.col("prose") == ""), "tool_result").when((F.col("tool_invocation") != "") & (F.col("prose") == ""), "tool_use").otherwise(F.col("type"))
-    return carry(rows.withColumn("role", role).drop("type"), "ts")
+    return carry(rows.withColumn("role", role).drop("type"), "ts", "external_id").withColumn("external_id", F.coalesce("external_id", file_stem(F.col("path"))))
 
 
 def codex(lines: DataFrame) -> DataFrame:
@@ -121,8 +173,10 @@ def codex(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", F.when(response & (call | out | text | think), "message").when(usage, "usage").when(event, "event")).where("kind is not null")
     body = F.coalesce(F.nullif(text_of(_get(v, p("content"))), F.lit("")), F.nullif(text_of(_get(v, p("text"))), F.lit("")), text_of(_get(v, p("message"))))
     ident = F.coalesce(string_at(v, p("id")), string_at(v, p("call_id")), F.col("byte_offset").cast("string"))
+    spoken = (F.col("item_type") == "agent_message") | (response & (F.col("item_type") == "message") & (string_at(v, p("role")) == "assistant"))
+    plan = (spoken & has_plan(body)) | (response & (F.col("item_type") == "plan") & (F.trim(body) != "")) | (call & _submits_plan(string_at(v, p("name")), F.coalesce(_get(v, p("arguments")), _get(v, p("input")))))
     return rows.select(
-        *_place(), "item", "kind", "byte_length",
+        *_place(), "item", "kind", "byte_length", F.lit(None).cast("string").alias("explicit_title"), F.lit(None).cast("string").alias("summary"), F.coalesce(plan, F.lit(False)).alias("plan"),
         F.coalesce("external_id", file_stem(F.col("path"))).alias("external_id"), F.coalesce("cwd", F.lit("Unknown")).alias("cwd"), "ts",
         F.when(F.col("kind") == "message", F.concat_ws(":", "item_type", ident)).otherwise(F.col("byte_offset").cast("string")).alias("source_key"),
         string_at(v, p("id")).alias("external_uuid"),
@@ -139,9 +193,11 @@ def codex(lines: DataFrame) -> DataFrame:
     )
 
 
-def gemini(lines: DataFrame) -> DataFrame:
+def gemini(lines: DataFrame, chat_roots: DataFrame | None = None) -> DataFrame:
     """Lines of a stream, or whole snapshots with offset 0; a line is a message or holds an array of them.
 
+    ``chat_roots(folder, cwd)`` are the side files that name a chat folder's working directory; without one it is the folder above the chats.
+
     A snapshot that is not closed does not parse and gives no rows, so the rows stored before stay.
     """
     rows = lines.withColumn("v", F.try_parse_json("raw")).where("v is not null").withColumn("item", F.lit(0))
@@ -149,10 +205,14 @@ def gemini(lines: DataFrame) -> DataFrame:
     rows = carry(rows.withColumn("session", string_at(v, "$.sessionId")), "session")
     whole = F.array(v)
     nested = F.coalesce(F.try_variant_get(v, "$.messages", BLOCKS), F.try_variant_get(v, "$['$set'].messages", BLOCKS), F.when(kind(v, "$.type") == "STRING", whole), F.expr(EMPTY_BLOCKS))
-    rows = rows.select(*_place(), "byte_length", "session", F.posexplode(nested).alias("item", "m"))
+    # The line itself comes too where it names the session's title or summary.
+    title = lambda n: F.coalesce(string_at(v, f"$.{n}"), string_at(v, f"$['$set'].{n}"))
+    head = F.when(title("title").isNotNull() | title("summary").isNotNull(), F.array(F.parse_json(F.lit("{}")))).otherwise(F.expr(EMPTY_BLOCKS))
+    rows = rows.select(*_place(), "byte_length", "session", title("title").alias("title"), title("summary").alias("summary_text"), F.size(nested).alias("said"), F.posexplode(F.concat(nested, head)).alias("item", "m"))
     m = F.col("m")
     t = string_at(m, "$.type")
-    rows = rows.where(t.isin("user", "gemini", "assistant", "info", "warning", "error"))
+    meta = F.col("item") == F.col("said")
+    rows = rows.where(t.isin("user", "gemini", "assistant", "info", "warning", "error") | meta)
     calls = _blocks(m, "$.toolCalls")
     name = lambda c: F.coalesce(string_at(c, "$.name"), string_at(c, "$.displayName"), F.lit("tool"))
     response = "functionResponse.response"
@@ -162,7 +222,9 @@ def gemini(lines: DataFrame) -> DataFrame:
     thoughts = F.transform(_blocks(m, "$.thoughts"), lambda x: F.coalesce(string_at(x, "$.description"), string_at(x, "$.subject")))
     ident = F.coalesce(string_at(m, "$.id"), F.concat_ws(".", F.col("byte_offset").cast("string"), F.col("item").cast("string")))
     out = rows.select(
-        *_place(), "item", F.lit("message").alias("kind"), "byte_length", F.coalesce("session", file_stem(F.col("path"))).alias("external_id"),
+        *_place(), "item", F.when(meta, "context").otherwise("message").alias("kind"), "byte_length", F.coalesce("session", file_stem(F.col("path"))).alias("external_id"),
+        F.when(meta, F.col("title")).alias("explicit_title"), F.when(meta, F.col("summary_text")).alias("summary"),
+        F.coalesce((t.isin("gemini", "assistant") & has_plan(text_of(_get(m, "$.content")))) | ((t != "user") & F.exists(calls, lambda c: _submits_plan(string_at(c, "$.name"), _get(c, "$.args")))), F.lit(False)).alias("plan"),
         F.regexp_extract("path", r"^(.*?)/[^/]*/[^/]*$", 1).alias("cwd"), timestamp_ms(F.try_variant_get(m, "$.timestamp", "string")).alias("ts"),
         ident.alias("source_key"), string_at(m, "$.id").alias("external_uuid"), text_of(_get(m, "$.content")).alias("prose"),
         _lines(F.transform(calls, lambda c: F.trim(F.concat_ws(" ", name(c), F.coalesce(_json(_get(c, "$.args")), F.lit("")))))).alias("tool_invocation"),
@@ -172,6 +234,9 @@ def gemini(lines: DataFrame) -> DataFrame:
         *_usage(m, {"input_tokens": "$.tokens.input", "output_tokens": "$.tokens.output", "cache_read_tokens": "$.tokens.cached", "reasoning_tokens": "$.tokens.thoughts"}),
         F.when(t == "user", "user").when(t.isin("gemini", "assistant"), "assistant").otherwise("system").alias("role"),
     )
+    if chat_roots is not None:
+        sides = chat_roots.select(F.col("folder").alias("cwd"), nonempty(F.col("cwd")).alias("side_cwd"))
+        out = out.join(sides, "cwd", "left").withColumn("cwd", F.coalesce("side_cwd", "cwd")).drop("side_cwd")
     return carry(out, "ts")
 
 

@@ -13,16 +13,19 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
-SPLIT_BYTES, CHUNK = 64 << 20, 256 << 10
+SPLIT_BYTES, CHUNK, BATCH_BYTES = 64 << 20, 256 << 10, 8 << 20
 SCHEMA = "agent string, path string, byte_offset bigint, byte_length bigint, raw string"
 
 
 class Piece(InputPartition):
-    def __init__(self, agent: str, path: str, start: int, end: int, first: bool):
-        self.agent, self.path, self.start, self.end, self.first = agent, path, start, end, first
+    def __init__(self, agent: str, path: str, start: int, end: int, first: bool, limit: int):
+        self.agent, self.path, self.start, self.end, self.first, self.limit = agent, path, start, end, first, limit
 
 
 def open_regular(path: str):
@@ -67,12 +70,23 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Piece]:
         out = []
         for agent, path, start, end in self.files:
-            stop = last_newline(path, start, end)
-            out += [Piece(agent, path, a, min(stop, a + self.split), a == start) for a in range(start, stop, self.split)]
-        return out or [Piece("", "", 0, 0, True)]
-
-    def read(self, p: Piece) -> Iterator[tuple]:
-        """Lines that begin in the piece; a line cut by its start belongs to the piece before."""
+            stop = os.path.getsize(path) if end is None else end  # an open last line is left out by the task that reads it
+            out += [Piece(agent, path, a, min(stop, a + self.split), a == start, stop) for a in range(start, stop, self.split)]
+        return out or [Piece("", "", 0, 0, True, 0)]
+
+    def read(self, p: Piece) -> Iterator[pa.RecordBatch]:
+        """Lines that begin in the piece, in Arrow batches; a line cut by its start belongs to the piece before."""
+        held, size = [], 0
+        for at, length, text in self._lines(p):
+            held.append((p.agent, p.path, at, length, text))
+            size += length
+            if size >= BATCH_BYTES:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def _lines(self, p: Piece) -> Iterator[tuple[int, int, str]]:
         if p.start >= p.end:
             return
         with open_regular(p.path) as f:
@@ -83,14 +97,67 @@ class _Reader(DataSourceReader):
             f.seek(at)
             while at < p.end:
                 line = f.readline()
-                if not line.endswith(b"\n"):
+                if not line.endswith(b"\n") or at + len(line) > p.limit:
                     return
                 body = line[:-1].removesuffix(b"\r")
                 if body:
-                    yield p.agent, p.path, at, len(body), body.decode("utf-8", "replace")
+                    yield at, len(body), body.decode("utf-8", "replace")
                 at += len(line)
 
 
+ARROW = pa.schema([("agent", pa.string()), ("path", pa.string()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()), ("raw", pa.string())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
+
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """Byte places of lines that Spark's text reader gave (``agent, value, path, block, size`` in their order).
+
+    Each split's lines run on from the totals of the splits before; a file's last line without a newline is left out.
+    """
+    own = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_n", F.octet_length("value") + F.lit(1).cast("bigint"))
+    inside = Window.partitionBy("path", "block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = own.groupBy("path", "block").agg(F.sum("_n").alias("_total"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("path", "block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    placed = own.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["path", "block"])
+    line = F.regexp_replace("value", r"\r$", "")
+    placed = placed.withColumn("byte_offset", F.col("_start") + F.col("_before")).where(F.col("byte_offset") + F.col("_n") <= F.col("size"))
+    return placed.select("agent", "path", "byte_offset", F.octet_length(line).cast("bigint").alias("byte_length"), line.alias("raw")).where("raw <> ''")
+
+
+def text_lines(reader, agent: str, paths: list[str] | str) -> DataFrame:
+    """Lines by Spark's own text reader, which splits large files and reads any storage; what :func:`with_offsets` takes."""
+    rows = reader.format("text").option("lineSep", "\n").load(paths)
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    return rows.select(F.lit(agent).alias("agent"), "value", path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+
+
+def read_files(todo: DataFrame) -> DataFrame:
+    """The bytes that files of ``(agent, path, start)`` are to be read from: grown ones from their start, others and snapshots whole."""
+    spark = todo.sparkSession
+    parts = [spark.createDataFrame([], SCHEMA)]
+    files = [(r["agent"], r["path"], r["start"]) for r in todo.select("agent", "path", "start").collect()]  # as many as discovery found changed
+    grown = [(a, p, s, None) for a, p, s in files if s > 0]
+    if grown:
+        parts.append(read_lines(spark, grown))
+    for agent in sorted({a for a, _, _ in files}):
+        whole = [p for a, p, s in files if a == agent and not s and p.lower().endswith(".json")]
+        lines = [p for a, p, s in files if a == agent and not s and not p.lower().endswith(".json")]
+        if lines:
+            parts.append(with_offsets(text_lines(spark.read, agent, lines)))
+        if whole:
+            rows = spark.read.option("wholetext", "true").text(whole)
+            path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+            parts.append(rows.select(F.lit(agent).alias("agent"), path.alias("path"), F.lit(0).cast("bigint").alias("byte_offset"), F.octet_length("value").cast("bigint").alias("byte_length"), F.col("value").alias("raw")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def read_lines(spark: SparkSession, files: list[tuple[str, str, int, int | None]], split: int = SPLIT_BYTES) -> DataFrame:
     spark.dataSource.register(JsonlBytes)
     return spark.read.format("jsonl_bytes").option("files", json.dumps(files)).option("splitbytes", str(split)).load()

@@ -12,42 +12,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from ..operators.ingest import first_write
 from ..sources import adapters
+from ..sources.jsonl import text_lines, with_offsets
+from ..storage import save
 
 KEY = ("agent", "path", "source_key")
+#: Folders of a table that streams append to.
+SLOTS = 256
 
 
 def line_stream(spark: SparkSession, folder: str, agent: str, max_files: int = 1000) -> DataFrame:
     """Lines of files that come into a folder whole, one file a rollover; files that grow in place are read by byte range (:func:`append_ranges`)."""
-    raw = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").load(folder)
-    closed = F.regexp_replace(F.col("value"), r"(?s)[^\n]*\z", "")
-    rows = raw.select(F.lit(agent).alias("agent"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.split(closed, "\n").alias("lines"))
-    # Byte offsets: each line starts where the ones before it, with their newlines, end.
-    starts = F.aggregate("lines", F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("all")), lambda acc, x: F.struct((acc["at"] + F.octet_length(x) + 1).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")))["all"]
-    pairs = rows.select("agent", "path", F.explode(F.arrays_zip(starts.alias("byte_offset"), F.col("lines").alias("raw"))).alias("l"))
-    line = F.regexp_replace(F.col("l.raw"), r"\r$", "")
-    return pairs.select("agent", "path", F.col("l.byte_offset").alias("byte_offset"), F.octet_length(line).cast("bigint").alias("byte_length"), line.alias("raw")).where("raw <> ''")
+    return text_lines(spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true"), agent, folder)
 
 
 def append_new(batch: DataFrame, path: str, key: tuple[str, ...] = KEY) -> None:
-    """Appends rows whose key is not stored; of repeated keys in the batch the first to arrive."""
+    """Appends rows whose key is not stored; of repeated keys in the batch the first to arrive.
+
+    The table is partitioned by a hash of the file, so a batch reads only the folders its own files fall in.
+    """
     spark = batch.sparkSession
-    fresh = first_write(batch, *key)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        stored = spark.read.schema(fresh.schema).parquet(path)
+    fresh = save(first_write(batch, *key).withColumn("slot", F.pmod(F.xxhash64("agent", "path"), F.lit(SLOTS)).cast("int")), "batch")
+    touched = [r["slot"] for r in fresh.select("slot").distinct().collect()]  # at most SLOTS
+    try:
+        stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("slot").isin(touched))
         fresh = fresh.join(stored.select(*key), list(key), "left_anti")
-    fresh.write.mode("append").parquet(path)
+    except AnalysisException:  # nothing stored yet
+        pass
+    fresh.write.mode("append").partitionBy("slot").parquet(path)
 
 
 def ingest(lines: DataFrame, agent: str, table: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Runs what is there through the provider's adapter into ``table`` and stops; run it again for what came since."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        append_new(adapters.ADAPTERS[agent](batch), table)
+        append_new(adapters.ADAPTERS[agent](with_offsets(batch)), table)
         if then:
             then(batch, batch_id)
 
