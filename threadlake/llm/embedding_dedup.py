@@ -50,7 +50,8 @@ def _axes(nodes: DataFrame) -> np.ndarray | None:
         for b in batches:
             for i, row in zip(b["i"], b["row"], strict=True):
                 sums[i] = sums.get(i, 0.0) + row
-        yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
 
     schema = "i int, row array<double>"
     sums = nodes.where(F.col("dim") == dim).select("v").mapInPandas(moments, schema).repartition("i").mapInPandas(add, schema)
