@@ -339,6 +339,19 @@ def test_minhash(spark, rounds, monkeypatch):
     assert sum(r["kept"] for r in got) == len(ids)
 
 
+def test_minhash_recall_near_the_threshold(spark):
+    """Planted pairs of a similarity from 0.75 to 0.80: none is lost."""
+    rng, rows, pairs = random.Random(3), [], 0
+    while pairs < 400:
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        b = [f"w{rng.randrange(5000)}" if rng.random() < 0.027 else w for w in a]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if 75 <= 100 * len(x & y) / len(x | y) <= 80:
+            rows += [(2 * pairs, " ".join(a), None), (2 * pairs + 1, " ".join(b), None)]
+            pairs += 1
+    assert minhash.report(make_docs(spark, rows)).where("component_id = doc_id - 1").count() == pairs
+
+
 def test_minhash_empty(spark):
     assert minhash.report(make_docs(spark, [])).count() == 0
     assert minhash.keep_one(make_docs(spark, [(1, "", None), (2, None, None)])).count() == 2
