@@ -1,6 +1,7 @@
 """Each corpus operator against a brute-force version, and on nulls, empties, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -467,3 +468,53 @@ def test_toxicity(spark):
     none = lab.where("toxic = 0")
     assert {r["score"] for r in toxicity.report(docs, none).collect()} == {0.0}
     assert toxicity.report(make_docs(spark, []), lab).count() == 0
+
+
+def test_toxicity_scores_by_hand_and_odd_input(spark):
+    rows, labels, _ = toxic_corpus()
+    docs = make_docs(spark, rows)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, lab)
+    got = {r["rec"]["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for r in rows:
+        z = model.bias + sum(w for f, w in model.weights.items() if f in toxicity.features(r[1]))
+        assert abs(got[r[0]] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-9
+    empty = lab.where("false")
+    assert {r["score"] for r in toxicity.report(docs, empty).collect()} == {0.0}
+    word = max(model.weights, key=model.weights.get).lstrip("^")
+    long = make_docs(spark, [(1, "plain " * 400_000 + word * 2, "s"), (1, "plain " * 400_000 + word * 2, "s"), (None, None, None), (3, "", None)])
+    out = toxicity.report(long, lab).collect()
+    assert len(out) == 4 and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+    assert toxicity.keep_clean(long, lab).columns == long.columns
+
+
+def test_toxicity_features_are_counted_over_all_texts(spark):
+    rows, labels, _ = toxic_corpus()
+    docs = make_docs(spark, rows)
+    bad = {d for d, _, t in labels if t}
+    texts = [r[1] for r in rows if r[1]]
+    positive = [r[1] for r in rows if r[0] in bad and r[1]]
+    prior, n, m = 0.2, len(positive), len(texts)
+    want = []
+    for f in sorted(set().union(*map(toxicity.features, positive))):
+        p, u = sum(f in toxicity.features(t) for t in positive), sum(f in toxicity.features(t) for t in texts)
+        neg = max(0.0, (u / m - prior * p / n) / (1 - prior))
+        z = (p / n - neg) / math.sqrt((neg + 1 / m) * (1 - min(neg, 0.999)) / n)
+        if p >= max(toxicity.LEAST_POSITIVES, toxicity.LEAST_SHARE * n) and z >= toxicity.LEAST_Z:
+            want.append((-z, f))
+    want = [f for _, f in sorted(want)]
+    df = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string").repartition(5)
+    assert want and toxicity.telling(df(positive), df(texts), n, m, prior) == want
+    assert toxicity.telling(df(positive), df(texts), n, m, prior, 3) == want[:3]
+
+
+def test_toxicity_with_small_samples(spark):
+    """Bounds below the input's size: the sampled fit still tells the classes apart."""
+    rows, labels, bad = toxic_corpus()
+    docs = make_docs(spark, rows)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, lab, max_positive=40, max_unlabelled=200, max_features=50)
+    assert model and len(model.weights) <= 50
+    got = {r["rec"]["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert sum(got[d] >= 0.5 for d in bad) >= 0.8 * len(bad)
+    assert sum(s >= 0.5 for d, s in got.items() if d not in bad) <= 0.1 * len(rows)

@@ -3,12 +3,14 @@
 Confirmed toxic documents are the positives; the rest of the corpus is
 unlabelled and holds toxic documents too, in a share given by the class prior.
 Linear numpy classifiers minimise the prior-corrected risk, whose part for the
-negatives is kept from going below zero.  Fitting reads a bounded sample;
-scoring reads every whole text.
+negatives is kept from going below zero.  Which features tell toxic documents
+apart is counted over every unlabelled text; the weights are fitted on a bounded
+sample; scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 
 from ._common import record, save
 
-#: Bounds of the sample that a model is fitted on, about: confirmed toxic documents and unlabelled ones.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-#: Features kept, of those in at least so many positives and so many standard errors commoner in them.
-MAX_FEATURES, LEAST_POSITIVES, LEAST_SHARE, LEAST_Z = 2_000, 4, 0.01, 8.0
+#: Defaults of ``fit``: about how many confirmed toxic documents and unlabelled ones the weights are fitted on, and how many features are kept.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4_000, 12_000, 2_000
+#: A feature is in at least so many positives and so many standard errors commoner in them.
+LEAST_POSITIVES, LEAST_SHARE, LEAST_Z = 4, 0.01, 8.0
 CLASSIFIERS, STEPS, RATE, LASSO = 3, 300, 0.1, 2e-4
 DEFAULT_PRIOR = 0.1
 _letters = re.compile(r"[^\W\d_]+")
@@ -39,21 +41,26 @@ def features(text: str | None) -> set[str]:
     return out
 
 
+class Finder:
+    """Which of the given features a text has, without listing all it has."""
+
+    def __init__(self, names):
+        self.words, self.stems = {f for f in names if f[0] != "^"}, {f[1:] for f in names if f[0] == "^"}
+
+    def __call__(self, text: str | None) -> list[str]:
+        seen = set(_letters.findall((text or "").lower()))
+        stems = {w[:n] for n in (4, 5, 6) for w in seen if len(w) > n} if self.stems else set()
+        return [*(self.words & seen), *("^" + x for x in self.stems & stems)]
+
+
 class Model(NamedTuple):
     weights: dict[str, float]
     bias: float
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        words, stems = {}, {}
-        for f, w in self.weights.items():
-            (stems if f[0] == "^" else words)[f.lstrip("^")] = w
-        out = []
+        find, out = Finder(self.weights), []
         for t in texts:
-            total = self.bias
-            seen = set(_letters.findall((t or "").lower()))
-            total += sum(words[w] for w in words.keys() & seen)
-            for n in (4, 5, 6):
-                total += sum(stems[s] for s in stems.keys() & {w[:n] for w in seen if len(w) > n})
+            total = math.fsum([self.bias, *(self.weights[f] for f in find(t))])  # exact, so the order does not matter
             out.append(float(1 / (1 + np.exp(-np.clip(total, -30, 30)))))
         return out
 
@@ -111,19 +118,56 @@ def _pick(df: DataFrame, most: int, n: int) -> DataFrame:
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for kind in (True, False):
-            c: Counter = Counter()
-            for t in b["text"][b["positive"] == kind]:
-                c.update(features(t))
-            yield pd.DataFrame({"feature": pd.Series(list(c), dtype=object), "positive": kind, "n": list(c.values())}, columns=["feature", "positive", "n"])
+        c: Counter = Counter()
+        for t in b["text"]:
+            c.update(features(t))
+        yield pd.DataFrame({"feature": pd.Series(list(c), dtype=object), "n": list(c.values())}, columns=["feature", "n"])
+
 
+def _count_known(names: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, c = Finder(names), Counter()
+        for b in batches:
+            for t in b["text"]:
+                c.update(find(t))
+        yield pd.DataFrame({"feature": pd.Series(list(c), dtype=object), "n": list(c.values())}, columns=["feature", "n"])
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+    return run
+
+
+def telling(positive: DataFrame, texts: DataFrame, n_positive: int, n_texts: int, prior: float, most: int = MAX_FEATURES) -> list[str]:
+    """Features commoner in ``positive`` than in negatives, most telling first.
+
+    Shares in positives come from the bounded set of positives, shares in the
+    corpus from every one of ``texts``; those of negatives are what the prior
+    leaves.  The driver and the tasks hold the features that at least
+    ``LEAST_SHARE`` of the positives have, which do not grow with the corpus.
+    """
+    counted = positive.mapInPandas(_count_features, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("p"))
+    in_positive = {r["feature"]: r["p"] for r in counted.where(F.col("p") >= max(LEAST_POSITIVES, LEAST_SHARE * n_positive)).collect()}
+    counted = texts.mapInPandas(_count_known(sorted(in_positive)), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("u"))
+    in_all = {r["feature"]: r["u"] for r in counted.collect()}
+    scored = []
+    for f, p in in_positive.items():
+        rate = p / n_positive
+        negatives = max(0.0, (in_all.get(f, 0) / n_texts - prior * rate) / (1 - prior))
+        z = (rate - negatives) / math.sqrt((negatives + 1 / n_texts) * (1 - min(negatives, 0.999)) / n_positive)
+        if z >= LEAST_Z:
+            scored.append((-z, f))
+    return [f for _, f in sorted(scored)[:most]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Model | None:
     """A model from rows not held out; None without a confirmed toxic document.
 
     The prior is the share of toxic documents among the labelled ones.  Null ids,
-    labels and texts are left out of fitting.  The driver gets the counts of features found in enough
-    positives and, for the sample, which of the chosen ones each document has.
+    labels and texts are left out of fitting; a repeated id is toxic if any of its labels says so.
+
+    ``max_positive`` bounds the confirmed toxic documents read, ``max_unlabelled`` the
+    unlabelled ones that the weights are fitted on (about; both picked by a hash of the
+    id), ``max_features`` the features, most telling first.  Which features those are
+    is counted over all unlabelled documents.  The driver gets these counts and, for the
+    sample, which of the chosen features each document has.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label")).where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -132,25 +176,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_toxic:
         return None
     prior = min(0.9, n_toxic / n_labels) if n_toxic < n_labels else DEFAULT_PRIOR
-    positive = _pick(known.where("label = 1").select("doc_id"), MAX_POSITIVE, n_toxic)
+    positive = _pick(known.where("label = 1").select("doc_id"), max_positive, n_toxic)
     n_texts = texts.count()
-    # At most 2 * MAX_POSITIVE ids, so the texts need not move to meet them.
-    chosen = texts.join(F.broadcast(positive.limit(2 * MAX_POSITIVE)), "doc_id").select(F.lit(True).alias("positive"), "text")
-    sample = save(chosen.unionByName(_pick(texts, MAX_UNLABELLED, n_texts).select(F.lit(False).alias("positive"), "text")), "sample")
+    # At most 2 * max_positive ids, so the texts need not move to meet them.
+    chosen = texts.join(F.broadcast(positive.limit(2 * max_positive)), "doc_id").select(F.lit(True).alias("positive"), "text")
+    sample = save(chosen.unionByName(_pick(texts, max_unlabelled, n_texts).select(F.lit(False).alias("positive"), "text")), "sample")
     n = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
-    np_, nu = n.get(True, 0), n.get(False, 0)
-    if not np_ or not nu:
+    if not n.get(True) or not n.get(False):
         return None
-    counts = sample.mapInPandas(_count_features, "feature string, positive boolean, n bigint").groupBy("feature").agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("positive"), 0).otherwise(F.col("n"))).alias("u"))
-    rate = F.col("p") / np_
-    negatives = F.greatest(F.lit(0.0), (F.col("u") / nu - prior * rate) / (1 - prior))
-    z = (rate - negatives) / F.sqrt((negatives + 1 / nu) * (1 - F.least(negatives, F.lit(0.999))) / np_)
-    names = [r["feature"] for r in counts.where(F.col("p") >= max(LEAST_POSITIVES, LEAST_SHARE * np_)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
+    names = telling(sample.where("positive").select("text"), texts.select("text"), n[True], n_texts, prior, max_features)
     at = {f: i for i, f in enumerate(names)}
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = Finder(names)
         for b in batches:
-            yield pd.DataFrame({"positive": b["positive"], "hits": [sorted(at[f] for f in at.keys() & features(t)) for t in b["text"]]})
+            yield pd.DataFrame({"positive": b["positive"], "hits": [sorted(at[f] for f in find(t)) for t in b["text"]]})
 
     rows = sorted((r["positive"], r["hits"]) for r in sample.mapInPandas(hits, "positive boolean, hits array<int>").collect())
     p, u = [h for is_p, h in rows if is_p], [h for is_p, h in rows if not is_p]
@@ -181,6 +221,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row; null ids count as learnt from, null and empty texts score as texts without features, repeated rows alike; an empty table gives an empty result, and no confirmed toxic document the score 0 throughout."""
     model = fit(docs, labels, id_col, text_col, label_col)
     only = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     scored = score(only, model).select("rec.doc_id", "score")
@@ -188,5 +229,5 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The input's columns, without the documents scored 0.5 or more."""
+    """The input's columns, without the documents scored 0.5 or more; null ids, null texts and repeated rows are scored like any other, extra columns stay."""
     return score(docs, fit(docs, labels, id_col, text_col, label_col), text_col).where("score < 0.5").select("rec.*")
