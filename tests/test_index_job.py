@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.operators import index_job, ingest, search
+from threadlake.operators import browse, index_job, ingest, search
 from threadlake.sources import adapters, discovery, jsonl
 
 FOUND = "agent string, path string, dev bigint, inode bigint, size bigint, mtime_ns bigint, head_hash string, head_length int, root_id bigint"
@@ -74,6 +74,13 @@ def test_runs_over_changing_files(spark, tmp_path):
     assert [m for m in seen(t) if m[0] in ("s1", "s2")] == [("s1", 0, "word5 common"), ("s2", 0, "word3 common")]
     assert {r["path"].rsplit("/")[-1] for r in t["source_file"].collect()} == {"a.jsonl", "moved.jsonl", "rollout-1.jsonl"}
     assert t["observation"].count() == 0
+    assert [r["prior_path"].rsplit("/")[-1] for r in t["move_alias"].collect()] == ["b.jsonl"]
+    root = spark.createDataFrame([(0, str(logs))], "id bigint, path string")
+    places = browse.alias_places(t["move_alias"], root)
+    files = t["source_file"].select(F.col("id").alias("source_file_id"), "path", F.lit(str(logs)).alias("root_path"))
+    reference = spark.createDataFrame([("claude", str(logs), str(logs / "b.jsonl"), "s2", None, "u3", None)], "agent string, root_path string, path string, external_id string, source_key string, external_uuid string, anchor_index bigint")
+    here = browse.resolve_reference(reference, t["session"].join(files, "source_file_id"), t["message"], places).first()
+    assert (here["session_id"], here["message_index"]) == (first_ids["s2"], 0)
 
     os.remove(other / "rollout-1.jsonl")
     assert index_job.refresh(store, found(spark, *roots), gone(store, spark, *roots))

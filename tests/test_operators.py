@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.operators import dml, ingest, paging, search, usage
+from threadlake.operators import browse, dml, ingest, paging, search, usage
 from threadlake.streaming import tail
 
 OBS = "id long, source_file_id long, source_key string, agent string, dedupe_key string, ts long, project_id long, session_id long, model string, is_sidechain boolean, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, reasoning_tokens long"
@@ -139,3 +139,54 @@ def test_moves_failures_and_frontier(spark):
     done = spark.createDataFrame([("s", 1, i, i != 3) for i in range(1, 6)], "stream string, epoch int, event_id int, done boolean")
     assert tail.batch_frontier(done).first()["frontier"] == 2
     assert tail.snapshot_changed({"generation": 1}, {"generation": 2})
+
+
+def test_references_after_a_move(spark):
+    summary = spark.createDataFrame([(5, "a", "/r", "/new", "x", 1), (6, "a", "/r", "/stay", "y", 2), (7, "a", "/r", "/empty", "z", 3)], "id long, agent string, root_path string, path string, external_id string, source_file_id long")
+    message = spark.createDataFrame([(10, 5, 0, "k", "u"), (11, 5, 1, "l", "u"), (12, 5, 2, "m", None), (20, 6, 0, "k", None)], "id long, session_id long, seq long, source_key string, external_uuid string")
+    aliases = spark.createDataFrame([("a", 1, "/old", 1)], "agent string, prior_root long, prior_path string, source_file_id long")
+    places = browse.alias_places(aliases, spark.createDataFrame([(1, "/r")], "id long, path string"))
+    f = "agent string, root_path string, path string, external_id string, source_key string, external_uuid string, anchor_index long"
+    cases = [
+        (("/old", "x", "m", None, 0), (5, 12, 2)),  # by key, where the file went
+        (("/old", "x", "m", "u", 0), (5, 10, 0)),  # the uuid comes before the key, its first message counts
+        (("/old", "x", "m", "lost", 1), (5, 11, 1)),  # a lost uuid does not fall back on the key
+        (("/old", "x", None, None, 99), (5, 12, 2)),
+        (("/old", "x", None, None, -3), (5, 10, 0)),
+        (("/old", "x", "lost", None, None), (5, None, None)),
+        (("/stay", "y", "k", None, None), (6, 20, 0)),
+        (("/empty", "z", "k", None, 4), (7, None, None)),
+        (("/old", "y", "k", None, 0), None),  # another file's session
+    ]
+    refs = spark.createDataFrame([("a", "/r", *case) for case, _ in cases], f)
+    got = {tuple(r)[2:7]: tuple(r)[7:] for r in browse.resolve_reference(refs, summary, message, places).collect()}
+    assert got == {case: want for case, want in cases if want}
+    kept = browse.capture_reference(summary, message, 5, 12).first()
+    assert (kept["path"], kept["source_key"], kept["external_uuid"], kept["anchor_index"]) == ("/new", "m", None, 2)
+    assert browse.capture_reference(summary, message, 5, 20).first()["anchor_index"] is None  # not in this session
+    assert browse.resolve_reference(browse.capture_reference(summary, message, 5), summary, message).first()["message_id"] is None
+
+
+def test_known_values_only(spark):
+    rows = spark.createDataFrame([("a", "user"), ("a", "later"), ("z", "user"), (None, "user")], "agent string, role string")
+    assert browse.known(rows, agent=("a", "b"), role=("user",)).count() == 1
+
+
+def test_metadata_work(spark):
+    f = "id int, revision string, version int, content_generation long, scanned_bytes long, snapshot boolean"
+    rows = [(1, "2:7:50", 2, 7, 50, False), (2, "2:7:20", 2, 7, 50, False), (3, "2:7:60", 2, 7, 50, False), (4, "2:6:20", 2, 7, 50, False), (5, "1:7:20", 2, 7, 50, False), (6, None, 2, 7, 50, False), (7, "2:7", 2, 7, 50, False), (8, "2:7:x", 2, 7, 50, False), (9, "3:7:20", 3, 7, 50, True), (10, "2:7:-1", 2, 7, 50, False), (11, "2:7:99999999999999999999", 2, 7, 50, False)]
+    got = {r["id"]: (r["mode"], r["start"], r["revision"]) for r in dml.metadata_work(spark.createDataFrame(rows, f)).collect()}
+    assert got == {2: ("merge", 20, "2:7:50"), 9: ("replace", 0, "3:7:50")} | {i: ("replace", 0, "2:7:50") for i in (3, 4, 5, 6, 7, 8, 10, 11)}
+
+
+def test_days_kept_and_exported(spark, tmp_path):
+    days = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-31", 3)], "day string, n int")
+    paging.export_days(days, str(tmp_path / "out"), "2024-01-31")
+    assert [(r["day"], r["n"]) for r in spark.read.json(str(tmp_path / "out")).orderBy("day").collect()] == [("2024-01-02", 2), ("2024-01-31", 3)]
+
+
+def test_paired_change(spark):
+    rows = [(p, w, "cpu", side, float(v)) for w, pairs in {"slow": ((100, 112), (100, 90), (100, 111)), "even": ((100, 110), (100, 110), (100, 90)), "zero": ((0, 1), (0, 1), (0, 0))}.items() for p, pair in enumerate(pairs) for side, v in enumerate(pair)]
+    samples = spark.createDataFrame([(p, w, m, bool(c), v) for p, w, m, c, v in rows], "pair int, workload string, metric string, candidate boolean, value double")
+    got = {r["workload"]: (r["change"], r["regressed"]) for r in paging.paired_change(samples).collect()}
+    assert got == {"slow": (11.0, True), "even": (10.0, False), "zero": (float("inf"), True)}

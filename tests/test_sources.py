@@ -139,3 +139,18 @@ def test_stream_equals_batch_and_appends_once(spark, tmp_path):
     tail.append_ranges(spark, "claude", [(str(folder / "b.jsonl"), state["b.jsonl"], None)], table)
     tail.append_ranges(spark, "claude", [(str(folder / "b.jsonl"), state["b.jsonl"], None)], table)
     assert sorted(r["source_key"] for r in spark.read.parquet(table).collect()) == ["u1", "u2", "u3", "u4"]
+
+
+def test_nested_object_ranges(spark):
+    inner = '{"a": "}]\\"{", "b": [{"c": 1}]}'
+    document = ('{"note": "\\"messages\\": [", "messages": 3, "x": {"messages" : \n[' + inner + ', {"é": 2} , {}], "z": [{"no": 1}]}}').encode()
+    pieces = [document[a : a + n].decode() for a, n in jsonl.object_ranges(document)]
+    assert pieces == [inner, '{"é": 2}', "{}"]
+    broken = document[: document.index(b" , {}")] + b', {"open": "never clo\\'
+    assert [broken[a : a + n].decode() for a, n in jsonl.object_ranges(broken)] == pieces[:2]
+    assert jsonl.object_ranges(b"") == jsonl.object_ranges(b'{"messages": {}}') == []
+    long = b'{"messages": [' + b",".join(b'{"t": "%s"}' % (b"\\n" * 200_000) for _ in range(3)) + b"]}"
+    assert [n for _, n in jsonl.object_ranges(long)] == [400_009] * 3
+    files = spark.createDataFrame([("g", "/a", bytearray(document)), ("g", "/b", None), ("g", "/c", bytearray(b""))], "agent string, path string, content binary")
+    rows = jsonl.nested_objects(files).orderBy("byte_offset").collect()
+    assert [r["raw"] for r in rows] == pieces and rows[1]["byte_length"] == 9

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.sections import resolved_title
 
@@ -103,22 +104,64 @@ def legacy_failures(session: DataFrame, message: DataFrame, failure: DataFrame)
     return session.join(broken.join(known, ["id", "source_key"], "left_anti"), "id", "left_semi")
 
 
+LOCATOR = ["agent", "root_path", "path", "external_id"]
+
+
+def known(rows: DataFrame, **allowed: tuple[str, ...]) -> DataFrame:
+    """Rows whose named columns hold one of the values this version knows; stored rows of a later version are left out."""
+    for name, values in allowed.items():
+        rows = rows.where(F.col(name).isin(*values))
+    return rows
+
+
 def capture_reference(summary: DataFrame, message: DataFrame, session_id: int, anchor_id: int | None = None) -> DataFrame:
-    """What is needed to find a session, and a place in it, after a rebuild gave out new ids."""
-    row = summary.where(F.col("id") == session_id).select("agent", "root_path", "path", "external_id", F.col("id").alias("session_id"))
-    if anchor_id is None:
-        return row.select("agent", "root_path", "path", "external_id", F.lit(None).cast("string").alias("source_key"), F.lit(None).cast("bigint").alias("anchor_index"))
+    """What is needed to find a session, and a place in it, after a rebuild gave out new ids.  An anchor that is not in the session leaves the place null."""
+    row = summary.where(F.col("id") == session_id).select(*LOCATOR, F.col("id").alias("session_id"))
     place = message.where(F.col("session_id") == session_id)
-    anchor = place.where(F.col("id") == anchor_id).select(F.col("seq").alias("anchor_seq"), F.col("source_key").alias("anchor_key"))
-    index = place.crossJoin(F.broadcast(anchor)).where("seq < anchor_seq").agg(F.count("*").alias("anchor_index"))  # the anchor is one row
-    return row.crossJoin(anchor).crossJoin(index).select("agent", "root_path", "path", "external_id", F.col("anchor_key").alias("source_key"), "anchor_index")
-
-
-def resolve_reference(reference: DataFrame, summary: DataFrame, message: DataFrame) -> DataFrame:
-    """The session a reference names now, and its anchor by source key, else by place."""
-    keys = ["agent", "root_path", "path", "external_id"]
-    found = reference.join(summary.select(*keys, F.col("id").alias("session_id")), keys)
-    by_key = message.select("session_id", "source_key", F.col("id").alias("key_id"))
-    by_place = message.select("session_id", F.col("seq").alias("anchor_index"), F.col("id").alias("place_id"))
-    rows = found.join(by_key, ["session_id", "source_key"], "left").join(by_place, ["session_id", "anchor_index"], "left")
-    return rows.select(*keys, "session_id", F.coalesce("key_id", "place_id").alias("message_id"))
+    if "external_uuid" not in message.columns:
+        place = place.withColumn("external_uuid", F.lit(None).cast("string"))
+    is_anchor = F.lit(False) if anchor_id is None else F.col("id") == anchor_id
+    anchor = place.where(is_anchor).select("session_id", "source_key", "external_uuid", F.col("seq").alias("anchor_seq"))  # one row
+    before = place.select("session_id", "seq").join(F.broadcast(anchor.select("session_id", "anchor_seq")), "session_id")
+    index = before.groupBy("session_id").agg(F.count_if(F.col("seq") < F.col("anchor_seq")).alias("anchor_index"))
+    return row.join(anchor, "session_id", "left").join(index, "session_id", "left").select(*LOCATOR, "source_key", "external_uuid", "anchor_index")
+
+
+def alias_places(aliases: DataFrame, root: DataFrame) -> DataFrame:
+    """Where moved files were, by path of their root, from aliases as :func:`dml.move_aliases` gives them."""
+    roots = root.select(F.col("id").alias("prior_root"), F.col("path").alias("root_path"))
+    return aliases.join(roots, "prior_root").select("agent", "root_path", F.col("prior_path").alias("path"), "source_file_id")
+
+
+def resolve_reference(reference: DataFrame, summary: DataFrame, message: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """The session each reference names now, and its anchor there.
+
+    A session is found where its file was moved to (``places``, of :func:`alias_places`), else
+    where the reference says.  The anchor is the first message with the reference's external
+    uuid if it has one, else the one with its source key; where that is gone, the message at
+    ``anchor_index``, held to the session's first and last.  References without a session give
+    no row; ``message_index`` counts the messages before the anchor.  The reference's own columns come with it.
+    """
+    refs = reference if "external_uuid" in reference.columns else reference.withColumn("external_uuid", F.lit(None).cast("string"))
+    refs = refs.select(*LOCATOR, "source_key", "external_uuid", F.col("anchor_index").cast("bigint").alias("anchor_index"))
+    direct = summary.select(*LOCATOR, F.col("id").alias("session_id"))
+    if places is None:
+        found = refs.join(direct, LOCATOR)
+    else:
+        at = summary.select("source_file_id", "external_id", F.col("id").alias("moved_id"))
+        moved = places.join(at, "source_file_id").select(*LOCATOR, "moved_id")
+        found = refs.join(moved, LOCATOR, "left").join(direct, LOCATOR, "left").withColumn("session_id", F.coalesce("moved_id", "session_id")).where("session_id is not null").drop("moved_id")
+    said = message.join(found.select("session_id").distinct(), "session_id", "left_semi")
+    if "external_uuid" not in said.columns:
+        said = said.withColumn("external_uuid", F.lit(None).cast("string"))
+    by_uuid = said.where("external_uuid is not null").groupBy("session_id", "external_uuid").agg(F.min_by("id", "seq").alias("uuid_id"))
+    by_key = said.groupBy("session_id", "source_key").agg(F.min_by("id", "seq").alias("key_id"))
+    counts = said.groupBy("session_id").agg(F.count("*").alias("n"))
+    rows = found.join(by_uuid, ["session_id", "external_uuid"], "left").join(by_key, ["session_id", "source_key"], "left").join(counts, "session_id", "left")
+    rows = rows.withColumn("anchor_id", F.when(F.col("external_uuid").isNotNull(), F.col("uuid_id")).otherwise(F.col("key_id")))
+    rows = rows.withColumn("held", F.when(F.col("anchor_id").isNull() & F.col("anchor_index").isNotNull(), F.greatest(F.lit(0), F.least(F.col("anchor_index"), F.col("n") - 1))))
+    ranked = said.select("session_id", "id", (F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "id")) - 1).cast("bigint").alias("place"))
+    by_place = ranked.select("session_id", F.col("place").alias("held"), F.col("id").alias("held_id"))
+    by_id = ranked.select("session_id", F.col("id").alias("anchor_id"), "place")
+    rows = rows.join(by_place, ["session_id", "held"], "left").join(by_id, ["session_id", "anchor_id"], "left")
+    return rows.select(*refs.columns, "session_id", F.coalesce("anchor_id", "held_id").alias("message_id"), F.coalesce("place", F.when(F.col("held_id").isNotNull(), F.col("held"))).alias("message_index"))

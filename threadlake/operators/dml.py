@@ -148,3 +148,21 @@ def changed_files(found: DataFrame, stored: DataFrame) -> DataFrame:
     appendable = same_file & same_head & (F.col("size") >= F.col("scanned_bytes")) & ((F.col("size") > F.col("old_size")) | (F.col("mtime_ns") == F.col("old_mtime_ns")))
     action = F.when(F.col("id").isNull(), "new").when(unchanged, "skip").when(appendable, "append").otherwise("replace")
     return rows.select(*found.columns, "id", action.alias("action"), F.when(action == "append", F.col("scanned_bytes")).otherwise(F.lit(0)).alias("start"))
+
+
+def metadata_work(files: DataFrame) -> DataFrame:
+    """Files whose titles and plans are to be read, how, from which byte, and the revision to store then.
+
+    ``files`` has ``id, revision`` (``version:generation:checkpoint`` of the last scan), ``version``
+    (the one wanted), ``content_generation, scanned_bytes, snapshot``.  The scan goes on from its
+    checkpoint and is merged when version and generation hold; a snapshot, another version or
+    generation, and a revision that does not parse are read whole and replaced.
+    """
+    sound = F.coalesce(F.col("revision").rlike(r"^\d+:-?\d+:-?\d+$"), F.lit(False))
+    number = lambda i: F.when(sound, F.expr(f"try_cast(split(revision, ':')[{i}] as bigint)"))
+    rows = files.withColumns({"_version": number(0), "_generation": number(1), "_checkpoint": number(2)})
+    same = F.coalesce((F.col("_version") == F.col("version")) & (F.col("_generation") == F.col("content_generation")), F.lit(False))
+    done = same & F.coalesce(F.col("_checkpoint") == F.col("scanned_bytes"), F.lit(False))
+    merges = same & ~F.col("snapshot") & F.col("_checkpoint").between(F.lit(0), F.col("scanned_bytes"))
+    revision = F.concat_ws(":", "version", "content_generation", "scanned_bytes")
+    return rows.where(~done).select("id", F.when(merges, "merge").otherwise("replace").alias("mode"), F.when(merges, F.col("_checkpoint")).otherwise(F.lit(0)).cast("bigint").alias("start"), revision.alias("revision"))

@@ -38,9 +38,11 @@ OBSERVATION = (
     "id bigint, source_file_id bigint, source_key string, agent string, dedupe_key string, ts bigint, project_id bigint, session_id bigint, model string, is_sidechain boolean, "
     + ", ".join(f"{t} bigint" for t in adapters.USAGE)
 )
-TABLES = {"source_file": FILE, "project": PROJECT, "session": SESSION, "message": MESSAGE, "failure": FAILURE, "observation": OBSERVATION}
+#: Where moved files were, so references made before still lead to them; a rewritten or deleted file loses its own.
+MOVE_ALIAS = "agent string, prior_root bigint, prior_path string, source_file_id bigint"
+TABLES = {"source_file": FILE, "project": PROJECT, "session": SESSION, "message": MESSAGE, "failure": FAILURE, "observation": OBSERVATION, "move_alias": MOVE_ALIAS}
 #: Tables whose rows belong to one file.
-BY_FILE = ("session", "message", "failure", "observation")
+BY_FILE = ("session", "message", "failure", "observation", "move_alias")
 
 
 class Store:
@@ -179,6 +181,7 @@ def build(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, gone:
     return {
         "source_file": _files(stored["source_file"], todo, lines, lost), "project": project, "session": session,
         "message": kept["message"].unionByName(message.select(*kept["message"].columns)), "failure": failure, "observation": observation,
+        "move_alias": kept["move_alias"],
     }
 
 
@@ -222,6 +225,7 @@ def refresh(store: Store, found: DataFrame, gone: DataFrame | None = None, rebui
     todo = save(plan(found, stored["source_file"]), "plan")
     if not rebuild and todo.where("action <> 'skip'").isEmpty() and (gone is None or gone.isEmpty()) and moved.isEmpty():
         return None
+    stored["move_alias"] = stored["move_alias"].unionByName(moved.drop("generation")).distinct()
     stored["source_file"] = save(dml.move_file(stored["source_file"], found), "files")
     todo = save(with_ids(todo.drop("id"), stored["source_file"], "agent", "path"), "plan")
     lines = read_files(todo.where("action <> 'skip'").select("agent", "path", "start"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,31 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], by: list[str
     for i in reversed(range(len(bounds))):
         bucket = F.when(F.col(value) <= bounds[i], F.lit(i)).otherwise(bucket)
     return df.groupBy(*(by or []), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+RETENTION_DAYS = 30
+
+
+def retained(days: DataFrame, today: str, keep: int = RETENTION_DAYS) -> DataFrame:
+    """Rows of the last ``keep`` days, ``today`` among them; ``day`` is ``yyyy-MM-dd``."""
+    first = dt.date.fromisoformat(today) - dt.timedelta(days=keep - 1)
+    return days.where(F.col("day") >= first.isoformat())
+
+
+def export_days(days: DataFrame, path: str, today: str, keep: int = RETENTION_DAYS) -> None:
+    """Writes the retained rows as JSON lines, newest day first."""
+    retained(days, today, keep).orderBy(F.col("day").desc()).write.mode("overwrite").json(path)
+
+
+def paired_change(samples: DataFrame, tolerance: float = 10.0) -> DataFrame:
+    """Change of a candidate against its baseline, by workload and metric.
+
+    ``samples`` has ``pair, workload, metric, candidate`` (boolean) and ``value``.  A pair's change
+    is that between its medians, in percent; the median over pairs counts, and over ``tolerance``
+    it is a regression.  From a zero baseline to a positive value the change has no bound (infinity).
+    """
+    median = lambda c: F.percentile(F.when(c, F.col("value")), F.lit(0.5))
+    pairs = samples.groupBy("pair", "workload", "metric").agg(median(~F.col("candidate")).alias("base"), median(F.col("candidate")).alias("new"))
+    change = F.when(F.col("base") != 0, (F.col("new") - F.col("base")) / F.col("base") * 100).when(F.col("new") > 0, F.lit(float("inf"))).when(F.col("new") == 0, F.lit(0.0))
+    out = pairs.withColumn("change", change).groupBy("workload", "metric").agg(F.percentile("change", F.lit(0.5)).alias("change"))
+    return out.withColumn("regressed", F.col("change") > tolerance + 1e-9)

@@ -264,7 +264,20 @@ def q14_recovery_work(t):
 def q15_reference(t):
     s, m = _summaries(t), t.message()
     anchor = (EPOCH + 11 * 60_000 + 2_000) * (1 << 20)
-    return browse.resolve_reference(browse.capture_reference(s, m, 11, anchor), s, m)
+    return browse.resolve_reference(browse.capture_reference(s, m, 11, anchor), s, m).select(*browse.LOCATOR, "session_id", "message_id")
+
+
+@register("""SELECT s.agent, r.path AS root_path, '/old' || f.path AS path, external_id, s.id AS session_id, m.id AS message_id, CASE WHEN m.id IS NOT NULL THEN m.seq END AS message_index
+FROM session s JOIN source_file f ON f.id = s.source_file_id JOIN root r ON r.id = root_id LEFT JOIN message m ON m.session_id = s.id AND m.seq = CASE s.id % 3 WHEN 0 THEN 1 WHEN 1 THEN s.message_count - 1 ELSE 0 END
+WHERE s.agent <> 'other' AND f.id % 2 = 0""")
+def q15_moved_references(t):
+    """References to each session from before its file was moved (every other file): by external uuid, past the last message, before the first."""
+    s, m = _summaries(t), t.message().withColumn("external_uuid", F.concat_ws(":", F.lit("u"), "session_id", "seq"))
+    kind = F.col("id") % 3
+    uuid = F.when(kind == 0, F.concat_ws(":", F.lit("u"), "id", F.lit(1)))
+    refs = s.select("agent", "root_path", F.concat(F.lit("/old"), "path").alias("path"), "external_id", F.when(kind == 1, "gone").alias("source_key"), uuid.alias("external_uuid"), F.when(kind == 1, 9_999).when(kind == 2, -5).alias("anchor_index"))
+    aliases = t.source_file().where("id % 2 = 0").select("agent", F.col("root_id").alias("prior_root"), F.concat(F.lit("/old"), "path").alias("prior_path"), F.col("id").alias("source_file_id"))
+    return browse.resolve_reference(refs, s, m, browse.alias_places(aliases, t.root())).select(*browse.LOCATOR, "session_id", "message_id", "message_index")
 
 
 @register("SELECT session_id, string_agg('## ' || role || chr(10) || chr(10) || prose, chr(10) || chr(10) ORDER BY seq) AS transcript FROM message WHERE role <> 'system' OR has_error GROUP BY session_id")
@@ -303,6 +316,29 @@ def q21_diagnostics(t):
     return paging.histogram(e, "value", BOUNDS, ["day"])
 
 
+@register("--plain SELECT strftime(ts, '%Y-%m-%d') AS day, CASE " + " ".join(f"WHEN value <= {b} THEN {i}" for i, b in enumerate(BOUNDS)) + f" ELSE {len(BOUNDS)} END AS bucket, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11 00:00:00' GROUP BY ALL")
+def q21_retained_days(t):
+    e = t.raw("events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return paging.histogram(paging.retained(e, "2024-02-09"), "value", BOUNDS, ["day"])
+
+
+@register("""--plain SELECT workload, 'value' AS metric, round(median(change), 6) AS change, median(change) > 10 AS regressed
+FROM (SELECT workload, pair, (new - base) / base * 100 AS change FROM (SELECT event_type AS workload, event_id % 3 AS pair, median(value) FILTER (user_id % 2 = 0) AS base, median(value) FILTER (user_id % 2 = 1) AS new FROM events GROUP BY ALL)) GROUP BY workload""")
+def agg15_paired_change(t):
+    e = t.raw("events").select((F.col("event_id") % 3).alias("pair"), F.col("event_type").alias("workload"), F.lit("value").alias("metric"), (F.col("user_id") % 2 == 1).alias("candidate"), "value")
+    return paging.paired_change(e).withColumn("change", F.round("change", 6))
+
+
+@register("""SELECT id, CASE WHEN id % 5 = 0 AND id % 3 <> 2 THEN 'merge' ELSE 'replace' END AS mode, CASE WHEN id % 5 = 0 AND id % 3 <> 2 THEN id ELSE 0 END AS start, '2:7:' || (id + 10) AS revision
+FROM source_file WHERE id % 5 <> 1""")
+def str15_metadata_work(t):
+    """Scans that go on, are done, are of another version or generation, or left no revision that parses."""
+    kind = F.col("id") % 5
+    last = F.when(kind == 0, F.concat(F.lit("2:7:"), "id")).when(kind == 1, F.concat(F.lit("2:7:"), F.col("id") + 10)).when(kind == 2, F.concat(F.lit("1:7:"), "id")).when(kind == 3, F.concat(F.lit("2:6:"), "id"))
+    last = F.when((kind == 4) & (F.col("id") % 2 == 0), "2:7").otherwise(last)
+    return dml.metadata_work(t.file_ids().select("id", last.alias("revision"), F.lit(2).alias("version"), F.lit(7).alias("content_generation"), (F.col("id") + 10).alias("scanned_bytes"), (F.col("id") % 3 == 2).alias("snapshot")))
+
+
 @register("--plain SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'äçèéêíñóöü', 'aceeeinoou'), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL")
 def fts1_tokens(t):
     words = t.raw("documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))

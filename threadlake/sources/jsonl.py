@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,3 +170,38 @@ def read_range(path: str, offset: int, length: int) -> bytes:
     with open_regular(path) as f:
         f.seek(offset)
         return f.read(length)
+
+
+_STRING = rb'"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)'
+_STRINGS, _TOKENS = re.compile(_STRING, re.S), re.compile(_STRING + rb"|[{}\]]", re.S)
+_ARRAY = re.compile(rb"[ \t\r\n]*:[ \t\r\n]*\[")
+
+
+def object_ranges(data: bytes, key: str = "messages") -> list[tuple[int, int]]:
+    """Start and length of each object in the first array under ``key``, in bytes; of a document that breaks off, those that are whole."""
+    name = f'"{key}"'.encode()
+    array = next((a for m in _STRINGS.finditer(data) if m.group() == name and (a := _ARRAY.match(data, m.end()))), None)
+    out, depth, start = [], 0, 0
+    for m in _TOKENS.finditer(data, array.end()) if array else ():
+        token = m.group()
+        if token == b"{":
+            start, depth = (m.start(), 1) if depth == 0 else (start, depth + 1)
+        elif token == b"}" and depth:
+            depth -= 1
+            if depth == 0:
+                out.append((start, m.end() - start))
+        elif token == b"]" and depth == 0:
+            break
+    return out
+
+
+def nested_objects(documents: DataFrame, key: str = "messages") -> DataFrame:
+    """Each object of the first array under ``key`` as a row with its byte range; ``documents`` has ``agent, path`` and the file's bytes as ``content``.  A null or an empty file gives no rows."""
+
+    @F.pandas_udf("array<struct<byte_offset:bigint,byte_length:bigint>>")
+    def ranges(contents: pd.Series) -> pd.Series:
+        return pd.Series([[{"byte_offset": a, "byte_length": n} for a, n in object_ranges(bytes(c or b""), key)] for c in contents], dtype=object)
+
+    rows = documents.select("agent", "path", "content", F.explode(ranges("content")).alias("at")).select("agent", "path", "at.*", "content")
+    raw = F.expr("decode(substring(content, int(byte_offset) + 1, int(byte_length)), 'UTF-8')")
+    return rows.select("agent", "path", "byte_offset", "byte_length", raw.alias("raw"))
