@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, minhash, mixing, sharding, token_counts, toxicity, url_filter
+from . import bpe, chat_format, embedding_dedup, exact_dedup, hard_negatives, lexical_search, minhash, mixing, secret_scan, sharding, token_counts, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -67,8 +67,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_byte_bpe, op5_embedding_dedup, op6_token_counts, op7_mixing, op8_minhash, op9_sharding, op10_toxicity)}
+    ops = (op1_url_filter, op2_chat_format, op3_exact_dedup, op4_byte_bpe, op5_embedding_dedup, op6_token_counts, op7_mixing, op8_minhash, op9_sharding, op10_toxicity, op11_secret_scan, op12_hard_negatives, op13_lexical_search)
+    return {f.__name__: f for f in ops}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,5 +144,55 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
 
+
+
+def _op11_sql() -> str:
+    """Each rule's matches by the lengths of what stands between them."""
+    either = "".join
+    words = "|".join(either(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    regex = {r.kind: r.regex.replace("(?i:(password|passwd|secret|token|api_?key))", f"({words})") for r in secret_scan.RULES}
+    quoted = {k: r.replace("'", "''") for k, r in regex.items()}
+    parts = [
+        f"""SELECT id, doc_id, {k} AS place, '{r.kind}' AS kind, list_transform(regexp_split_to_array(t, '{quoted[r.kind]}'), lambda x: length(x)) AS gap,
+        list_transform(regexp_extract_all(t, '{quoted[r.kind]}'), lambda x: length(x)) AS size,
+        list_transform(regexp_extract_all(t, '{quoted[r.kind]}', {r.group}), lambda x: length(x)) AS held, {r.least} AS least FROM d"""
+        for k, r in enumerate(secret_scan.RULES)
+    ]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT id, place, kind, least, gap, size, held, unnest(range(1, len(size) + 1)) AS i FROM m),
+s AS (SELECT id, place, kind, list_sum(gap[1:i]) + coalesce(list_sum(size[1:i - 1]), 0) AS a, size[i] AS n FROM e WHERE held[i] >= least),
+j AS (SELECT id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+      string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, place) FILTER (place < 3) AS base,
+      string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, place) AS spans FROM s GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (id)"""
+
+
+OP11_SQL = _op11_sql()
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 5"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{lexical_search.WORD}') AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS nn, sum(len(w))::BIGINT AS ll FROM d),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{lexical_search.WORD}'))) AS term FROM benchmark),
+t AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+f AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, c GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score FROM q JOIN f USING (term) JOIN t USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op8_minhash": OP8_SQL}
+    return {"op11_secret_scan": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_lexical_search": OP13_SQL, "op1_url_filter": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op8_minhash": OP8_SQL}
