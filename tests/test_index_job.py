@@ -2,6 +2,9 @@
 
 import json
 import os
+import shutil
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,11 +102,10 @@ def test_hydrated_from_the_source(spark, tmp_path):
     index_job.refresh(store, found(spark, ("claude", tmp_path)))
     t = store.tables()
     emptied = t["message"].withColumn("prose", F.lit(""))
-    lines = jsonl.read_files(spark.createDataFrame([("claude", str(path), 0)], "agent string, path string, start bigint"))
-    got = index_job.hydrate(emptied, lines, t["source_file"]).collect()
+    got = index_job.hydrate(emptied, t["source_file"]).collect()
     assert sorted((r["prose"], r["hydrated"]) for r in got) == [("one", True), ("two", True)]
     write(path, [say(7, text="other")])
-    got = index_job.hydrate(t["message"], lines, t["source_file"]).collect()
+    got = index_job.hydrate(t["message"], t["source_file"]).collect()
     assert sorted((r["prose"], r["hydrated"]) for r in got) == [("one", False), ("two", False)]
 
 
@@ -164,3 +166,161 @@ def test_full_milliseconds_go_on_below_zero(spark):
     got = ingest.message_ids(rows, ("k",), capacity=3).orderBy("ts", "k").collect()
     low = ingest.OVERFLOW_START
     assert [r["id"] for r in got] == [5 << 20, (5 << 20) + 1, (5 << 20) + 2, low, 6 << 20, (6 << 20) + 1, 7 << 20, (7 << 20) + 1, (7 << 20) + 2, low + 1]
+
+
+def message_keys(tables):
+    return sorted(r["external_uuid"] for r in tables["message"].collect())
+
+
+def test_paths_of_any_spelling(spark, tmp_path):
+    names = ["a b", "c%20d", "e#f", "g[h]", "i{j}", "k*l?", "m+n", "ö:=p"]
+    for i, n in enumerate(names):
+        (tmp_path / "logs" / n).mkdir(parents=True)
+        write(tmp_path / "logs" / n / "x.jsonl", [say(i + 1, f"s{i}")])
+    store = index_job.Store(spark, str(tmp_path / "store"))
+    assert index_job.refresh(store, found(spark, ("claude", tmp_path / "logs")))
+    assert len(message_keys(store.tables())) == len(names)
+    assert store.tables()["source_file"].where("scanned_bytes = size and last_error is null").count() == len(names)
+    assert index_job.refresh(store, found(spark, ("claude", tmp_path / "logs"))) is None
+    rows = jsonl.with_offsets(jsonl.text_lines(spark.read, "x", [str(tmp_path / "logs" / n / "x.jsonl") for n in names])).collect()
+    assert sorted({r["path"] for r in rows}) == sorted(str(tmp_path / "logs" / n / "x.jsonl") for n in names)
+
+
+def chat(*ids, title=None):
+    return {"sessionId": "g", "messages": [{"id": i, "type": "user", "content": f"text of {i} }}]", "timestamp": 1_700_000_000 + k} for k, i in enumerate(ids)], **({"title": title} if title else {})}
+
+
+def test_snapshots_that_fail_keep_what_is_stored(spark, tmp_path):
+    chats = tmp_path / "p" / "chats"
+    chats.mkdir(parents=True)
+    path = chats / "session-1.json"
+    whole = json.dumps(chat("1", "2", title="Named"))
+    path.write_text(whole)
+    store = index_job.Store(spark, str(tmp_path / "store"))
+    roots = ("gemini", tmp_path)
+    index_job.refresh(store, found(spark, roots), now_ms=1)
+    assert message_keys(store.tables()) == ["1", "2"] and store.tables()["session"].first()["generated_title"] == "Named"
+    for broken in (whole[:-20], whole + "x", whole.replace('"id": "2"', '"id": 2x'), "", json.dumps(chat("3"))[:-2] + "]]"):
+        path.write_text(broken)
+        index_job.refresh(store, found(spark, roots), now_ms=2)
+        t = store.tables()
+        assert message_keys(t) == ["1", "2"] and t["session"].count() == 1
+        assert t["source_file"].first()["last_error"]
+    h = t["adapter_health"].first()
+    assert (h["last_success_ms"], h["error_count"]) == (1, 5) and h["last_error"]
+    path.write_text(json.dumps(chat("3")))
+    index_job.refresh(store, found(spark, roots), now_ms=3)
+    t = store.tables()
+    assert message_keys(t) == ["3"] and t["source_file"].first()["last_error"] is None and t["adapter_health"].first()["last_success_ms"] == 3
+    path.unlink()
+    os.mkfifo(path)  # a new file that cannot be read stands in the table with its error
+    fake = spark.createDataFrame([("gemini", str(chats / "session-2.json"), 1, 1, 5, 1, "h", 5, 0)], FOUND)
+    index_job.refresh(store, fake, now_ms=4)
+    row = store.tables()["source_file"].where("path like '%session-2.json'").first()
+    assert row["last_error"] == "No such file or directory" and row["scanned_bytes"] == 0 and message_keys(store.tables()) == ["3"]
+
+
+def test_files_that_change_while_they_are_read(spark, tmp_path):
+    path, other = tmp_path / "a.jsonl", tmp_path / "b.jsonl"
+    write(path, [say(1), say(2)])
+    write(other, [say(3, "s2")])
+    store = index_job.Store(spark, str(tmp_path / "store"))
+    index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    write(path, [say(4)])
+    planned = found(spark, ("claude", tmp_path))
+    planned.count()
+    write(path, [say(5), say(6), say(7)])  # after it was found, before it is read
+    index_job.refresh(store, planned)
+    assert message_keys(store.tables()) == ["u3", "u5", "u6", "u7"]
+    assert index_job.refresh(store, found(spark, ("claude", tmp_path))) is None
+    # One that never stands still keeps its rows and is reported.
+    stop = threading.Event()
+
+    def rewrite():
+        n = 0
+        while not stop.is_set():
+            n += 1
+            tmp = tmp_path / "tmp"
+            write(tmp, [say(8, text=f"v{n}")])
+            os.replace(tmp, path)
+            time.sleep(0.002)
+
+    t = threading.Thread(target=rewrite)
+    t.start()
+    time.sleep(0.05)
+    try:
+        index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    finally:
+        stop.set()
+        t.join()
+    assert message_keys(store.tables()) == ["u3", "u5", "u6", "u7"]
+    errors = {r["path"].rsplit("/")[-1]: r["last_error"] for r in store.tables()["source_file"].collect()}
+    assert "changed 3 times" in errors["a.jsonl"] and errors["b.jsonl"] is None
+    index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    assert message_keys(store.tables()) == ["u3", "u8"]
+
+
+def parts(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_a_run_writes_what_changed(spark, tmp_path):
+    logs, folder = tmp_path / "logs", tmp_path / "store"
+    logs.mkdir()
+    for i in range(1000):
+        write(logs / f"f{i:04d}.jsonl", [say(i % 50 + 1, f"s{i}")])
+    store = index_job.Store(spark, str(folder), buckets=64)
+    index_job.refresh(store, found(spark, ("claude", logs)))
+    first, before = store.manifest(), parts(folder)
+    rows = sorted(map(repr, store.tables()["message"].collect()))
+    write(logs / "f0007.jsonl", [say(51, "s7")], "a")
+    index_job.refresh(store, found(spark, ("claude", logs)))
+    new = parts(folder) - before
+    count = {t: sum(p.startswith(t + "/") for p in new) for t in index_job.TABLES}
+    assert {t: n for t, n in count.items() if t in ("message", "session", "source_file", "adapter_health", "ordinal")} == {"message": 1, "session": 1, "source_file": 1, "adapter_health": 1, "ordinal": 1}
+    assert count["failure"] == count["observation"] == 0
+    now = store.tables()
+    assert now["message"].count() == 1001 and now["session"].count() == 1000 and now["source_file"].count() == 1000
+    assert now["session"].where("external_id = 's7'").first()["message_count"] == 2
+    assert sorted(map(repr, store.tables(first)["message"].collect())) == rows  # the version before is whole
+    # A run that dies before its pointer is written leaves no trace; one that began from an older version is refused.
+    with pytest.raises(ZeroDivisionError):
+        store.commit(Boom(now), {"counter": [0]}, store.manifest())
+    assert store.tables()["message"].count() == 1001
+    with pytest.raises(index_job.store.Conflict):
+        store.commit({"counter": now["counter"]}, {"counter": [0]}, first)
+    assert store.vacuum(keep=1) > 0 and store.tables()["message"].count() == 1001
+
+
+class Boom(dict):
+    """Tables of which the second breaks the run."""
+
+    def __init__(self, tables):
+        super().__init__(counter=tables["counter"])
+
+    def items(self):
+        yield "counter", self["counter"]
+        raise ZeroDivisionError
+
+
+def test_same_content_links_and_overflow_of_heads(spark, tmp_path):
+    a = tmp_path / "a.jsonl"
+    write(a, [say(1), say(2)])
+    store = index_job.Store(spark, str(tmp_path / "store"))
+    index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    ids = sorted(r["id"] for r in store.tables()["message"].collect())
+    os.replace(shutil.copy(a, tmp_path / "copy"), a)  # an atomic save of the same bytes
+    plan = index_job.plan(found(spark, ("claude", tmp_path)), store.tables()["source_file"]).first()
+    assert plan["action"] == "same"
+    index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    assert sorted(r["id"] for r in store.tables()["message"].collect()) == ids
+    assert index_job.refresh(store, found(spark, ("claude", tmp_path))) is None
+    write(a, [say(3, text="long " * 2000)], "a")  # grows over the head that was hashed
+    assert index_job.plan(found(spark, ("claude", tmp_path)), store.tables()["source_file"]).first()["action"] == "append"
+    index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    assert set(ids) < {r["id"] for r in store.tables()["message"].collect()}
+    os.link(a, tmp_path / "b.jsonl")  # a second name is a file of its own, not a move
+    index_job.refresh(store, found(spark, ("claude", tmp_path)))
+    files = {r["path"].rsplit("/")[-1]: r["id"] for r in store.tables()["source_file"].collect()}
+    assert set(files) == {"a.jsonl", "b.jsonl"} and len(set(files.values())) == 2
+    assert store.tables()["move_alias"].count() == 0 and store.tables()["message"].count() == 6

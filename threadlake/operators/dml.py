@@ -41,17 +41,27 @@ def upsert_failures(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(last, ["session_id", "source_key"], "left_anti").unionByName(last)
 
 
-def move_file(source_file: DataFrame, found: DataFrame) -> DataFrame:
-    """A file met under another path keeps its id when device and inode are its own."""
+def _met_again(source_file: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, new_path, new_root)`` of stored files whose device and inode are met under other paths only; of several the first by spelling.
+
+    Where the stored path itself is still found with that inode the others are further links to it, and no move.
+    """
     new = found.select("agent", "dev", "inode", F.col("path").alias("new_path"), F.col("root_id").alias("new_root"))
-    rows = source_file.join(new, ["agent", "dev", "inode"], "left")
+    met = source_file.select("id", "agent", "dev", "inode", "path").join(new, ["agent", "dev", "inode"])
+    first = met.groupBy("id").agg(F.bool_or(F.col("path") == F.col("new_path")).alias("stays"), F.min_by(F.struct("new_path", "new_root"), F.struct(F.col("new_path") != F.col("path"), "new_path")).alias("to"), F.first("dev").alias("dev"), F.first("inode").alias("inode"), F.first("agent").alias("agent"))
+    # Of stored files that share an inode one can move to a path.
+    return first.groupBy("agent", "to.new_path").agg(F.min_by(F.struct("id", "to.new_root", "stays"), F.struct(~F.col("stays"), "id")).alias("r")).select(F.col("r.id").alias("id"), "new_path", F.col("r.new_root").alias("new_root"))
+
+
+def move_file(source_file: DataFrame, found: DataFrame) -> DataFrame:
+    """A file met under another path keeps its id when device and inode are its own; of hard links only one is the file."""
+    rows = source_file.join(_met_again(source_file, found), "id", "left")
     return rows.withColumn("path", F.coalesce("new_path", "path")).withColumn("root_id", F.coalesce("new_root", "root_id")).select(*source_file.columns)
 
 
 def move_aliases(source_file: DataFrame, found: DataFrame, generation: str) -> DataFrame:
     """Where a moved file was, for references made before."""
-    new = found.select("agent", "dev", "inode", F.col("path").alias("new_path"))
-    moved = source_file.join(new, ["agent", "dev", "inode"]).where("path <> new_path")
+    moved = source_file.join(_met_again(source_file, found), "id").where("path <> new_path")
     return moved.select(F.lit(generation).alias("generation"), "agent", F.col("root_id").alias("prior_root"), F.col("path").alias("prior_path"), F.col("id").alias("source_file_id"))
 
 
@@ -139,14 +149,22 @@ def distinct_roots(roots: DataFrame) -> DataFrame:
 
 
 def changed_files(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """What to do with each file found: skip, append from a byte, replace, or read as new."""
-    s = stored.select("agent", "path", F.col("id"), *[F.col(c).alias(f"old_{c}") for c in ("dev", "inode", "size", "mtime_ns", "head_hash")], "scanned_bytes", "last_error")
+    """What to do with each file found: skip, append from a byte, replace, read as new, or ``same``.
+
+    ``same``: device, inode or time differ, but the file is no longer than its head and that is the one stored, so the content is.
+    Where ``found`` has ``head_then``, the digest over the length of the stored head, that is compared.
+    """
+    small = {"head_length"} <= set(stored.columns) and {"head_length"} <= set(found.columns)
+    old = ["dev", "inode", "size", "mtime_ns", "head_hash", *(["head_length"] if small else [])]
+    s = stored.select("agent", "path", F.col("id"), *[F.col(c).alias(f"old_{c}") for c in old], "scanned_bytes", "last_error")
     rows = found.join(s, ["agent", "path"], "left")
     same_file = (F.col("dev") == F.col("old_dev")) & (F.col("inode") == F.col("old_inode"))
-    same_head = F.col("head_hash") == F.col("old_head_hash")
-    unchanged = same_file & same_head & (F.col("size") == F.col("old_size")) & (F.col("mtime_ns") == F.col("old_mtime_ns")) & (F.col("scanned_bytes") == F.col("size")) & F.col("last_error").isNull()
+    same_head = F.col("head_then" if "head_then" in found.columns else "head_hash") == F.col("old_head_hash")
+    whole = (F.col("size") == F.col("old_size")) & (F.col("scanned_bytes") == F.col("size")) & F.col("last_error").isNull()
+    unchanged = same_file & same_head & whole & (F.col("mtime_ns") == F.col("old_mtime_ns"))
     appendable = same_file & same_head & (F.col("size") >= F.col("scanned_bytes")) & ((F.col("size") > F.col("old_size")) | (F.col("mtime_ns") == F.col("old_mtime_ns")))
-    action = F.when(F.col("id").isNull(), "new").when(unchanged, "skip").when(appendable, "append").otherwise("replace")
+    content = whole & same_head & (F.col("head_length") == F.col("size")) & (F.col("old_head_length") == F.col("old_size")) if small else F.lit(False)
+    action = F.when(F.col("id").isNull(), "new").when(unchanged, "skip").when(content, "same").when(appendable, "append").otherwise("replace")
     return rows.select(*found.columns, "id", action.alias("action"), F.when(action == "append", F.col("scanned_bytes")).otherwise(F.lit(0)).alias("start"))
 
 

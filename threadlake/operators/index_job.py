@@ -1,29 +1,30 @@
 """From log files to the stored tables, in batch or for what changed since.
 
 One run: what was found against what is stored (:func:`dml.changed_files`), the ranges
-to read, the providers' adapters, canonical projects, message ids and places, then new
-versions of all tables.  Files read from the start replace their rows, appended
-bytes add to them, files that are gone take theirs along.  The last thing a run writes
-is the pointer to its version, which holds the tables and the files' checkpoints, so
-a run that dies leaves the version before it whole.
+to read, verified reading, the providers' adapters, canonical projects, message ids and places, then new
+versions of the buckets that changed (:class:`store.Store`).  Files read from the start replace their rows, appended
+bytes add to them, files that are gone take theirs along.  A file that could not be read whole keeps its rows
+and gets ``last_error``.  What a run reads of the store and writes to it follows from
+what changed: the buckets of those files, the hours of their messages, and the small tables.
 """
 
 from __future__ import annotations
 
-import uuid
+import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from ..functions.scalar import ORDINAL_BITS, canonical_project, clamp_ts
 from ..sources import adapters
+from ..sources.ranges import read_ranges
+from ..sources.verified import head_at, is_snapshot, read_verified
 from ..storage import save
-from . import dml, ingest, usage
+from . import dml, ingest, store
 
-FILE = "id bigint, root_id bigint, agent string, path string, dev bigint, inode bigint, size bigint, mtime_ns bigint, head_hash string, scanned_bytes bigint, last_error string"
+FILE = "id bigint, root_id bigint, agent string, path string, dev bigint, inode bigint, size bigint, mtime_ns bigint, head_hash string, scanned_bytes bigint, last_error string, head_length int"
 PROJECT = "id bigint, canonical_key string, display_name string"
 SESSION = (
     "id bigint, source_file_id bigint, external_id string, agent string, project_id bigint, started_at bigint, last_activity_at bigint, message_count bigint, "
@@ -40,48 +41,33 @@ OBSERVATION = (
 )
 #: Where moved files were, so references made before still lead to them; a rewritten or deleted file loses its own.
 MOVE_ALIAS = "agent string, prior_root bigint, prior_path string, source_file_id bigint"
-TABLES = {"source_file": FILE, "project": PROJECT, "session": SESSION, "message": MESSAGE, "failure": FAILURE, "observation": OBSERVATION, "move_alias": MOVE_ALIAS}
+HEALTH = "source_file_id bigint, last_success_ms bigint, last_error string, error_count bigint"
+SCAN_ERROR = "root_id bigint, relative_scope string, error string"
+#: The first ordinal of a millisecond that no message has had, so new ids need no look at stored messages.
+ORDINAL = "ms bigint, next bigint"
+#: Where each kind of id goes on.
+COUNTER = "name string, next bigint"
+TABLES = {
+    "source_file": FILE, "project": PROJECT, "session": SESSION, "message": MESSAGE, "failure": FAILURE, "observation": OBSERVATION, "move_alias": MOVE_ALIAS,
+    "adapter_health": HEALTH, "scan_error": SCAN_ERROR, "ordinal": ORDINAL, "counter": COUNTER,
+}
 #: Tables whose rows belong to one file.
-BY_FILE = ("session", "message", "failure", "observation", "move_alias")
-
-
-class Store:
-    """Versions of the tables in one folder; the pointer names the one that holds."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def current(self) -> str | None:
-        try:
-            rows = self.spark.read.schema("version string, position bigint").parquet(f"{self.folder}/versions")
-        except AnalysisException:
-            return None
-        top = rows.agg(F.max(F.struct("position", "version")).alias("top")).first()["top"]
-        return top["version"] if top else None
-
-    def tables(self, version: str | None = None) -> dict[str, DataFrame]:
-        """All tables of a version; empty ones before the first run."""
-        version = version or self.current()
-        if version is None:
-            return {n: self.spark.createDataFrame([], s) for n, s in TABLES.items()}
-        return {n: self.spark.read.schema(s).parquet(f"{self.folder}/{version}/{n}") for n, s in TABLES.items()}
-
-    def commit(self, tables: Mapping[str, DataFrame]) -> str:
-        """Writes a version and then its pointer."""
-        version = uuid.uuid4().hex
-        for name, schema in TABLES.items():
-            cols = [F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in schema.split(", ")]
-            tables[name].select(*cols).write.option("compression", "zstd").parquet(f"{self.folder}/{version}/{name}")
-        n = 0 if self.current() is None else self.spark.read.parquet(f"{self.folder}/versions").count()
-        self.spark.createDataFrame([(version, n)], "version string, position bigint").coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
-        return version
-
-
-def with_ids(fresh: DataFrame, stored: DataFrame, *key: str, order: tuple[str, ...] | None = None) -> DataFrame:
-    """``fresh`` (distinct keys) with the ids that ``stored`` gives them, new keys numbered on from the largest."""
+BY_FILE = ("session", "message", "failure", "observation", "move_alias", "adapter_health")
+KEYS = {"source_file": "id", "ordinal": "ms", **dict.fromkeys(BY_FILE, "source_file_id")}
+
+
+class Store(store.Store):
+    """The job's tables in one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = store.BUCKETS):
+        super().__init__(spark, folder, TABLES, KEYS, ("ordinal",), buckets)
+
+
+def with_ids(fresh: DataFrame, stored: DataFrame, *key: str, order: tuple[str, ...] | None = None, start: DataFrame | None = None) -> DataFrame:
+    """``fresh`` (distinct keys) with the ids that ``stored`` gives them, new keys numbered on from ``start`` (one row), else from the largest."""
     known = stored.select(*key, F.col("id").alias("old_id"))
     rows = fresh.join(known, list(key), "left")
-    start = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_from"))
+    start = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_from")) if start is None else start.select(F.col("start").alias("_from"))
     new = numbered(rows.where("old_id is null"), *(order or key)).crossJoin(F.broadcast(start))  # one row
     new = new.withColumn("id", F.col("_from") + F.col("place") + 1).drop("_from", "place", "old_id")
     return rows.where("old_id is not null").withColumnRenamed("old_id", "id").unionByName(new)
@@ -97,13 +83,26 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return slices.withColumn("_k", inside).join(before, "_slice").withColumn("place", F.col("_before") + F.col("_k") - 1).drop("_slice", "_k", "_before")
 
 
+def counted(counter: DataFrame, name: str) -> DataFrame:
+    """One row: the largest id given so far."""
+    return counter.where(F.col("name") == name).agg(F.coalesce(F.max("next"), F.lit(0)).alias("start"))
+
+
 def plan(found: DataFrame, stored_files: DataFrame) -> DataFrame:
-    """Files found with their stored id, what to do, and the byte to start at.  A file met under a new path keeps its id."""
+    """Files found with their stored id, what to do, and the byte to start at.  A file met under a new path keeps its id.
+
+    ``same`` is a small file saved anew with the content it had: only its fingerprint is stored.
+    """
     moved = dml.move_file(stored_files, found)
-    todo = dml.changed_files(found, moved)
+    # The head of a file that was shorter than a head is compared over the length it had.
+    old = moved.select("agent", "path", F.col("head_length").alias("_old"))
+    rows = found.join(old, ["agent", "path"], "left")
+    grown = (F.col("_old") < F.col("head_length")) & (F.col("_old") > 0)
+    rows = rows.withColumn("head_then", F.coalesce(head_at(F.when(grown, F.col("path")), F.coalesce("_old", F.lit(0))), "head_hash")).drop("_old")
+    todo = dml.changed_files(rows, moved).drop("head_then")
     # A snapshot is always read whole.
-    whole = F.lower("path").endswith(".json") & (F.col("action") == "append")
-    return todo.withColumn("action", F.when(whole, "replace").otherwise(F.col("action"))).withColumn("start", F.when(whole, F.lit(0)).otherwise(F.col("start")))
+    whole = is_snapshot(F.col("path")) & (F.col("action") == "append")
+    return todo.withColumn("action", F.when(whole, "replace").otherwise(F.col("action"))).withColumn("start", F.when(whole, F.lit(0)).otherwise(F.col("start")).cast("bigint"))
 
 
 def records(lines: DataFrame, chat_roots: DataFrame | None = None) -> DataFrame:
@@ -121,29 +120,45 @@ def _carried(fresh: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
     return fresh.join(last, "source_file_id", "left").withColumn("ts", F.coalesce("ts", F.when(F.col("action") == "append", F.col("last_ts")), F.lit(0))).drop("last_ts")
 
 
-def _message_ids(fresh: DataFrame, kept: DataFrame) -> DataFrame:
-    """Ids after those that are taken in the same millisecond."""
-    ms = clamp_ts(F.col("ts"))
-    taken = kept.where("id >= 0").groupBy(F.shiftright("id", ORDINAL_BITS).alias("_ms")).agg(F.max(F.col("id").bitwiseAND(F.lit((1 << ORDINAL_BITS) - 1))).alias("_last"))
-    below = kept.where("id < 0").agg((F.max("id") + 1).alias("_below"))  # one row
-    rows = fresh.withColumn("_ms", ms).join(taken, "_ms", "left").drop("_ms").crossJoin(F.broadcast(below))
+def _message_ids(fresh: DataFrame, ordinal: DataFrame, counter: DataFrame) -> DataFrame:
+    """Ids after those that were given in the same millisecond."""
+    taken = ordinal.select(F.col("ms").alias("_ms"), (F.col("next") - 1).alias("_last"))
+    below = counter.where("name = 'overflow'").agg(F.max("next").alias("_below"))  # one row
+    rows = fresh.withColumn("_ms", clamp_ts(F.col("ts"))).join(taken, "_ms", "left").drop("_ms").crossJoin(F.broadcast(below))
     return ingest.message_ids(rows, first=F.coalesce("_last", F.lit(-1)) + 1, overflow=F.coalesce("_below", F.lit(ingest.OVERFLOW_START))).drop("_last", "_below")
 
 
-def build(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, gone: DataFrame | None = None, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None) -> dict[str, DataFrame]:
-    """New versions of all tables.
+def _ordinals(ordinal: DataFrame, message: DataFrame) -> DataFrame:
+    used = message.where("id >= 0").select(F.shiftright("id", ORDINAL_BITS).alias("ms"), (F.col("id").bitwiseAND(F.lit((1 << ORDINAL_BITS) - 1)) + 1).alias("next"))
+    return ordinal.select("ms", "next").unionByName(used).groupBy("ms").agg(F.max("next").alias("next"))
 
-    ``todo`` is :func:`plan`'s result with ``id`` and ``root_id`` set, ``lines`` are the bytes it
-    asks for, ``gone`` has the ids of files that are no more.
+
+def _counters(counter: DataFrame, **given: tuple[DataFrame, Column]) -> DataFrame:
+    """The largest id of each kind, of what was given before and now."""
+    out = counter.select("name", "next")
+    for name, (df, largest) in given.items():
+        out = out.unionByName(df.agg(largest.alias("next")).select(F.lit(name).alias("name"), "next"))
+    return out.where("next is not null").groupBy("name").agg(F.max("next").alias("next"))
+
+
+def parse(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None) -> DataFrame:
+    """Records of the lines read, once for all tables: with their file's id, the time stamp carried on from what is stored, and the canonical project."""
+    files = todo.where("action <> 'skip'").select("agent", "path", F.col("id").alias("source_file_id"), "action")
+    rows = records(lines, chat_roots).join(files, ["agent", "path"])
+    return save(_carried(rows, stored).withColumn("project_key", canonical_project(projects or {}, F.col("cwd"))), "records")
+
+
+def assemble(stored: dict[str, DataFrame], todo: DataFrame, rows: DataFrame, ends: DataFrame, gone: DataFrame | None = None, elsewhere: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New versions of the tables given (of all buckets, or of those that the files of ``todo`` and ``gone`` lie in).
+
+    ``rows`` are :func:`parse`'s, ``ends(agent, path, end)`` the last complete line of each file read;
+    ``elsewhere(project_id)`` says which projects other buckets use.
     """
     none = stored["source_file"].select("id").limit(0)
     lost = gone.select("id") if gone is not None else none
     rewritten = todo.where("action in ('replace', 'new')").select("id").unionByName(lost).select(F.col("id").alias("source_file_id"))
     kept = {n: stored[n].join(rewritten, "source_file_id", "left_anti") for n in BY_FILE}
-    files = todo.where("action <> 'skip'").select("agent", "path", F.col("id").alias("source_file_id"), "action")
-    rows = records(lines, chat_roots).join(files, ["agent", "path"])
-    # Parsed once, read by every table.
-    rows = save(_carried(rows, kept).withColumn("project_key", canonical_project(projects or {}, F.col("cwd"))), "records")
+    counter = stored["counter"]
     said = adapters.messages(rows)
     # A record met again, by its key, is not a second message.
     key = ["source_file_id", "external_id", "source_key"]
@@ -151,15 +166,16 @@ def build(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, gone:
     said = ingest.first_write(said, *key).join(old_keys, key, "left_anti")
 
     keys = said.select("project_key").unionByName(rows.where("model is not null or kind = 'event'").select("project_key")).distinct().withColumnRenamed("project_key", "canonical_key")
-    project = with_ids(keys, stored["project"], "canonical_key").select("id", "canonical_key", F.regexp_extract("canonical_key", r"([^/]*)/*$", 1).alias("display_name"))
-    project = save(stored["project"].join(project.select("id"), "id", "left_anti").unionByName(project), "projects")
+    project = with_ids(keys, stored["project"], "canonical_key", start=counted(counter, "project")).select("id", "canonical_key", F.regexp_extract("canonical_key", r"([^/]*)/*$", 1).alias("display_name"))
+    met = save(project, "projects")
+    project = save(stored["project"].join(met.select("id"), "id", "left_anti").unionByName(met), "projects")
 
     people = rows.where("kind in ('message', 'event', 'usage')").select("source_file_id", "external_id").distinct()
-    session_ids = save(with_ids(people, stored["session"], "source_file_id", "external_id").select(F.col("id").alias("session_id"), "source_file_id", "external_id"), "sessions")
+    session_ids = save(with_ids(people, stored["session"], "source_file_id", "external_id", start=counted(counter, "session")).select(F.col("id").alias("session_id"), "source_file_id", "external_id"), "sessions")
     counts = kept["message"].groupBy("session_id").agg((F.max("seq") + 1).alias("start"))
     said = said.join(session_ids, ["source_file_id", "external_id"]).join(counts, "session_id", "left")
     said = ingest.number_in_session(said, start=F.coalesce("start", F.lit(0))).drop("start")
-    message = save(ingest.derive(_message_ids(said, kept["message"])), "messages")
+    message = save(ingest.derive(_message_ids(said, stored["ordinal"], counter)), "messages")
 
     event = rows.where("kind = 'event'")
     folded = ingest.fold_sessions(message, event)
@@ -171,20 +187,42 @@ def build(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, gone:
     failure = dml.upsert_failures(kept["failure"], broken.unionByName(events))
 
     used = adapters.usage(rows).join(session_ids, ["source_file_id", "external_id"]).join(project.select(F.col("id").alias("project_id"), F.col("canonical_key").alias("project_key")), "project_key")
-    used = ingest.first_write(used, "source_file_id", "source_key").join(stored["observation"].join(rewritten, "source_file_id", "left_anti").select("source_file_id", "source_key"), ["source_file_id", "source_key"], "left_anti")
-    start = stored["observation"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    used = numbered(used, "agent", "path", "byte_offset", "item").crossJoin(F.broadcast(start)).withColumn("id", F.col("start") + F.col("place") + 1)  # one row
+    used = ingest.first_write(used, "source_file_id", "source_key").join(kept["observation"].select("source_file_id", "source_key"), ["source_file_id", "source_key"], "left_anti")
+    used = numbered(used, "agent", "path", "byte_offset", "item").crossJoin(F.broadcast(counted(counter, "observation"))).withColumn("id", F.col("start") + F.col("place") + 1)  # one row
     columns = [f.split(" ")[0] for f in OBSERVATION.split(", ")]
-    observation = kept["observation"].unionByName(used.select(*columns))
-
-    project = dml.drop_orphans(project, session, observation)
+    used = save(used.select(*columns), "used")
+    observation = kept["observation"].unionByName(used)
+
+    session = save(session, "sessions")
+    now = session.select("project_id").unionByName(observation.select("project_id")).distinct()
+    before = stored["session"].select("project_id").unionByName(stored["observation"].select("project_id")).unionByName(met.select(F.col("id").alias("project_id"))).distinct()
+    # Only projects that these buckets name no more can be without rows; the rest of the store is asked for those alone.
+    orphans = save(before.join(now, "project_id", "left_anti"), "orphans")
+    if elsewhere is not None and not orphans.isEmpty():
+        orphans = orphans.join(elsewhere, "project_id", "left_anti")
+    project = project.join(orphans.select(F.col("project_id").alias("id")), "id", "left_anti")
+    largest = F.max("id")
+    counters = _counters(counter, project=(met, largest), session=(session_ids, F.max("session_id")), observation=(used, largest), file=(todo, largest), overflow=(message.where("id < 0"), largest + 1))
     return {
-        "source_file": _files(stored["source_file"], todo, lines, lost), "project": project, "session": session,
+        "source_file": _files(stored["source_file"], todo, ends, lost), "project": project, "session": session,
         "message": kept["message"].unionByName(message.select(*kept["message"].columns)), "failure": failure, "observation": observation,
-        "move_alias": kept["move_alias"],
+        "move_alias": kept["move_alias"], "adapter_health": kept["adapter_health"], "scan_error": stored["scan_error"], "ordinal": _ordinals(stored["ordinal"], message), "counter": counters,
     }
 
 
+def line_ends(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("agent", "path").agg(F.max(F.col("byte_offset") + F.col("byte_length") + F.lit(1)).alias("end"))
+
+
+def build(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, gone: DataFrame | None = None, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New versions of all tables.
+
+    ``todo`` is :func:`plan`'s result with ``id`` and ``root_id`` set, ``lines`` are the bytes it
+    asks for, ``gone`` has the ids of files that are no more.
+    """
+    return assemble(stored, todo, parse(stored, todo, lines, projects, chat_roots), line_ends(lines), gone)
+
+
 def _sessions(kept: DataFrame, folded: DataFrame, meta: DataFrame, ids: DataFrame, project: DataFrame) -> DataFrame:
     """Stored sessions and those of the new rows as one; a newer project holds, a title once set stays, a plan is never lost."""
     names = project.select(F.col("id").alias("new_project_id"), F.col("canonical_key").alias("project_key"))
@@ -202,43 +240,116 @@ def _sessions(kept: DataFrame, folded: DataFrame, meta: DataFrame, ids: DataFram
     ).where("message_count > 0")
 
 
-def _files(stored: DataFrame, todo: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
+def _files(stored: DataFrame, todo: DataFrame, ends: DataFrame, gone: DataFrame) -> DataFrame:
     """Files with their new fingerprints; the checkpoint is the end of the last complete line, of a snapshot its size."""
-    ends = lines.groupBy("agent", "path").agg(F.max(F.col("byte_offset") + F.col("byte_length") + F.lit(1)).alias("end"))
     now = todo.join(ends, ["agent", "path"], "left")
-    scanned = F.when(F.lower("path").endswith(".json"), F.col("size")).otherwise(F.least(F.coalesce("end", "start"), F.col("size")))
-    fresh = now.where("action <> 'skip'").select("id", "root_id", "agent", "path", "dev", "inode", "size", "mtime_ns", "head_hash", scanned.alias("scanned_bytes"), F.lit(None).cast("string").alias("last_error"))
+    scanned = F.when(is_snapshot(F.col("path")) | (F.col("action") == "same"), F.col("size")).otherwise(F.least(F.coalesce("end", "start"), F.col("size")))
+    fresh = now.where("action <> 'skip'").select("id", "root_id", "agent", "path", "dev", "inode", "size", "mtime_ns", "head_hash", scanned.alias("scanned_bytes"), F.lit(None).cast("string").alias("last_error"), "head_length")
     rest = stored.join(gone.select("id").unionByName(fresh.select("id")), "id", "left_anti")
     return rest.unionByName(fresh)
 
 
-def refresh(store: Store, found: DataFrame, gone: DataFrame | None = None, rebuild: bool = False, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None) -> str | None:
-    """One run over the files found (:func:`sources.discovery.discover`): the new version's name, None if nothing changed.
+def failed_files(files: DataFrame, failed: DataFrame) -> DataFrame:
+    """Files with what went wrong with them; all else about a stored file stays, and one that is new stands there with nothing read."""
+    told = failed.select("id", F.col("error").alias("_error"))
+    stored = files.join(told, "id", "left").withColumn("last_error", F.coalesce("_error", "last_error")).drop("_error")
+    new = failed.join(files.select("id"), "id", "left_anti")
+    none = {c: F.lit(None) for c in ("dev", "inode", "mtime_ns", "head_hash", "head_length")}
+    return stored.unionByName(new.select("id", "root_id", "agent", "path", F.lit(0).alias("size"), F.lit(0).alias("scanned_bytes"), F.col("error").alias("last_error"), *[v.alias(n) for n, v in none.items()]))
 
-    ``rebuild`` forgets what is stored and reads everything, as a changed scope or format asks for.
-    """
-    from ..sources.jsonl import read_files
 
-    spark = store.spark
-    stored = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} if rebuild else store.tables()
-    moved = dml.move_aliases(stored["source_file"], found, "")
-    todo = save(plan(found, stored["source_file"]), "plan")
-    if not rebuild and todo.where("action <> 'skip'").isEmpty() and (gone is None or gone.isEmpty()) and moved.isEmpty():
-        return None
-    stored["move_alias"] = stored["move_alias"].unionByName(moved.drop("generation")).distinct()
-    stored["source_file"] = save(dml.move_file(stored["source_file"], found), "files")
-    todo = save(with_ids(todo.drop("id"), stored["source_file"], "agent", "path"), "plan")
-    lines = read_files(todo.where("action <> 'skip'").select("agent", "path", "start"))
-    return store.commit(build(stored, todo, lines, gone, projects, chat_roots))
+def health(stored: DataFrame, read: DataFrame, failed: DataFrame, now_ms: int) -> DataFrame:
+    """When each file was last read well, its last error and how many there were."""
+    news = read.select(F.col("id").alias("source_file_id"), F.lit(now_ms).alias("_ok"), F.lit(None).cast("string").alias("_error")).unionByName(failed.select(F.col("id").alias("source_file_id"), F.lit(None).cast("bigint").alias("_ok"), F.col("error").alias("_error")))
+    rows = stored.join(news, "source_file_id", "full_outer")
+    return rows.select("source_file_id", F.coalesce("_ok", "last_success_ms").alias("last_success_ms"), F.coalesce("_error", "last_error").alias("last_error"), (F.coalesce("error_count", F.lit(0)) + F.col("_error").isNotNull().cast("int")).alias("error_count"))
 
 
-def hydrate(message: DataFrame, lines: DataFrame, source_file: DataFrame) -> DataFrame:
-    """Messages with their sections read again from the source bytes (``lines`` as the reader gives them), told by place and key; stored sections stand where the bytes have changed."""
-    files = source_file.select(F.col("id").alias("source_file_id"), "path")
-    fresh = records(lines).select("agent", "path", "byte_offset", "source_key", *[F.col(c).alias(f"new_{c}") for c in ("prose", "tool_invocation", "tool_output", "reasoning")])
-    rows = message.join(files, "source_file_id").join(fresh, ["agent", "path", "byte_offset", "source_key"], "left")
-    return rows.withColumns({c: F.coalesce(f"new_{c}", c) for c in ("prose", "tool_invocation", "tool_output", "reasoning")}).withColumn("hydrated", F.col("new_prose").isNotNull()).select(*message.columns, "hydrated")
+def _buckets(of: DataFrame, column: Column) -> list[int]:
+    return sorted(r[0] for r in of.select(column.alias("b")).distinct().collect())  # as many as the store has, at most
+
 
+def refresh(
+    store: Store, found: DataFrame, gone: DataFrame | None = None, rebuild: bool = False, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None,
+    scanned: DataFrame | None = None, scan_errors: DataFrame | None = None, now_ms: int | None = None,
+) -> str | None:
+    """One run over the files found (:func:`sources.discovery.discover`): the new version's name, None if nothing changed.
 
-def usage_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return usage.usage(usage.daily(tables["observation"]), tables["project"])
+    ``rebuild`` forgets what is stored and reads everything, as a changed scope or format asks for.  ``scanned(root_id, relative_scope)``
+    are the places listed, ``scan_errors`` what went wrong there (:func:`dml.replace_scan_errors`).
+    A file that changes while it is read is read again (:func:`sources.verified.read_verified`); one that
+    fails, and a snapshot that is not closed, keep what is stored of them and get ``last_error``.
+    """
+    spark = store.spark
+    base = store.manifest()
+    held = None if rebuild else base
+    stored = store.tables(held) if held else {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    stored_files = stored["source_file"]
+    moved = save(dml.move_aliases(stored_files, found, "").drop("generation"), "moved")
+    files = save(dml.move_file(stored_files, found), "files")
+    todo = save(plan(found, stored_files), "plan")
+    errors = scan_errors is not None and not (scan_errors.isEmpty() and stored["scan_error"].isEmpty())
+    if not rebuild and todo.where("action <> 'skip'").isEmpty() and (gone is None or gone.isEmpty()) and moved.isEmpty() and not errors:
+        return None
+    start = counted(stored["counter"], "file")
+    todo = save(with_ids(todo.where("action <> 'skip'").drop("id"), files, "agent", "path", start=start), "plan")
+
+    def again(now: DataFrame) -> DataFrame:
+        # The same ids and roots, with what there is to do about the file as it is now.
+        known = todo.select("agent", "path", "id", "root_id")
+        replanned = plan(now.join(known.select("agent", "path", "root_id"), ["agent", "path"]), files).drop("id").join(known.select("agent", "path", "id"), ["agent", "path"])
+        # A file that came back to what is stored is read again all the same.
+        return replanned.withColumn("action", F.when(F.col("action").isin("skip", "same"), "replace").otherwise(F.col("action"))).select(*todo.columns)
+
+    to_read = todo.where("action <> 'same'")
+    lines, tried = read_verified(to_read, again)
+    lines = save(lines, "lines")
+    # A snapshot with an object that is no JSON is not replaced either.
+    bad = lines.where(is_snapshot(F.col("path")) & F.try_parse_json("raw").isNull()).select("agent", "path").distinct().withColumn("_bad", F.lit("malformed record in a snapshot"))
+    tried = save(tried.join(bad, ["agent", "path"], "left").withColumn("error", F.coalesce("error", "_bad")).drop("_bad"), "tried")
+    failed = tried.where("error is not null")
+    done = save(tried.where("error is null").select(*todo.columns).unionByName(todo.where("action = 'same'")), "done")
+    read = done.where("action <> 'same'")
+    lines = lines.join(read.select("agent", "path"), ["agent", "path"], "left_semi")
+
+    rows_of = read.select("id") if gone is None else read.select("id").unionByName(gone.select("id"))
+    own = _buckets(rows_of, store.bucket("message", F.col("id")))
+    alias = sorted({*own, *_buckets(moved, store.bucket("move_alias"))})
+    entry = sorted({*alias, *_buckets(todo, store.bucket("source_file"))})
+    seen = sorted({*own, *_buckets(failed, store.bucket("source_file"))})
+    touched = {**dict.fromkeys(("session", "message", "failure", "observation"), own), "move_alias": alias, "source_file": entry, "adapter_health": seen}
+    if rebuild:
+        every = range(store.buckets)
+        touched = dict.fromkeys(touched, every)
+    part = {n: store.read(n, held, touched[n]) for n in touched} | {n: stored[n] for n in ("project", "counter", "scan_error")}
+    part["move_alias"] = part["move_alias"].unionByName(moved).distinct()
+    part["source_file"] = files.where(store.bucket("source_file").isin([int(b) for b in entry])) if not rebuild else files
+    rows = parse(part, done, lines, projects, chat_roots)
+    # Hours of the messages read: only their ordinals are looked up.
+    touched["ordinal"] = range(store.buckets) if rebuild else _buckets(rows, store.bucket("ordinal", clamp_ts(F.col("ts"))))
+    part["ordinal"] = store.read("ordinal", held, touched["ordinal"])
+    others = [b for b in range(store.buckets) if b not in set(own)]
+    elsewhere = None if rebuild else store.read("session", held, others).select("project_id").unionByName(store.read("observation", held, others).select("project_id"))
+    out = assemble(part, done, rows, line_ends(lines), gone, elsewhere)
+    out["source_file"] = failed_files(out["source_file"], failed)
+    out["adapter_health"] = health(out["adapter_health"], read, failed, int(time.time() * 1000) if now_ms is None else now_ms)
+    if scan_errors is not None:
+        out["scan_error"] = dml.replace_scan_errors(stored["scan_error"], scanned if scanned is not None else scan_errors.select("root_id", "relative_scope"), scan_errors)
+    # Failed new files have ids too.
+    out["counter"] = _counters(out["counter"], file=(todo, F.max("id")))
+    return store.commit({n: df for n, df in out.items() if n not in touched or touched[n]}, {**touched, "project": [0], "counter": [0], "scan_error": [0]}, base)
+
+
+def hydrate(message: DataFrame, source_file: DataFrame) -> DataFrame:
+    """Messages with their sections read again from the source, each from its own bytes.
+
+    Places in files are coalesced and read in tasks (:func:`sources.ranges.read_ranges`), parsed by the provider's adapter and
+    told by place and key.  Stored sections stand where a file is gone or its bytes are another record's.
+    """
+    files = source_file.select(F.col("id").alias("source_file_id"), "path")
+    sections = ("prose", "tool_invocation", "tool_output", "reasoning")
+    rows = message.join(files, "source_file_id")
+    fresh = records(read_ranges(rows)).select("agent", "path", "byte_offset", "source_key", *[F.col(c).alias(f"new_{c}") for c in sections])
+    fresh = ingest.first_write(fresh.withColumn("item", F.lit(0)), "agent", "path", "byte_offset", "source_key").drop("item")
+    rows = rows.join(fresh, ["agent", "path", "byte_offset", "source_key"], "left")
+    return rows.withColumns({c: F.coalesce(f"new_{c}", c) for c in sections}).withColumn("hydrated", F.col("new_prose").isNotNull()).select(*message.columns, "hydrated")

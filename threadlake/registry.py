@@ -416,7 +416,7 @@ def _log_lines(t: Tables) -> DataFrame:
 
 
 def _log_files(lines: DataFrame, action: str, stored: DataFrame | None = None) -> DataFrame:
-    files = lines.groupBy("agent", "path").agg(F.max("byte_offset").alias("size")).select("agent", "path", F.lit(1).cast("bigint").alias("root_id"), F.lit(1).cast("bigint").alias("dev"), F.xxhash64("path").alias("inode"), "size", F.lit(1).cast("bigint").alias("mtime_ns"), F.lit("h").alias("head_hash"), F.lit(action).alias("action"), F.lit(0).cast("bigint").alias("start"))
+    files = lines.groupBy("agent", "path").agg(F.max("byte_offset").alias("size")).select("agent", "path", F.lit(1).cast("bigint").alias("root_id"), F.lit(1).cast("bigint").alias("dev"), F.xxhash64("path").alias("inode"), "size", F.lit(1).cast("bigint").alias("mtime_ns"), F.lit("h").alias("head_hash"), F.lit(1).alias("head_length"), F.lit(action).alias("action"), F.lit(0).cast("bigint").alias("start"))
     return index_job.with_ids(files, stored if stored is not None else _no_files(lines), "agent", "path")
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
@@ -79,7 +79,7 @@ class _Reader(DataSourceReader):
     def read(self, p: Piece) -> Iterator[pa.RecordBatch]:
         """Lines that begin in the piece, in Arrow batches; a line cut by its start belongs to the piece before."""
         held, size = [], 0
-        for at, length, text in self._lines(p):
+        for at, length, text in piece_lines(p):
             held.append((p.agent, p.path, at, length, text))
             size += length
             if size >= BATCH_BYTES:
@@ -88,23 +88,25 @@ class _Reader(DataSourceReader):
         if held:
             yield _batch(held)
 
-    def _lines(self, p: Piece) -> Iterator[tuple[int, int, str]]:
-        if p.start >= p.end:
-            return
-        with open_regular(p.path) as f:
-            at = p.start
-            if not p.first:
-                f.seek(at - 1)
-                at += len(f.readline()) - 1
-            f.seek(at)
-            while at < p.end:
-                line = f.readline()
-                if not line.endswith(b"\n") or at + len(line) > p.limit:
-                    return
-                body = line[:-1].removesuffix(b"\r")
-                if body:
-                    yield at, len(body), body.decode("utf-8", "replace")
-                at += len(line)
+
+def piece_lines(p: Piece) -> Iterator[tuple[int, int, str]]:
+    """``(place, length, text)`` of lines that begin in the piece."""
+    if p.start >= p.end:
+        return
+    with open_regular(p.path) as f:
+        at = p.start
+        if not p.first:
+            f.seek(at - 1)
+            at += len(f.readline()) - 1
+        f.seek(at)
+        while at < p.end:
+            line = f.readline()
+            if not line.endswith(b"\n") or at + len(line) > p.limit:
+                return
+            body = line[:-1].removesuffix(b"\r")
+            if body:
+                yield at, len(body), body.decode("utf-8", "replace")
+            at += len(line)
 
 
 ARROW = pa.schema([("agent", pa.string()), ("path", pa.string()), ("byte_offset", pa.int64()), ("byte_length", pa.int64()), ("raw", pa.string())])
@@ -125,39 +127,25 @@ def with_offsets(rows: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("path", "block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
     placed = own.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, ["path", "block"])
-    line = F.regexp_replace("value", r"\r$", "")
+    line = F.regexp_replace("value", r"\r\z", "")
     placed = placed.withColumn("byte_offset", F.col("_start") + F.col("_before")).where(F.col("byte_offset") + F.col("_n") <= F.col("size"))
     return placed.select("agent", "path", "byte_offset", F.octet_length(line).cast("bigint").alias("byte_length"), line.alias("raw")).where("raw <> ''")
 
 
+def plain_path(uri: Column) -> Column:
+    """The path behind a file's URI, as Spark's own readers name it: what the URI escapes is written out again."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(uri, r"\+", "%2B")), "^file:/*", "/")
+
+
+def pattern_of(path: str) -> str:
+    """A path that Spark's readers take for itself and not for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def text_lines(reader, agent: str, paths: list[str] | str) -> DataFrame:
     """Lines by Spark's own text reader, which splits large files and reads any storage; what :func:`with_offsets` takes."""
-    rows = reader.format("text").option("lineSep", "\n").load(paths)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    return rows.select(F.lit(agent).alias("agent"), "value", path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
-
-
-def read_files(todo: DataFrame) -> DataFrame:
-    """The bytes that files of ``(agent, path, start)`` are to be read from: grown ones from their start, others and snapshots whole."""
-    spark = todo.sparkSession
-    parts = [spark.createDataFrame([], SCHEMA)]
-    files = [(r["agent"], r["path"], r["start"]) for r in todo.select("agent", "path", "start").collect()]  # as many as discovery found changed
-    grown = [(a, p, s, None) for a, p, s in files if s > 0]
-    if grown:
-        parts.append(read_lines(spark, grown))
-    for agent in sorted({a for a, _, _ in files}):
-        whole = [p for a, p, s in files if a == agent and not s and p.lower().endswith(".json")]
-        lines = [p for a, p, s in files if a == agent and not s and not p.lower().endswith(".json")]
-        if lines:
-            parts.append(with_offsets(text_lines(spark.read, agent, lines)))
-        if whole:
-            rows = spark.read.option("wholetext", "true").text(whole)
-            path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-            parts.append(rows.select(F.lit(agent).alias("agent"), path.alias("path"), F.lit(0).cast("bigint").alias("byte_offset"), F.octet_length("value").cast("bigint").alias("byte_length"), F.col("value").alias("raw")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = reader.format("text").option("lineSep", "\n").load([pattern_of(p) for p in paths] if isinstance(paths, list) else paths)
+    return rows.select(F.lit(agent).alias("agent"), "value", plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
 
 
 def read_lines(spark: SparkSession, files: list[tuple[str, str, int, int | None]], split: int = SPLIT_BYTES) -> DataFrame:
@@ -198,10 +186,8 @@ def object_ranges(data: bytes, key: str = "messages") -> list[tuple[int, int]]:
 def nested_objects(documents: DataFrame, key: str = "messages") -> DataFrame:
     """Each object of the first array under ``key`` as a row with its byte range; ``documents`` has ``agent, path`` and the file's bytes as ``content``.  A null or an empty file gives no rows."""
 
-    @F.pandas_udf("array<struct<byte_offset:bigint,byte_length:bigint>>")
+    @F.pandas_udf("array<struct<byte_offset:bigint,byte_length:bigint,raw:string>>")
     def ranges(contents: pd.Series) -> pd.Series:
-        return pd.Series([[{"byte_offset": a, "byte_length": n} for a, n in object_ranges(bytes(c or b""), key)] for c in contents], dtype=object)
+        return pd.Series([[{"byte_offset": a, "byte_length": n, "raw": d[a : a + n].decode("utf-8", "replace")} for d in [bytes(c or b"")] for a, n in object_ranges(d, key)] for c in contents], dtype=object)
 
-    rows = documents.select("agent", "path", "content", F.explode(ranges("content")).alias("at")).select("agent", "path", "at.*", "content")
-    raw = F.expr("decode(substring(content, int(byte_offset) + 1, int(byte_length)), 'UTF-8')")
-    return rows.select("agent", "path", "byte_offset", "byte_length", raw.alias("raw"))
+    return documents.select("agent", "path", F.explode(ranges("content")).alias("at")).select("agent", "path", "at.*")

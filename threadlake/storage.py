@@ -63,3 +63,46 @@ def kept(spark: SparkSession, name: str, state: str, tables: Callable[[], dict[s
         found = spark.read.parquet(pointer)
     row = found.first()
     return {t: spark.read.parquet(f"{root}/{row['version']}/{t}") for t in row["tables"]}
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    fs, p = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(b & 255 for b in stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that must not be there yet; False if it is, so of two writers one is told."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        return False
+    try:
+        stream = fs.create(p, False)
+    except Exception:
+        if fs.exists(p):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
