@@ -1,0 +1,128 @@
+"""An index under change against one build, its scopes, and documents read in chunks."""
+
+import io
+import json
+import random
+import tracemalloc
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadlake.functions import sections
+from threadlake.operators import search, segments
+from threadlake.sources import documents, ranges
+
+ROW = "id bigint, prose string, tool_invocation string, tool_output string, reasoning string"
+
+
+def rows(spark, table):
+    return spark.createDataFrame(table, ROW)
+
+
+def scored(index, text):
+    return sorted((r["id"], round(r["score"], 9)) for r in search.bm25(index, search.parse_query(text)).collect())
+
+
+def test_increments_equal_one_build(spark, tmp_path):
+    rng = random.Random(3)
+    words = "the of to and in that was red blue green".split()
+    make = lambda i, salt=0: (i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))), "call " * (i % 3), "of the" if i % 4 == 0 else None, "secret thought")
+    log = segments.Segments(spark, str(tmp_path / "index"), fanout=2)
+    first = [make(i) for i in range(60)]
+    log.update(rows(spark, first))
+    held = {r[0]: r for r in first}
+    second = [make(i) for i in range(50, 80)]  # ten of them rewritten
+    log.update(rows(spark, second))
+    held |= {r[0]: r for r in second}
+    log.update(deleted=spark.createDataFrame([(i,) for i in (1, 2, 55, 999)], "id bigint"))
+    third = [(3, "", "", "", "x"), make(90)]  # one that has no text any more
+    log.update(rows(spark, third), spark.createDataFrame([(70,)], "id bigint"))
+    held |= {r[0]: r for r in third}
+    for i in (1, 2, 55, 70):
+        del held[i]
+    for scope, names in sections.SCOPES.items():
+        want = search.build_index(rows(spark, list(held.values())), text=F.array_join(F.filter(F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names]), lambda p: p != ""), "\n"))
+        got = log.index(scope)
+        assert got.corpus.first()["total"] == want.corpus.first()["total"] and got.corpus.first()["avg_len"] == pytest.approx(want.corpus.first()["avg_len"])
+        for text in ("the", '"of" re', "call", "secret"):
+            assert scored(got, text) == scored(want, text), (scope, text)
+    assert len(log.log()["segments"]) <= 3
+    assert scored(log.index("prose"), "call") == [] and scored(log.index("invocations"), "call") != []
+    # "call" ends a section and "of" begins the next: no phrase.
+    assert search.match(log.index().postings, search.parse_query('"call of"')).count() == 0
+    before = {p for p in (tmp_path / "index").rglob("*.parquet")}
+    log.update(rows(spark, [make(200)]))
+    assert before <= {p for p in (tmp_path / "index").rglob("*.parquet")}  # nothing stored is rewritten
+    seen = scored(log.index(), "the")
+    assert log.vacuum() > 0 and scored(log.index(), "the") == seen
+    with pytest.raises(segments.Conflict):
+        log._commit(log.log(), 1)
+
+
+def pieces(document, chunk):
+    got = list(documents.objects(io.BytesIO(document), chunk=chunk))
+    return [(at, data) for at, data in got[:-1]], got[-1][1]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64, 1 << 20])
+def test_documents_in_chunks(chunk):
+    rng = random.Random(chunk)
+    text = lambda: "".join(rng.choice('ab"\\{}[]:,\u00e9\n ') for _ in range(rng.randint(0, 9)))
+    for case in range(60):
+        messages = [{"id": str(i), text(): [text(), {"messages": [1, {}]}, rng.random()]} for i in range(rng.randint(0, 4))]
+        whole = {"sessionId": text(), "x": {"messages": [{"no": 1}]}, "messages": messages, "y": [[text()]], "messages2": [{}], "z": "\\"}
+        document = ("  " + json.dumps(whole, ensure_ascii=case % 2 == 0, indent=case % 3 or None) + " \n").encode()
+        got, header = pieces(document, chunk)
+        assert [json.loads(d) for _, d in got] == messages
+        assert all(document[at : at + len(d)] == d for at, d in got)
+        assert json.loads(header) == {**whole, "messages": []}
+        cut = document.rstrip()[: rng.randint(0, len(document.rstrip()) - 1)]
+        with pytest.raises(documents.BrokenDocument):
+            pieces(cut, chunk)
+    for bad in (b"", b"[]", b"{} {}", b"{}x", b'{"messages": [{]}]}', b'"x"', b"{'a': 1}", b'{"messages": [{}]} }', b"nul"):
+        with pytest.raises(documents.BrokenDocument):
+            pieces(bad, chunk)
+
+
+def test_documents_in_bounded_memory():
+    class Long(io.RawIOBase):
+        """A document of 60 MB that is never whole in memory."""
+
+        def __init__(self):
+            self.left, self.state = 600, [b'{"sessionId": "s", "messages": [{"id": "first"}']
+
+        def read(self, n):
+            if self.state:
+                return self.state.pop()
+            if self.left:
+                self.left -= 1
+                return b', {"t": "' + b"ab\\n" * 25_000 + b'"}'
+            self.left = None if self.left == 0 else self.left
+            if self.left is None and not getattr(self, "closed_", False):
+                self.closed_ = True
+                return b"]}"
+            return b""
+
+    tracemalloc.start()
+    n = size = 0
+    for at, data in documents.objects(Long()):
+        n, size = n + 1, size + len(data)
+        assert at >= 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 602 and size > 60_000_000 and peak < 4 << 20
+    with pytest.raises(documents.BrokenDocument, match="beside the array"):
+        list(documents.objects(io.BytesIO(b'{"messages": [], "blob": "' + b"x" * (2 << 20) + b'"}')))
+
+
+def test_ranges_are_read_together(spark, tmp_path):
+    assert [(a, b) for a, b, _ in ranges.reads([(0, 10), (12, 5), (100, 5), (103, 1)], gap=5)] == [(0, 17), (100, 105)]
+    assert [(a, b) for a, b, _ in ranges.reads([(0, 10), (10, 10), (20, 10)], gap=5, most=20)] == [(0, 20), (20, 30)]
+    size, line = 1 << 30, 400
+    wanted = [(k * (size // 200), line) for k in range(200)]
+    assert sum(b - a for a, b, _ in ranges.reads(wanted)) < size // 100
+    path = tmp_path / "a b.jsonl"
+    path.write_bytes(b"".join(b"%09d\n" % k for k in range(5000)))
+    asked = [("x", str(path), 10 * k, 9) for k in (4999, 3, 3, 7, 4000)] + [("x", str(path), 49_995, 9), ("x", str(tmp_path / "none"), 0, 5)]
+    got = ranges.read_ranges(spark.createDataFrame(asked, "agent string, path string, byte_offset bigint, byte_length bigint")).collect()
+    assert sorted(r["raw"] for r in got) == ["000000003", "000000007", "000004000", "000004999"]

@@ -3,18 +3,23 @@
 ``postings(id, token, positions, n)`` is an ordinary table, stored in order of the
 token, so a query's terms prune the files and row groups it reads; ``n`` is the row's
 number of tokens, and ``corpus`` holds the two figures of all rows that scores need.
+:mod:`segments` keeps such an index under change, with a message's sections apart.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import storage
-from ..functions.tokens import tokenise, tokens
+from ..functions.tokens import token_class, tokenise, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PAGE = 200
@@ -66,23 +71,61 @@ class Index(NamedTuple):
     corpus: DataFrame
 
 
+#: A message's sections stand so far apart in its positions; no section has as many tokens.
+SECTION = 1 << 24
+POSTING = "token string, id bigint, positions array<int>, ns array<int>"
+FOLD_ROWS = 50_000
+
+
+def words_of(messages: DataFrame, id_col: str, sections: list[Column]) -> DataFrame:
+    """``(id, first, words)`` of messages with text: the first section that is not blank, and each section's tokens."""
+    first = F.coalesce(*[F.when(F.trim(c) != "", F.lit(k)) for k, c in enumerate(sections)])
+    rows = messages.select(F.col(id_col).cast("bigint").alias("id"), first.alias("first"), *[c.alias(f"_{k}") for k, c in enumerate(sections)]).where("first is not null")
+    return rows.select("id", "first", F.array(*[tokens(F.col(f"_{k}")) for k in range(len(sections))]).alias("words"))
+
+
+def fold(words: DataFrame) -> DataFrame:
+    """Postings, a message's own put together inside its row: places in section ``k`` start at ``k * SECTION``, ``ns[k]`` counts the tokens up to section ``k``."""
+    arrow = pa.schema([("token", pa.string()), ("id", pa.int64()), ("positions", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for ident, sections in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                places, ns = defaultdict(list), []
+                for k, words in enumerate(sections):
+                    for i, w in enumerate(words, k * SECTION):
+                        places[w].append(i)
+                    ns.append((ns[-1] if ns else 0) + len(words))
+                rows += [(w, ident, at, ns) for w, at in places.items()]
+                if len(rows) >= FOLD_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return words.select("id", "words").mapInArrow(run, POSTING)
+
+
 def build_index(messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
-    """Postings of all messages whose text is not blank, a message's own built inside its row, and ``(total, avg_len)``."""
-    text = F.col("text") if text is None else text
-    base = messages.select(F.col(id_col).alias("id"), text.alias("body")).where(F.trim("body") != "").select("id", tokens(F.col("body")).alias("words"))
-    seen = base.select("id", F.size("words").alias("n"), F.posexplode("words").alias("pos", "token"))
-    postings = seen.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("n").alias("n"))
-    return Index(postings, base.agg(F.count("*").alias("total"), F.avg(F.size("words")).alias("avg_len")))
+    """Postings of all messages whose text is not blank, and ``(total, avg_len)``; texts are tokenised once."""
+    words = storage.save(words_of(messages, id_col, [F.col("text") if text is None else text]), "words")
+    postings = fold(words).select("token", "id", "positions", F.col("ns")[0].alias("n"))
+    return Index(postings, words.agg(F.count("*").alias("total"), F.avg(F.size(F.col("words")[0])).alias("avg_len")))
 
 
 def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
-    """The index of messages in this state, from storage if it is there; else it is built and stored in order of the token."""
+    """The index of messages in this state, from storage if it is there; else it is built and stored in order of the token.
+
+    What is indexed and the rules that make tokens belong to the state, so another text under the same name is another index.
+    """
+    kind = hashlib.sha256(f"{id_col}|{text}|{token_class()}".encode()).hexdigest()[:12]
 
     def tables() -> dict[str, DataFrame]:
         new = build_index(messages, id_col, text)
         return {"postings": new.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "corpus": new.corpus.coalesce(1)}
 
-    return Index(**storage.kept(spark, f"search-{name}", state, tables))
+    return Index(**storage.kept(spark, f"search-{name}", f"{state}-{kind}", tables))
 
 
 def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
