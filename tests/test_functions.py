@@ -36,6 +36,14 @@ def test_timestamps(spark, text, want):
     assert one(spark, scalar.timestamp_ms(F.col("x")), text) == want
 
 
+@pytest.mark.parametrize(("text", "n"), [("", 0), ("abc", 3), ("a\r\nb", 3), ("e\u0301a", 2), ("\U0001f1e9\U0001f1ea\U0001f1eb\U0001f1f7", 2), ("\U0001f468\u200d\U0001f469\u200d\U0001f467x", 2), ("\U0001f44d\U0001f3fd", 1), ("\u1112\u1161\u11ab", 1)])
+def test_grapheme_clusters(spark, text, n):
+    assert one(spark, scalar.clusters(F.col("x")), text) == n
+    family = "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    assert one(spark, scalar.preview(F.col("x")), family * 160) == family * 160
+    assert one(spark, scalar.preview(F.col("x")), family * 161) == family * 159 + "…"
+
+
 def test_preview(spark):
     assert one(spark, scalar.preview(F.col("x")), "  a \n\t b ") == "a b"
     assert one(spark, scalar.preview(F.col("x")), "y" * 200) == "y" * 159 + "…"

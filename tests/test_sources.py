@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 
 from threadlake.operators import ingest
-from threadlake.sources import adapters, discovery, jsonl, side_files
+from threadlake.sources import adapters, discovery, jsonl, side_files, verified
 from threadlake.streaming import tail
 
 
@@ -102,6 +102,20 @@ def test_discovery(tmp_path):
     assert discovery.canonical_directories([str(tmp_path / "repo/sub")]) == {str(tmp_path / "repo/sub"): str(tmp_path / "repo")}
 
 
+def test_discovery_in_tasks(spark, tmp_path):
+    for name in ("p/a.jsonl", "p/.hidden/b.jsonl", "p/note.txt", "q/C.JSONL", "q/deep/er/d [1].jsonl", "q/deep/e%20.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}\n")
+    os.mkfifo(tmp_path / "q" / "pipe.jsonl")
+    roots = spark.createDataFrame([("claude", 5, str(tmp_path) + "/"), ("codex", 6, str(tmp_path / "none"))], "agent string, id int, path string")
+    files, failures = verified.discover_in_tasks(roots)
+    want = discovery.discover("claude", str(tmp_path))
+    assert sorted((f.asDict() for f in files.drop("root_id").collect()), key=lambda f: f["path"]) == want.files
+    assert {r["root_id"] for r in files.collect()} == {5}
+    told = {(r["agent"], r["path"]) for r in failures.collect()}
+    assert told == {("claude", p) for p, _ in want.failures} | {("codex", str(tmp_path / "none"))}
+
+
 def test_side_files(spark, tmp_path):
     rate = {"modelPattern": "m*", "inputPerMillion": 2}
     good = {"formatVersion": 1, "currency": "USD", "rates": [rate]}
@@ -133,12 +147,38 @@ def test_stream_equals_batch_and_appends_once(spark, tmp_path):
     tail.ingest(tail.line_stream(spark, str(folder), "claude"), "claude", table, check).awaitTermination()
     done = spark.read.parquet(table)
     assert sorted(r["source_key"] for r in done.collect()) == ["u1", "u2", "u3"]
-    state = {os.path.basename(r["path"]): r["scanned_bytes"] for r in tail.checkpoints(done).collect()}
-    with open(folder / "b.jsonl", "a") as f:
-        f.write(rec(4, 2) + rec(3, 9))
-    tail.append_ranges(spark, "claude", [(str(folder / "b.jsonl"), state["b.jsonl"], None)], table)
-    tail.append_ranges(spark, "claude", [(str(folder / "b.jsonl"), state["b.jsonl"], None)], table)
-    assert sorted(r["source_key"] for r in spark.read.parquet(table).collect()) == ["u1", "u2", "u3", "u4"]
+    assert {os.path.basename(r["path"]): r["scanned_bytes"] for r in tail.checkpoints(done).collect()}["b.jsonl"] == len(rec(3, 1))
+
+
+def test_growing_files_exactly_once(spark, tmp_path):
+    """Three triggers, each a restart, over files that grow, one that is replaced and one cut in a line: the batch result, once."""
+    root, table, check = tmp_path / "logs", str(tmp_path / "table"), str(tmp_path / "check")
+    root.mkdir()
+    item = lambda i: json.dumps({"type": "response_item", "payload": {"type": "message", "role": "user", "id": f"m{i}", "content": f"é text {i}"}}) + "\n"
+    meta = json.dumps({"type": "session_meta", "timestamp": 1_700_000_000, "payload": {"id": "c1", "cwd": "/w", "model": "m"}}) + "\n"
+    turn = json.dumps({"type": "turn_context", "payload": {"cwd": "/v"}}) + "\n"
+    a, b = root / "rollout-a.jsonl", root / "rollout-b %20.jsonl"
+
+    def run():
+        tail.follow(spark, "codex", str(root), table, check, split=64).awaitTermination()
+        return sorted((r["path"].rsplit("/")[-1], r["source_key"], r["external_id"], r["cwd"], r["ts"]) for r in spark.read.parquet(table).where("kind = 'message'").collect())
+
+    a.write_text(meta + item(1) + item(2)[:20])
+    assert run() == [("rollout-a.jsonl", "message:m1", "c1", "/w", 1_700_000_000_000)]
+    with open(a, "a") as f:
+        f.write(item(2)[20:] + turn + item(3))
+    b.write_text(meta.replace("c1", "c2") + item(9))
+    run()
+    with open(a, "a") as f:
+        f.write(item(4) + item(4))
+    (tmp_path / "new").write_text(meta.replace("c1", "c3") + item(8))
+    os.replace(tmp_path / "new", b)
+    got = run()
+    batch = adapters.codex(jsonl.read_lines(spark, [("codex", str(a), 0, None)])).where("kind = 'message'").collect()
+    want = sorted({(r["path"].rsplit("/")[-1], r["source_key"], r["external_id"], r["cwd"], r["ts"]) for r in batch})
+    assert [r for r in got if r[0] == "rollout-a.jsonl"] == want and len(want) == 4
+    assert [r[1:4] for r in got if r[0] != "rollout-a.jsonl"] == [("message:m8", "c3", "/w"), ("message:m9", "c2", "/w")]
+    assert run() == got
 
 
 def test_nested_object_ranges(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -24,10 +23,19 @@ def nonempty(x: Column) -> Column:
     return F.nullif(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit(""))
 
 
+def clusters(x: Column) -> Column:
+    """Number of grapheme clusters: what readers take for one character, as a letter with its marks, a flag or a joined emoji."""
+    plain = F.length(x) == F.octet_length(x)
+    # Of ASCII only a carriage return with its line feed is a cluster of two.
+    return F.when(plain, F.length(x) - (F.length(x) - F.length(F.replace(x, F.lit("\r\n"), F.lit("\n"))))).otherwise(F.regexp_count(x, F.lit(r"\X")))
+
+
 def preview(x: Column, limit: int = PREVIEW) -> Column:
-    """White space collapsed; longer texts end in an ellipsis, ``limit`` code points in all."""
+    """White space collapsed; longer texts end in an ellipsis, ``limit`` grapheme clusters in all, none cut apart."""
     flat = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+    cut = F.regexp_extract(flat, rf"^(\X{{{limit - 1}}})\X{{2}}", 1)
+    # A text has no more clusters than code points; the pattern is tried on longer ones only.
+    return F.when(F.length(flat) <= limit, flat).when(cut != "", F.concat(cut, F.lit("…"))).otherwise(flat)
 
 
 def timestamp_ms(x: Column) -> Column:
@@ -101,14 +109,6 @@ def cursor_ts(message_id: Column) -> Column:
     return F.shiftright(message_id, ORDINAL_BITS)
 
 
-def head_digest(content: Column, size: int = 4096) -> Column:
-    return F.sha2(F.substring(content, 1, size), 256)
-
-
-def path_key(path: Column, case_sensitive: bool = True) -> Column:
-    return path if case_sensitive else F.lower(path)
-
-
 def path_contains(parent: Column, child: Column) -> Column:
     """Equal, or below ``parent`` as a whole path component."""
     stem = F.regexp_replace(parent, "/+$", "")
@@ -135,11 +135,6 @@ def pattern_rank(pattern: Column) -> Column:
     return F.when(F.endswith(p, F.lit("*")), F.length(p) - 1).otherwise(F.length(p) + 10_000)
 
 
-def new_generation() -> str:
-    """A token that names one state of the tables; its family survives, the part after the colon changes."""
-    return f"{uuid.uuid4()}:{uuid.uuid4()}"
-
-
 def money(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(x.cast("double"), 2))
 

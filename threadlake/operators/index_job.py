@@ -340,6 +340,18 @@ def refresh(
     return store.commit({n: df for n, df in out.items() if n not in touched or touched[n]}, {**touched, "project": [0], "counter": [0], "scan_error": [0]}, base)
 
 
+def apply_titles(store: Store, names: DataFrame, policy: str = "complete") -> str | None:
+    """Titles of side files (:func:`sources.side_files.merge_titles`) on stored sessions; only buckets with a changed session are written.  None if none changed."""
+    base = store.manifest()
+    session = store.read("session", base)
+    new = dml.apply_titles(session, names, policy)
+    changed = new.select("id", "source_file_id", F.struct("generated_title", "title_origin").alias("n")).join(session.select("id", F.struct("generated_title", "title_origin").alias("o")), "id").where(~F.col("n").eqNullSafe(F.col("o")))
+    touched = _buckets(changed, store.bucket("session"))
+    if not touched:
+        return None
+    return store.commit({"session": dml.apply_titles(store.read("session", base, touched), names, policy)}, {"session": touched}, base)
+
+
 def hydrate(message: DataFrame, source_file: DataFrame) -> DataFrame:
     """Messages with their sections read again from the source, each from its own bytes.
 

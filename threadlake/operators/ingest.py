@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalar import ORDINAL_BITS, clamp_ts, preview
+from ..functions.scalar import ORDINAL_BITS, clamp_ts, clusters, preview
 from ..functions.sections import preferred_preview, section_flags, user_title
 
 #: Order in which records arrive: files by provider and path, then bytes, then items of one record.
@@ -53,9 +53,9 @@ def message_ids(df: DataFrame, order: tuple[str, ...] = ARRIVAL, first: Column |
 
 
 def derive(messages: DataFrame) -> DataFrame:
-    """Flags, preview and length of a message's text."""
+    """Flags, preview and length (in grapheme clusters) of a message's text."""
     shown = preferred_preview()
-    return messages.withColumn("section_flags", section_flags()).withColumn("prefix", preview(shown)).withColumn("char_count", F.length(F.coalesce(shown, F.lit(""))))
+    return messages.withColumn("section_flags", section_flags()).withColumn("prefix", preview(shown)).withColumn("char_count", clusters(F.coalesce(shown, F.lit(""))))
 
 
 def fold_sessions(messages: DataFrame, events: DataFrame | None = None) -> DataFrame:

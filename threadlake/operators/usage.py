@@ -30,9 +30,15 @@ def canonical(observations: DataFrame) -> DataFrame:
     return best.select("agent", "dedupe_key", "row.*", *TOKENS)
 
 
-def daily(observations: DataFrame) -> DataFrame:
-    """Roll-ups by local day, project, model and side chain."""
-    rows = canonical(observations).withColumn("day", day_bucket(F.col("ts")))
+def daily(observations: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Roll-ups by local day, project, model and side chain.
+
+    With ``sessions(id, project_id)`` an observation without a project counts for its session's, and those of sessions that are no more do not count.
+    """
+    rows = canonical(observations)
+    if sessions is not None:
+        rows = rows.join(sessions.select(F.col("id").alias("session_id"), F.col("project_id").alias("_own")), "session_id").withColumn("project_id", F.coalesce("project_id", "_own")).drop("_own")
+    rows = rows.withColumn("day", day_bucket(F.col("ts")))
     return rows.groupBy(*DAILY_KEY).agg(*[F.sum(F.coalesce(t, F.lit(0))).alias(t) for t in TOKENS])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql.window import Window
 from . import storage
 from .functions import scalar, sections
 from .functions.tokens import tokens
-from .operators import browse, dml, index_job, ingest, paging, search, usage
+from .operators import browse, dml, index_job, ingest, paging, search, segments, usage
 from .plans.tables import EPOCH, RATES, Tables
 from .sources import adapters
+from .sources.verified import look_again
 from .streaming import tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +117,41 @@ def q1_search_filtered(t):
     return _found(t, 'th "and"', agents=["claude", "codex"], since=EPOCH + 600_000, until=EPOCH + 5_400_000, errors_only=True).select(*_RESULT)
 
 
+def _in_increments(t: Tables, rows: DataFrame) -> segments.Segments:
+    """An index of ``rows(id, prose, tool_invocation, tool_output)`` made by three changes, with rows that are rewritten and rows that are deleted again."""
+    log = segments.Segments(t.spark, storage.new_folder(t.spark, "segments"), fanout=2)
+    early, late = rows.where("id % 3 = 0"), rows.where("id % 3 <> 0")
+    wrong = early.where("id % 2 = 0").withColumn("prose", F.concat(F.lit("the of that and "), "prose"))
+    passing = early.withColumn("id", -F.col("id") - 1)
+    log.update(early.where("id % 2 <> 0").unionByName(wrong).unionByName(passing))
+    log.update(late)
+    log.update(early.where("id % 2 = 0"), passing.select("id"))
+    return log
+
+
+@register(_MATCH.format("", 200))
+def q1_search_over_segments(t):
+    rows = t.message_text().select("id", "prose", F.lit("").alias("tool_invocation"), F.lit("").alias("tool_output"))
+    return search.search(_corpus(t), _in_increments(t, rows).index(), t.supported(), 'th "and"').select(*_RESULT)
+
+
+_SECTION = "CASE WHEN seq % 3 = 0 THEN 'prose' WHEN seq % 3 = 1 THEN 'invocations' ELSE 'everything' END"
+
+
+@register(f""", starts AS (SELECT a.id FROM conv_token a JOIN conv_token b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND starts_with(b.token, 't')),
+held AS (SELECT m.id, {_SECTION} AS least FROM message m WHERE m.id IN (SELECT id FROM starts))
+SELECT scope, id FROM held, (VALUES ('prose'), ('invocations'), ('everything')) s(scope) WHERE scope = 'everything' OR least = 'prose' OR scope = least""")
+def q1_scopes(t):
+    """One index, three scopes: each message's text stands in one of its sections."""
+    place = F.col("seq") % 3
+    rows = t.message().select("id", *[F.when(place == k, F.col("prose")).otherwise("").alias(n) for k, n in enumerate(segments.WIDEST)])
+    log = segments.Segments(t.spark, storage.new_folder(t.spark, "segments"))
+    log.update(rows)
+    phrase = search.parse_query('of-t')
+    out = [search.match(log.index(scope).postings, phrase).select(F.lit(scope).alias("scope"), "id") for scope in sections.SCOPES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 _BM25 = """, starts AS (
   SELECT 0 AS phrase, id, pos AS start FROM doc_token WHERE token = 'the'
   UNION ALL SELECT 1, a.id, a.pos FROM doc_token a JOIN doc_token b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND starts_with(b.token, 't')),
@@ -129,16 +166,20 @@ ranked AS (SELECT d.id, session_id, project_key, round(score, 9) AS score, score
 SELECT id, session_id, project_key, score FROM ranked {{}} ORDER BY exact, id DESC LIMIT {{}}""".replace("{EPOCH}", str(EPOCH)).replace("{{}}", "{}")
 
 
-def _documents(t: Tables, **options) -> DataFrame:
-    """Documents searched as messages, ten to a session, by relevance; the bare term makes a phrase whose last word may go on."""
-    d = t.raw("documents")
+def _documents_corpus(t: Tables) -> DataFrame:
+    """Documents as messages, ten to a session."""
     session = F.floor(F.col("doc_id") / 10)
-    corpus = d.select(
+    return t.raw("documents").select(
         F.col("doc_id").alias("id"), session.alias("session_id"), t.agent_of(F.col("doc_id")).alias("agent"), F.concat(F.lit("/work/proj"), F.pmod(session, F.lit(7)).cast("string")).alias("project_key"),
         (F.lit(EPOCH) + F.col("doc_id") * 1000).alias("ts"), (F.col("doc_id") % 11 == 0).alias("has_error"), (session % 6 == 0).alias("had_error"),
     )
+
+
+def _documents(t: Tables, **options) -> DataFrame:
+    """Documents searched by relevance; the bare term makes a phrase whose last word may go on."""
+    d = t.raw("documents")
     index = search.stored_index(t.spark, "documents", storage.state_of(d), d.select(F.col("doc_id").alias("id"), "text"))
-    return search.search(corpus, index, t.supported(), '"the" of-t', sort="relevance", **options)
+    return search.search(_documents_corpus(t), index, t.supported(), '"the" of-t', sort="relevance", **options)
 
 
 _SHOWN = ("id", "session_id", "project_key")
@@ -154,6 +195,12 @@ def q2_filtered(t):
     return _documents(t, agents=["claude", "gemini"], since=EPOCH + 50_000, until=EPOCH + 800_000, errors_only=True).select(*_SHOWN, F.round("score", 9).alias("score"))
 
 
+@register(_BM25.format("", "", 200))
+def q2_relevance_over_segments(t):
+    d = t.raw("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("prose"), F.lit("").alias("tool_invocation"), F.lit("").alias("tool_output"))
+    return search.search(_documents_corpus(t), _in_increments(t, d).index(), t.supported(), '"the" of-t', sort="relevance").select(*_SHOWN, F.round("score", 9).alias("score"))
+
+
 @register(_BM25.format("", "", "10 OFFSET 5"))
 def q2_next_page(t):
     """The page after the first five results, by the first page's cursor."""
@@ -350,6 +397,31 @@ def exp1_preview(t):
     return t.raw("documents").select("doc_id", scalar.preview(F.col("text")).alias("preview"))
 
 
+@register("SELECT count(*) AS sessions FROM session s WHERE s.agent <> 'other' AND s.project_id = 3")
+def agg6_session_count(t):
+    summary = t.session().join(F.broadcast(t.supported()), "agent", "left_semi").withColumn("project_key", F.concat(F.lit("/work/proj"), F.col("project_id").cast("string")))
+    return browse.session_count(summary, "/work/proj3")
+
+
+@register("SELECT id, ts FROM message")
+def exp9_cursor_times(t):
+    return t.message().select("id", scalar.cursor_ts(F.col("id")).alias("ts"))
+
+
+@register("SELECT project_id, count(*) || CASE WHEN count(*) = 1 THEN ' session' ELSE ' sessions' END AS sessions, '$' || format('{:,}', sum(message_count)::BIGINT) || '.00' AS worth FROM session GROUP BY project_id")
+def exp18_labels(t):
+    s = t.session().groupBy("project_id").agg(F.count("*").alias("n"), F.sum("message_count").alias("m"))
+    return s.select("project_id", scalar.counted(F.col("n"), "session").alias("sessions"), scalar.money(F.col("m")).alias("worth"))
+
+
+@register("SELECT id, CASE WHEN seq % 3 = 0 THEN prose WHEN prose = '' THEN '' ELSE 'tool ' || prose END AS snippet FROM message")
+def prj13_snippets(t):
+    """The first section with text that search sees; reasoning is never shown."""
+    third = F.col("seq") % 3
+    sections_ = {"prose": F.when(third == 0, F.col("prose")), "tool_invocation": F.when((third == 1) & (F.col("prose") != ""), F.concat(F.lit("tool "), "prose")), "tool_output": F.when((third == 2) & (F.col("prose") != ""), F.concat(F.lit("tool "), "prose")), "reasoning": F.lit("thought")}
+    return t.message().withColumns(sections_).select("id", sections.snippet().alias("snippet"))
+
+
 @register("--plain SELECT event_id, epoch_us(ts) // 1000 AS iso_ms, (epoch_us(ts) // 1000000) * 1000 AS seconds_ms, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def exp2_timestamps(t):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -472,6 +544,90 @@ def q17_index_usage(t):
     return usage.daily(out["observation"].withColumn("dedupe_key", F.concat_ws(":", "source_file_id", "dedupe_key"))).join(p, "project_id").groupBy("day", "project_key").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
+@register("""SELECT strftime(make_timestamp((c.ts // 1000) * 1000000), '%Y-%m-%d') AS day, coalesce(c.project_id, s.project_id) AS project_id, c.model, c.is_sidechain, sum(coalesce(input_tokens, 0))::BIGINT AS input_tokens, sum(coalesce(output_tokens, 0))::BIGINT AS output_tokens
+  FROM (SELECT * EXCLUDE (project_id), CASE WHEN id % 4 <> 1 THEN project_id END AS project_id FROM
+    (SELECT agent, dedupe_key, id, user_id, row_number() OVER (PARTITION BY agent, dedupe_key ORDER BY coalesce(output_tokens, -1) DESC, id DESC) AS rn, ts, project_id, model, is_sidechain, max(input_tokens) OVER w AS input_tokens, max(output_tokens) OVER w AS output_tokens
+     FROM observation JOIN (SELECT event_id, user_id FROM events) e ON e.event_id = id WINDOW w AS (PARTITION BY agent, dedupe_key)) WHERE rn = 1) c
+  JOIN session s ON s.id = c.user_id GROUP BY ALL""")
+def q9_usage_of_sessions(t):
+    """Observations that name no project count for their session's; those of sessions that are no more do not count."""
+    seen = t.observations().withColumn("project_id", F.when(F.col("id") % 4 != 1, F.col("project_id")))
+    return usage.daily(seen, t.session()).select("day", "project_id", "model", "is_sidechain", "input_tokens", "output_tokens")
+
+
+def _stand(t: Tables, lines: DataFrame, folder: str, cut: int = 0) -> DataFrame:
+    """The logs as files of one folder, as discovery finds them; written in tasks, a file at a time, without its last ``cut`` bytes."""
+
+    def write(rows):
+        import os
+
+        import pandas as pd
+
+        agent, path = rows["agent"].iloc[0], folder + rows["path"].iloc[0]
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        data = "".join(r + "\n" for r in rows.sort_values("byte_offset")["raw"]).encode()
+        with open(path, "wb") as f:
+            f.write(data[: len(data) - cut])
+        return pd.DataFrame({"agent": [agent], "path": [path]})
+
+    written = storage.save(lines.select("agent", "path", "byte_offset", "raw").groupBy("agent", "path").applyInPandas(write, "agent string, path string"), "logs")
+    return storage.save(look_again(written).drop("error").withColumn("root_id", F.lit(1).cast("bigint")), "found")
+
+
+def _folder(t: Tables, tag: str) -> str:
+    return re.sub("^file:/*", "/", storage.new_folder(t.spark, tag))
+
+
+def _stored_messages(store: index_job.Store) -> DataFrame:
+    out = store.tables()
+    return out["message"].join(out["session"].select(F.col("id").alias("session_id"), "external_id"), "session_id")
+
+
+@register(_LOGGED + " SELECT external_id, place AS seq, source_key, role, ts, prose, has_error, id, CASE WHEN length(f) > 160 THEN left(f, 159) || '…' ELSE f END AS prefix FROM said")
+def q17_increment_messages(t):
+    """Log files on disk that grow between two runs over a store in buckets."""
+    # What comes later stands behind all that came first, as in any log.
+    lines = storage.save(_log_lines(t).withColumn("byte_offset", F.col("byte_offset") + F.when(F.col("seq") < 3, 0).otherwise(1 << 50)), "lines")
+    folder = _folder(t, "logs")
+    store = index_job.Store(t.spark, storage.new_folder(t.spark, "store"), buckets=16)
+    index_job.refresh(store, _stand(t, lines.where("seq < 3"), folder))
+    index_job.refresh(store, _stand(t, lines, folder))
+    return _stored_messages(store).select("external_id", "seq", "source_key", "role", "ts", "prose", "has_error", "id", "prefix")
+
+
+@register(_LOGGED + " SELECT external_id, source_key, prose, true AS hydrated FROM said")
+def q16_hydrated_messages(t):
+    """Messages stored without their text, read again from their own bytes of the log files."""
+    store = index_job.Store(t.spark, storage.new_folder(t.spark, "store"), buckets=16)
+    index_job.refresh(store, _stand(t, _log_lines(t), _folder(t, "logs")))
+    emptied = _stored_messages(store).withColumn("prose", F.lit(""))
+    return index_job.hydrate(emptied, store.tables()["source_file"]).select("external_id", "source_key", "prose", "hydrated")
+
+
+def _chat_documents(t: Tables, tag: str) -> DataFrame:
+    """Sessions as one snapshot file each; ``tag`` stands before each text."""
+    kind = F.when(F.col("role") == "assistant", "gemini").when(F.col("role") == "system", "info").otherwise("user")
+    said = F.struct("seq", F.col("source_key").alias("id"), kind.alias("type"), F.col("ts").alias("timestamp"), F.concat(F.lit(tag), "prose").alias("content"))
+    docs = t.message().groupBy("session_id").agg(F.sort_array(F.collect_list(said)).alias("messages"))  # the turns of one conversation are one file
+    raw = F.to_json(F.struct(F.col("session_id").cast("string").alias("sessionId"), "messages"))
+    return docs.select(F.lit("gemini").alias("agent"), F.concat(F.lit("/p/chats/session-"), F.col("session_id").cast("string"), F.lit(".json")).alias("path"), F.lit(0).cast("bigint").alias("byte_offset"), raw.alias("raw"))
+
+
+@register("SELECT CAST(session_id AS VARCHAR) AS external_id, source_key, CASE WHEN session_id % 3 = 0 THEN 'new ' ELSE 'old ' END || prose AS prose, session_id % 3 = 1 AS failed FROM message")
+def q17_kept_snapshots(t):
+    """Snapshots written anew: whole ones replace their messages, those that break off keep what is stored and are reported."""
+    folder = _folder(t, "chats")
+    store = index_job.Store(t.spark, storage.new_folder(t.spark, "store"), buckets=16)
+    first, second = (storage.save(_chat_documents(t, tag), "chats") for tag in ("old ", "new "))
+    number = F.regexp_extract("path", r"session-(\d+)", 1).cast("bigint") % 3
+    index_job.refresh(store, _stand(t, first, folder))
+    _stand(t, second.where(number == 0), folder)
+    _stand(t, second.where(number == 1), folder, cut=9)
+    index_job.refresh(store, look_again(first.select("agent", F.concat(F.lit(folder), "path").alias("path"))).drop("error").withColumn("root_id", F.lit(1).cast("bigint")))
+    files = store.tables()["source_file"].select(F.col("id").alias("source_file_id"), F.col("last_error").isNotNull().alias("failed"))
+    return _stored_messages(store).join(files, "source_file_id").select("external_id", "source_key", "prose", "failed")
+
+
 @register("SELECT source_file_id, session_id, seq, last_value(CASE WHEN seq % 3 = 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY source_file_id ORDER BY session_id, seq) AS ts FROM message")
 def win5_carried_timestamps(t):
     rows = t.message().select("source_file_id", "session_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("ts")).alias("ts"))

@@ -73,6 +73,16 @@ def discover(agent: str, root: str, scopes: Iterable[str] = ()) -> Found:
     return Found(sorted(files, key=lambda f: (f["agent"], f["path"])), failures)
 
 
+def candidates(agent: str, root: str) -> list[str]:
+    """Paths alone, by the same rules; what cannot be listed is left out."""
+    pattern = re.compile("(^|/)" + NAMES[agent], re.I)
+    out = []
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(d for d in below if not d.startswith("."))
+        out += [os.path.join(folder, n) for n in sorted(names) if not n.startswith(".") and pattern.search(os.path.join(folder, n).lower())]
+    return out
+
+
 def fingerprint(path: str, head: int = HEAD) -> dict:
     with open_regular(path) as f:
         st = os.fstat(f.fileno())

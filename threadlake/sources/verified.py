@@ -8,7 +8,10 @@ nothing takes them for URLs or patterns, and no list of files passes through the
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import save
-from .discovery import HEAD, fingerprint
+from .discovery import HEAD, NAMES, fingerprint
 from .documents import BrokenDocument, objects
 from .jsonl import BATCH_BYTES, SCHEMA, SPLIT_BYTES, Piece, open_regular, piece_lines
 
@@ -110,6 +113,57 @@ def look_again(files: DataFrame) -> DataFrame:
     return files.select("agent", "path").mapInPandas(lambda frames: (_prints(f) for f in frames), f"agent string, path string, {PRINT}, error string")
 
 
+LISTED = "agent string, root_id bigint, path string, kind string, detail string"
+
+
+def _list(agent: str, root_id: int, folder: str) -> Iterator[tuple]:
+    """What lies in a folder: ``folder``, ``file`` (of the agent's names), or the folder itself as ``failure``."""
+    pattern = re.compile("(^|/)" + NAMES[agent], re.I)
+    try:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if e.name.startswith("."):
+                    continue
+                if e.is_dir(follow_symlinks=False):
+                    yield agent, root_id, e.path, "folder", None
+                elif not e.is_dir() and pattern.search(e.path.lower()):
+                    yield agent, root_id, e.path, "file", None
+    except OSError as e:
+        yield agent, root_id, folder, "failure", e.strerror or str(e)
+
+
+def discover_in_tasks(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(files, failures)`` below the roots ``(agent, id, path)``: folders are listed level by level and heads hashed in tasks.
+
+    The same files as :func:`discovery.discover` finds, with ``root_id`` and their fingerprints; ``failures(agent, root_id, path, error)`` are
+    folders that could not be listed and files that could not be read.  The driver learns only whether a level has folders.
+    """
+    tasks = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pa.schema([(f.split(" ")[0], pa.int64() if "bigint" in f else pa.string()) for f in LISTED.split(", ")])
+
+    def listed(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [r for p in b.to_pylist() for r in _list(p["agent"], p["root_id"], p["path"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True) if got else [[]] * len(rows), rows, strict=True)], schema=rows)
+
+    level = roots.select("agent", F.col("id").cast("bigint").alias("root_id"), F.coalesce(F.nullif(F.regexp_replace("path", "/+$", ""), F.lit("")), F.lit("/")).alias("path"))
+    seen = []
+    while True:
+        below = save(level.repartition(tasks, F.xxhash64("agent", "path")).mapInArrow(listed, LISTED), "listed")
+        seen.append(below)
+        level = below.where("kind = 'folder'").select("agent", "root_id", "path")
+        if level.isEmpty():
+            break
+    everything = reduce(DataFrame.unionByName, seen)
+    files = everything.where("kind = 'file'").select("agent", "root_id", "path")
+    # Of a place under two roots the deeper listing counts once: its first root.
+    files = files.groupBy("agent", "path").agg(F.min("root_id").alias("root_id"))
+    prints = save(look_again(files.repartition(tasks, F.xxhash64("agent", "path"))), "prints")
+    found = prints.where("error is null").drop("error").join(files, ["agent", "path"])
+    failures = everything.where("kind = 'failure'").select("agent", "root_id", "path", F.col("detail").alias("error"))
+    return found, failures.unionByName(prints.where("error is not null").join(files, ["agent", "path"]).select("agent", "root_id", "path", "error"))
+
+
 def head_at(path: Column, length: Column) -> Column:
     """Digest of a file's first bytes, null without a path or where the file cannot be read."""
 
