@@ -36,7 +36,9 @@ PIVOT_ROUNDS = 4
 #: Documents on the two sides of a block of signatures, and on those of a square of shingle sets; squares of long documents hold fewer.
 BLOCK_LEFT, BLOCK_RIGHT = 1_024, 4_096
 SQUARE_LEFT, SQUARE_RIGHT, SQUARE_SHINGLES = 64, 256, 4_096
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
+#: Pairs of one block that are looked at together, which bounds a task's memory however many of them are likely.
+PAIRS = 400_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -160,10 +162,9 @@ class _Block:
         self.bands = np.stack(rows["bands"].to_numpy())
 
 
-def _likely(x: _Block, y: _Block, key: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places whose labels differ, whose sizes and estimate allow a link, and whose first shared band is this bucket's."""
-    found = [], []
-    step = max(1, 400_000 // len(y.rid))
+def _likely(x: _Block, y: _Block, key: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places whose labels differ, whose sizes and estimate allow a link, and whose first shared band is this bucket's; all of a left document's pairs come at once."""
+    step = max(1, PAIRS // len(y.rid))
     for lo in range(0, len(x.rid), step):
         cut = slice(lo, lo + step)
         able = x.label[cut, None] != y.label
@@ -171,6 +172,7 @@ def _likely(x: _Block, y: _Block, key: int, most: int) -> tuple[np.ndarray, np.n
         able &= (y.label == most) | (x.rid[cut, None] < y.rid)
         i, j = np.nonzero(able)
         i += lo
+        found = [], []
         for k in range(0, len(i), 65_536):
             a, b = i[k : k + 65_536], j[k : k + 65_536]
             d = x.sig[a] ^ y.sig[b]
@@ -184,29 +186,27 @@ def _likely(x: _Block, y: _Block, key: int, most: int) -> tuple[np.ndarray, np.n
             first = x.bands[a, shared.argmax(axis=1)] == key
             found[0].append(a[first])
             found[1].append(b[first])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found[0]]), np.concatenate([none, *found[1]])
+        if any(map(len, found[0])):
+            yield np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks, which come in runs of rows, to squares: a row without ``bs`` says that a square needs a document's set, others list what a document is to be compared with."""
 
-    def block(g: pd.DataFrame) -> list[tuple]:
+    def block(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
         left = g["left"].to_numpy()
         if left.all() or not left.any():
-            return []
+            return
         x, y = _Block(g[left]), _Block(g[~left])
         key, most, m, mx = (int(g[c].iloc[0]) for c in ("key", "most", "m", "mx"))
-        i, j = _likely(x, y, key, most)
-        if not len(i):
-            return []
-        square = _squares(x.rid[i], y.rid[j], x.n[i], y.n[j], mx, m, most)
-        order = np.lexsort((i, square))
-        i, j, square = i[order], j[order], square[order]
-        out = [(s, r, 0, None, None) for s, r in {*zip(square.tolist(), x.rid[i].tolist(), strict=True), *zip(square.tolist(), y.rid[j].tolist(), strict=True)}]
-        for lo, hi in _runs(np.stack([square, i], axis=1)):
-            out.append((int(square[lo]), int(x.rid[i[lo]]), int(x.label[i[lo]]), y.rid[j[lo:hi]].tolist(), y.label[j[lo:hi]].tolist()))
-        return out
+        for i, j in _likely(x, y, key, most):
+            square = _squares(x.rid[i], y.rid[j], x.n[i], y.n[j], mx, m, most)
+            order = np.lexsort((i, square))
+            i, j, square = i[order], j[order], square[order]
+            out = [(s, r, 0, None, None) for r_of in (x.rid[i], y.rid[j]) for s, r in np.unique(np.stack([square, r_of], axis=1), axis=0).tolist()]
+            for lo, hi in _runs(np.stack([square, i], axis=1)):
+                out.append((int(square[lo]), int(x.rid[i[lo]]), int(x.label[i[lo]]), y.rid[j[lo:hi]], y.label[j[lo:hi]]))
+            yield _as_candidates(out)
 
     held = None
     for b in batches:
@@ -214,11 +214,11 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(held):
             continue
         *whole, (last, _) = _runs(held[["key", "xb", "yb"]].to_numpy())
-        out = [r for lo, hi in whole for r in block(held.iloc[lo:hi])]
+        for lo, hi in whole:
+            yield from block(held.iloc[lo:hi])
         held = held.iloc[last:]
-        yield _as_candidates(out)
     if held is not None and len(held):
-        yield _as_candidates(block(held))
+        yield from block(held)
 
 
 def _as_candidates(rows: list[tuple]) -> pd.DataFrame:
