@@ -101,6 +101,8 @@ def test_runs_over_changing_files(spark, tmp_path):
     index = search.build_index(t["message"], text=F.col("prose"))
     assert search.match(index.postings, search.parse_query("common word5")).count() == 1
     assert index_job.refresh(store, found(spark, *roots), rebuild=True) and len(seen(store.tables())) == 2
+    whole = seen(store.tables())
+    assert index_job.refresh(store, found(spark, *roots), rebuild=True, slice_bytes=64) and seen(store.tables()) == whole
 
 
 def test_hydrated_from_the_source(spark, tmp_path):

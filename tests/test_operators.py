@@ -1,11 +1,14 @@
 """Table operators on small cases with known answers."""
 
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadlake.operators import browse, dml, ingest, paging, search, usage
+from threadlake.sources import adapters
 from threadlake.streaming import tail
 
 OBS = "id long, source_file_id long, source_key string, agent string, dedupe_key string, ts long, project_id long, session_id long, model string, is_sidechain boolean, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long, reasoning_tokens long"
@@ -91,6 +94,32 @@ def test_carry_and_first_write(spark):
     assert sorted((r["path"], r["byte_offset"]) for r in ingest.last_write(df, "path", "source_key").collect()) == [("p", 1), ("p", 2), ("q", 0)]
 
 
+def test_carry_over_slices(spark):
+    """A file cut into many slices, among them whole slices without a value and null keys, is filled as it would be in one."""
+    rng = random.Random(3)
+    rows = [("a", path, at, item, rng.choice([None, None, None, at]) if at > 90 else None, rng.choice([None, f"s{at}"]) if at % 400 < 40 else None) for path in ("p", "q", None) for at in range(0, 2_000, 10) for item in (0, 1)]
+    df = spark.createDataFrame(rows, "agent string, path string, byte_offset long, item int, ts long, name string")
+    want = []
+    for path in ("p", "q", None):
+        ts = name = None
+        for r in (r for r in rows if r[1] == path):
+            ts, name = (old if new is None else new for old, new in ((ts, r[4]), (name, r[5])))
+            want.append((*r[:4], ts, name))
+    for slices in (None, F.floor(F.col("byte_offset") / 70), F.lit(0)):
+        got = ingest.carry(df, "ts", "name", slices=slices)
+        assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert ingest.carry(df.limit(0), "ts", slices=F.col("byte_offset")).count() == 0
+
+
+def test_adapters_over_slices(spark):
+    raw = ['{"type": "session_meta", "timestamp": "2025-01-01T00:00:00Z", "payload": {"id": "s", "cwd": "/w"}}']
+    raw += ['{"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "line %d"}]}}' % i for i in range(30)]
+    begin = [0, *itertools.accumulate(len(x) + 1 for x in raw)]
+    lines = spark.createDataFrame([("codex", "/l/x.jsonl", b, len(x), x) for b, x in zip(begin, raw)], "agent string, path string, byte_offset long, byte_length long, raw string")
+    whole, cut = (sorted(map(str, adapters.codex(lines, n).collect())) for n in (None, 300))
+    assert whole == cut and len(cut) >= 30 and all("external_id='s'" in r and "cwd='/w'" in r for r in cut)
+
+
 def test_metadata_and_titles(spark):
     rows = [("s", "# AGENTS.md instructions for x", None, False, 0), ("s", " Do this ", " T1 ", False, 1), ("s", "later", "  ", True, 2), ("s", None, "T2", False, 3)]
     df = spark.createDataFrame([("a", "p", r[4], 0, *r[:4]) for r in rows], "agent string, path string, byte_offset long, item int, external_id string, prose string, explicit_title string, plan boolean")

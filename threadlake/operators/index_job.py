@@ -24,6 +24,9 @@ from ..sources.verified import head_at, is_snapshot, read_verified
 from ..storage import save
 from . import dml, ingest, store
 
+#: A file that reaches further is cut there for the values its records carry on, so that it is many tasks.
+SLICE_BYTES = 256 << 20
+
 FILE = "id bigint, root_id bigint, agent string, path string, dev bigint, inode bigint, size bigint, mtime_ns bigint, head_hash string, scanned_bytes bigint, last_error string, head_length int"
 PROJECT = "id bigint, canonical_key string, display_name string"
 SESSION = (
@@ -105,9 +108,10 @@ def plan(found: DataFrame, stored_files: DataFrame) -> DataFrame:
     return todo.withColumn("action", F.when(whole, "replace").otherwise(F.col("action"))).withColumn("start", F.when(whole, F.lit(0)).otherwise(F.col("start")).cast("bigint"))
 
 
-def records(lines: DataFrame, chat_roots: DataFrame | None = None) -> DataFrame:
-    """All providers' lines through their adapters."""
-    parts = [f(lines.where(F.col("agent") == a), chat_roots) if a == "gemini" else f(lines.where(F.col("agent") == a)) for a, f in adapters.ADAPTERS.items()]
+def records(lines: DataFrame, chat_roots: DataFrame | None = None, slice_bytes: int | None = None) -> DataFrame:
+    """All providers' lines through their adapters; with ``slice_bytes`` a file is cut there, so a long one is many tasks."""
+    sides = {"gemini": {"chat_roots": chat_roots}}
+    parts = [f(lines.where(F.col("agent") == a), slice_bytes=slice_bytes, **sides.get(a, {})) for a, f in adapters.ADAPTERS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -141,10 +145,10 @@ def _counters(counter: DataFrame, **given: tuple[DataFrame, Column]) -> DataFram
     return out.where("next is not null").groupBy("name").agg(F.max("next").alias("next"))
 
 
-def parse(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None) -> DataFrame:
+def parse(stored: dict[str, DataFrame], todo: DataFrame, lines: DataFrame, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None, slice_bytes: int | None = None) -> DataFrame:
     """Records of the lines read, once for all tables: with their file's id, the time stamp carried on from what is stored, and the canonical project."""
     files = todo.where("action <> 'skip'").select("agent", "path", F.col("id").alias("source_file_id"), "action")
-    rows = records(lines, chat_roots).join(files, ["agent", "path"])
+    rows = records(lines, chat_roots, slice_bytes).join(files, ["agent", "path"])
     return save(_carried(rows, stored).withColumn("project_key", canonical_project(projects or {}, F.col("cwd"))), "records")
 
 
@@ -271,7 +275,7 @@ def _buckets(of: DataFrame, column: Column) -> list[int]:
 
 def refresh(
     store: Store, found: DataFrame, gone: DataFrame | None = None, rebuild: bool = False, projects: Mapping[str, str] | None = None, chat_roots: DataFrame | None = None,
-    scanned: DataFrame | None = None, scan_errors: DataFrame | None = None, now_ms: int | None = None,
+    scanned: DataFrame | None = None, scan_errors: DataFrame | None = None, now_ms: int | None = None, slice_bytes: int = SLICE_BYTES,
 ) -> str | None:
     """One run over the files found (:func:`sources.discovery.discover`): the new version's name, None if nothing changed.
 
@@ -324,7 +328,9 @@ def refresh(
     part = {n: store.read(n, held, touched[n]) for n in touched} | {n: stored[n] for n in ("project", "counter", "scan_error")}
     part["move_alias"] = part["move_alias"].unionByName(moved).distinct()
     part["source_file"] = files.where(store.bucket("source_file").isin([int(b) for b in entry])) if not rebuild else files
-    rows = parse(part, done, lines, projects, chat_roots)
+    # Cutting reads the lines twice, so it is left out where no file reaches over a slice; the records are the same.
+    furthest = lines.agg(F.max("byte_offset")).first()[0] or 0
+    rows = parse(part, done, lines, projects, chat_roots, slice_bytes if furthest >= slice_bytes else None)
     # Hours of the messages read: only their ordinals are looked up.
     touched["ordinal"] = range(store.buckets) if rebuild else _buckets(rows, store.bucket("ordinal", clamp_ts(F.col("ts"))))
     part["ordinal"] = store.read("ordinal", held, touched["ordinal"])

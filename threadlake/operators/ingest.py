@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,23 @@ ARRIVAL = ("agent", "path", "byte_offset", "item")
 OVERFLOW_START = -(2**63)
 
 
-def carry(df: DataFrame, *cols: str, by: tuple[str, ...] = ("agent", "path"), order: tuple[str, ...] = ("byte_offset", "item")) -> DataFrame:
-    """Fills nulls with the last value before them in the file; ties in order go by item."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in df.columns])
+def carry(df: DataFrame, *cols: str, by: tuple[str, ...] = ("agent", "path"), order: tuple[str, ...] = ("byte_offset", "item"), slices: Column | None = None) -> DataFrame:
+    """Fills nulls with the last value before them in the file; ties in order go by item.
+
+    ``slices``, which must not fall along the order, cuts a long file: each slice is filled by itself, and what its
+    first rows lack comes from the slices before, of which one row each is scanned.  The result is the same; ``df`` is read twice.
+    """
+    filled = lambda w: [F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c) for c in df.columns]
+    if slices is None:
+        return df.select(*filled(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = df.withColumn("_slice", slices)
+    rows = cut.select(*filled(Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), "_slice")
+    keys = [*by, "_slice"]
+    ends = cut.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_last_{c}") for c in cols])
+    earlier = Window.partitionBy(*[f"_key{i}" for i in range(len(by))]).orderBy(f"_key{len(by)}").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
+    ends = ends.select(*[f"_key{i}" for i in range(len(keys))], *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_last_{c}") for c in cols])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return rows.join(ends, same, "left").select(*[F.coalesce(c, f"_last_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def first_write(df: DataFrame, *key: str, order: tuple[str, ...] = ARRIVAL) -> DataFrame:

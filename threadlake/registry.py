@@ -631,7 +631,7 @@ def q17_kept_snapshots(t):
 @register("SELECT source_file_id, session_id, seq, last_value(CASE WHEN seq % 3 = 0 THEN ts END IGNORE NULLS) OVER (PARTITION BY source_file_id ORDER BY session_id, seq) AS ts FROM message")
 def win5_carried_timestamps(t):
     rows = t.message().select("source_file_id", "session_id", "seq", F.when(F.col("seq") % 3 == 0, F.col("ts")).alias("ts"))
-    return ingest.carry(rows, "ts", by=("source_file_id",), order=("session_id", "seq"))
+    return ingest.carry(rows, "ts", by=("source_file_id",), order=("session_id", "seq"), slices=F.floor(F.col("session_id") / 16))
 
 
 @register("SELECT session_id, seq, (ts // 10000 * 10000) * 1048576 + row_number() OVER (PARTITION BY ts // 10000 ORDER BY session_id, seq) - 1 AS id FROM message")

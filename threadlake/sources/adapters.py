@@ -117,7 +117,12 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
 
 
-def claude(lines: DataFrame) -> DataFrame:
+def _slices(slice_bytes: int | None) -> Column | None:
+    """Where long files are cut for what records carry on; None keeps each file whole."""
+    return None if slice_bytes is None else F.floor(F.col("byte_offset") / slice_bytes)
+
+
+def claude(lines: DataFrame, slice_bytes: int | None = None) -> DataFrame:
     rows = lines.withColumn("v", F.try_parse_json("raw"))
     v = F.col("v")
     rows = rows.where(string_at(v, "$.type").isin(*CLAUDE_MESSAGES, *CLAUDE_TITLES))
@@ -149,10 +154,10 @@ def claude(lines: DataFrame) -> DataFrame:
         *_usage(v, {"input_tokens": "$.message.usage.input_tokens", "output_tokens": "$.message.usage.output_tokens", "cache_write_tokens": "$.message.usage.cache_creation_input_tokens", "cache_read_tokens": "$.message.usage.cache_read_input_tokens", "reasoning_tokens": "$.message.usage.output_tokens_details.thinking_tokens"}),
     )
     role = F.when(F.col("type") == "system", "system").when((F.col("tool_output") != "") & (F.col("prose") == ""), "tool_result").when((F.col("tool_invocation") != "") & (F.col("prose") == ""), "tool_use").otherwise(F.col("type"))
-    return carry(rows.withColumn("role", role).drop("type"), "ts", "external_id").withColumn("external_id", F.coalesce("external_id", file_stem(F.col("path"))))
+    return carry(rows.withColumn("role", role).drop("type"), "ts", "external_id", slices=_slices(slice_bytes)).withColumn("external_id", F.coalesce("external_id", file_stem(F.col("path"))))
 
 
-def codex(lines: DataFrame) -> DataFrame:
+def codex(lines: DataFrame, slice_bytes: int | None = None) -> DataFrame:
     """Session, directory and model come from context records and hold until the next one."""
     rows = lines.withColumn("v", F.try_parse_json("raw")).where("v is not null")
     v = F.col("v")
@@ -165,7 +170,7 @@ def codex(lines: DataFrame) -> DataFrame:
         F.when(context, string_at(v, p("cwd"))).alias("cwd"), F.when(context, string_at(v, p("model"))).alias("context_model"),
         F.coalesce(timestamp_ms(F.try_variant_get(v, "$.timestamp", "string")), timestamp_ms(F.try_variant_get(v, p("timestamp"), "string"))).alias("ts"),
     ).withColumn("item", F.lit(0))
-    rows = carry(rows, "external_id", "cwd", "context_model", "ts")
+    rows = carry(rows, "external_id", "cwd", "context_model", "ts", slices=_slices(slice_bytes))
     v = F.col("v")
     call, out, text, think = (F.col("item_type").isin(*k) for k in (CODEX_CALLS, CODEX_OUTPUTS, ("message", "agent_message", "plan"), ("reasoning",)))
     response, usage = F.col("type") == "response_item", F.col("type") == "token_usage_record"
@@ -193,7 +198,7 @@ def codex(lines: DataFrame) -> DataFrame:
     )
 
 
-def gemini(lines: DataFrame, chat_roots: DataFrame | None = None) -> DataFrame:
+def gemini(lines: DataFrame, chat_roots: DataFrame | None = None, slice_bytes: int | None = None) -> DataFrame:
     """Lines of a stream, or whole snapshots with offset 0; a line is a message or holds an array of them.
 
     ``chat_roots(folder, cwd)`` are the side files that name a chat folder's working directory; without one it is the folder above the chats.
@@ -202,7 +207,7 @@ def gemini(lines: DataFrame, chat_roots: DataFrame | None = None) -> DataFrame:
     """
     rows = lines.withColumn("v", F.try_parse_json("raw")).where("v is not null").withColumn("item", F.lit(0))
     v = F.col("v")
-    rows = carry(rows.withColumn("session", string_at(v, "$.sessionId")), "session")
+    rows = carry(rows.withColumn("session", string_at(v, "$.sessionId")), "session", slices=_slices(slice_bytes))
     whole = F.array(v)
     nested = F.coalesce(F.try_variant_get(v, "$.messages", BLOCKS), F.try_variant_get(v, "$['$set'].messages", BLOCKS), F.when(kind(v, "$.type") == "STRING", whole), F.expr(EMPTY_BLOCKS))
     # The line itself comes too where it names the session's title or summary.
@@ -237,7 +242,7 @@ def gemini(lines: DataFrame, chat_roots: DataFrame | None = None) -> DataFrame:
     if chat_roots is not None:
         sides = chat_roots.select(F.col("folder").alias("cwd"), nonempty(F.col("cwd")).alias("side_cwd"))
         out = out.join(sides, "cwd", "left").withColumn("cwd", F.coalesce("side_cwd", "cwd")).drop("side_cwd")
-    return carry(out, "ts")
+    return carry(out, "ts", slices=_slices(slice_bytes))
 
 
 ADAPTERS = {"claude": claude, "codex": codex, "gemini": gemini}
