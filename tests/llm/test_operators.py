@@ -508,6 +508,51 @@ def test_toxicity_features_are_counted_over_all_texts(spark):
     assert toxicity.telling(df(positive), df(texts), n, m, prior, 3) == want[:3]
 
 
+def risk_parts(p, u, w, b, prior):
+    """Prior-weighted risk of the positives, and that of the negatives as the prior leaves it, both written out."""
+    z = lambda row: b + sum(w[f] for f in row)
+    loss = lambda x: math.log1p(math.exp(-x)) if x > -30 else -x
+    mean = lambda rows, sign: sum(loss(sign * z(r)) for r in rows) / len(rows)
+    return prior * mean(p, 1), mean(u, -1) - prior * mean(p, -1)
+
+
+def plain_training(p, u, width, prior, steps):
+    """The same descent with slopes taken from differences of the risk; also which steps went back."""
+    x, back = [0.0] * width + [math.log(prior / (1 - prior))], []
+    m, v = [0.0] * (width + 1), [0.0] * (width + 1)
+    for step in range(1, steps + 1):
+        negative = risk_parts(p, u, x[:-1], x[-1], prior)[1]
+        back.append(negative < 0)
+
+        def goal(y):
+            pos, neg = risk_parts(p, u, y[:-1], y[-1], prior)
+            return -neg if back[-1] else pos + neg
+
+        slopes = []
+        for i in range(width + 1):
+            up, down = ([*x[:i], x[i] + d, *x[i + 1 :]] for d in (1e-5, -1e-5))
+            slopes.append((goal(up) - goal(down)) / 2e-5)
+        for i, g in enumerate(slopes):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            x[i] -= toxicity.RATE * (m[i] / (1 - 0.9**step)) / (math.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+        shrink = toxicity.RATE * toxicity.LASSO
+        x = [*(math.copysign(max(0.0, abs(c) - shrink), c) for c in x[:-1]), x[-1]]
+    return x, back
+
+
+@pytest.mark.parametrize(("positive", "unlabelled", "goes_back"), [
+    ([[0], [0, 1], [0, 2]], [[0, 1], [0], [0, 2], [1], [2], [1, 2], []], False),  # they hold more of the positives' mark than the prior
+    ([[0], [0, 1], [0]], [[1], [2], [2, 1], [2]], True),  # no unlabelled row looks toxic, so the negatives' part falls below zero
+])
+def test_toxicity_training_follows_the_risk(monkeypatch, positive, unlabelled, goes_back):
+    steps = 40
+    monkeypatch.setattr(toxicity, "STEPS", steps)
+    want, back = plain_training(positive, unlabelled, 3, 0.3, steps)
+    w, b = toxicity.train(positive, unlabelled, 3, 0.3)
+    assert any(back) == goes_back
+    assert np.allclose([*w, b], want, atol=1e-3)
+
+
 def test_toxicity_with_small_samples(spark):
     """Bounds below the input's size: the sampled fit still tells the classes apart."""
     rows, labels, bad = toxic_corpus()
