@@ -8,8 +8,9 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
+from threadlake import storage
 from threadlake.functions import sections
-from threadlake.operators import search, segments
+from threadlake.operators import search, segments, topk
 from threadlake.sources import documents, ranges
 
 ROW = "id bigint, prose string, tool_invocation string, tool_output string, reasoning string"
@@ -126,3 +127,54 @@ def test_ranges_are_read_together(spark, tmp_path):
     asked = [("x", str(path), 10 * k, 9) for k in (4999, 3, 3, 7, 4000)] + [("x", str(path), 49_995, 9), ("x", str(tmp_path / "none"), 0, 5)]
     got = ranges.read_ranges(spark.createDataFrame(asked, "agent string, path string, byte_offset bigint, byte_length bigint")).collect()
     assert sorted(r["raw"] for r in got) == ["000000003", "000000007", "000004000", "000004999"]
+
+
+def test_best_blocks_give_the_same_page(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["the", "then", "of", "to", "tea", "red", "blue", "green"]
+    texts = [(i, " ".join(rng.choices(words, weights=[1, 1, 6, 4, 1, 9, 9, 9], k=rng.choice([1, 3, 8, 20, 60])))) for i in range(-40, 900)]
+    texts += [(2000 + i, "the of tea") for i in range(30)] + [(3000, None), (3001, " "), (3002, "!?")]  # ties, and rows without words
+    rows = spark.createDataFrame(texts, "id bigint, text string").repartition(3)
+    corpus = spark.createDataFrame([(i, "claude" if i % 3 else "other", i, i % 7 == 0, i % 11 == 0, f"/p{i % 2}") for i, _ in texts], "id bigint, agent string, ts bigint, has_error boolean, had_error boolean, project_key string")
+    supported = spark.createDataFrame([("claude",)], "agent string")
+    plain, ranked = search.build_index(rows), topk.build(rows, block_docs=8)
+    ranked = topk.Ranked(storage.save(ranked.blocks, "blocks"), ranked.corpus)
+    assert ranked.blocks.select(F.sum("docs")).first()[0] == plain.postings.count()
+    page = lambda df: [(r["id"], round(r["score"], 9), r["has_more"]) for r in df.collect()]
+    cases = [('"the"', {}), ("th", {}), ('"of" t', {}), ('"red blue"', {}), ("re", {"errors_only": True}), ('"of" "tea"', {"project": "/p1", "since": 300}), ('"the" nowhere', {}), ("-", {})]
+    monkeypatch.setattr(topk, "BLOCK_DOCS", 8)  # what the first round's size follows
+    for pushed in (256, 0):
+        monkeypatch.setattr(topk, "PUSHED", pushed)
+        for text, only in cases if pushed else cases[:1]:
+            got = topk.top(corpus, ranked, supported, text, limit=7, **only)
+            want = search.search(corpus, plain, supported, text, sort="relevance", limit=7, **only) if search.parse_query(text) else None
+            assert page(got.rows) == (page(want) if want is not None else []), text
+            if text in ('"the"', "th"):
+                assert 0 < got.read < got.matching // 2, (text, got.read, got.matching)
+    # Pages by cursor, through ties, are the whole ranking.
+    seen, cursor = [], None
+    for _ in range(4):
+        got = topk.top(corpus, ranked, supported, '"the of"', limit=9, cursor=cursor).rows
+        seen += page(got)
+        cursor = search.next_cursor(got, "relevance")
+    whole = page(search.search(corpus, plain, supported, '"the of"', sort="relevance", limit=36))
+    assert [r[:2] for r in seen] == [r[:2] for r in whole]
+    nothing = topk.build(rows.limit(0))
+    assert topk.top(corpus, nothing, supported, "th").rows.count() == 0
+
+
+def test_best_blocks_bound_every_message(spark):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choices("a ab abc b c".split(), k=rng.randint(1, 30)))) for i in range(300)]
+    ranked = topk.build(spark.createDataFrame(texts, "id bigint, text string"), block_docs=16)
+    ranked = topk.Ranked(storage.save(ranked.blocks, "blocks"), ranked.corpus)
+    total, avg_len = ranked.corpus.select("total", "avg_len").first()
+    for text in ('"a"', "a", '"a b"', '"c" b-a'):
+        phrases = search.parse_query(text)
+        df = topk.frequencies(ranked, phrases)
+        index = search.Index(topk.postings(ranked.blocks), ranked.corpus)
+        assert df == [search.match(index.postings, [p]).count() for p in phrases]
+        of_block = ranked.blocks.select(F.explode("ids").alias("id"), "block").distinct()
+        best = {r["block"]: -r["s"] for r in search.bm25(index, phrases).join(of_block, "id").groupBy("block").agg(F.min("score").alias("s")).collect()}
+        held = {r["block"]: r["bound"] for r in topk.bounds(ranked, phrases, df, total, avg_len).collect()}
+        assert best.keys() <= held.keys() and all(best[b] <= held[b] for b in best), text

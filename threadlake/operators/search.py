@@ -128,8 +128,8 @@ def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame
     return Index(**storage.kept(spark, f"search-{name}", f"{state}-{kind}", tables))
 
 
-def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """``(id, phrase, tf, n)``: how often each phrase stands in each row that has it, and the row's length."""
+def slots_of(phrases: list[Phrase]) -> tuple[Column, Column]:
+    """For a row of postings: whether its token is wanted, and the places ``(phrase, offset, size)`` it can take."""
 
     def fits(word: str, open_end: bool) -> Column:
         return F.startswith("token", F.lit(word)) if open_end else F.col("token") == word
@@ -139,6 +139,12 @@ def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
     any_slot = slots[0][2]
     for _, _, cond in slots[1:]:
         any_slot = any_slot | cond
+    return any_slot, wanted
+
+
+def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """``(id, phrase, tf, n)``: how often each phrase stands in each row that has it, and the row's length."""
+    any_slot, wanted = slots_of(phrases)
     # A phrase stands where all its words agree on one start.
     starts = postings.where(any_slot).select("id", "n", F.explode(wanted).alias("s"), "positions").select("id", "n", "s.*", F.explode("positions").alias("pos"))
     found = starts.groupBy("id", "n", "phrase", "size", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("words")).where("words = size")  # a start and an offset name one token
@@ -150,24 +156,26 @@ def match(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
     return phrase_hits(postings, phrases).groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") == len(phrases)).select("id")
 
 
+def side_by_side(hits: DataFrame, phrases: int) -> DataFrame:
+    """``(id, n, tf0, tf1, ...)``: a row's counts of all phrases; null where a phrase is not there."""
+    return hits.groupBy("id", "n").agg(*[F.sum(F.when(F.col("phrase") == k, F.col("tf"))).alias(f"tf{k}") for k in range(phrases)])
+
+
+def weigh(total: Column, df: Column, tf: Column, n: Column, avg_len: Column) -> Column:
+    """What a phrase adds to a row's score, higher for better; it grows with ``tf`` and falls with ``n``."""
+    x = F.log((total - df + 0.5) / (df + 0.5))
+    return F.when(x > 0, x).otherwise(F.lit(LEAST_IDF)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / avg_len))
+
+
 def bm25(index: Index, phrases: list[Phrase]) -> DataFrame:
     """``(id, score)`` of the rows that hold every phrase; lower is better.  Corpus figures are of all indexed rows."""
-    hits = phrase_hits(index.postings, phrases)
     # A row's counts side by side, so the phrases' rows are counted in the same pass that scores read.
-    wide = hits.groupBy("id", "n").agg(*[F.sum(F.when(F.col("phrase") == k, F.col("tf"))).alias(f"tf{k}") for k in range(len(phrases))])
+    wide = side_by_side(phrase_hits(index.postings, phrases), len(phrases))
     rows = wide.agg(*[F.count(f"tf{k}").alias(f"df{k}") for k in range(len(phrases))]).crossJoin(F.broadcast(index.corpus))  # one row each
-
-    def idf(k: int) -> Column:
-        x = F.log((F.col("total") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
-        return F.when(x > 0, x).otherwise(F.lit(LEAST_IDF))
-
-    def part(k: int) -> Column:
-        tf = F.col(f"tf{k}")
-        return idf(k) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))
-
-    score = part(0)
-    for k in range(1, len(phrases)):
-        score = score + part(k)  # null if a phrase is not there
+    parts = [weigh(F.col("total"), F.col(f"df{k}"), F.col(f"tf{k}"), F.col("n"), F.col("avg_len")) for k in range(len(phrases))]
+    score = parts[0]
+    for p in parts[1:]:
+        score = score + p  # null if a phrase is not there
     return wide.crossJoin(F.broadcast(rows)).select("id", (-score).alias("score")).where("score is not null")
 
 
@@ -218,6 +226,11 @@ def search(corpus: DataFrame, index: Index, supported: DataFrame, text: str, sor
         found, order = after_recency(found, *cursor) if cursor else found, RECENCY()
     else:
         found, order = after_relevance(found, *cursor) if cursor else found, [F.col("score").asc(), F.col("id").desc()]
+    return paged(found, order, limit)
+
+
+def paged(found: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows in this order, and ``has_more``."""
     top = found.orderBy(*order).limit(limit + 1)
     placed = top.withColumn("_place", F.row_number().over(Window.orderBy(*order))).withColumn("has_more", F.count("*").over(Window.partitionBy(F.lit(0))) > limit)  # a page and one row
     return placed.where(F.col("_place") <= limit).orderBy("_place").drop("_place")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from . import storage
 from .functions import scalar, sections
 from .functions.tokens import tokens
-from .operators import browse, dml, index_job, ingest, paging, search, segments, usage
+from .operators import browse, dml, index_job, ingest, paging, search, segments, topk, usage
 from .plans.tables import EPOCH, RATES, Tables
 from .sources import adapters
 from .sources.verified import look_again
@@ -208,6 +208,23 @@ def q2_next_page(t):
     return _documents(t, limit=10, cursor=search.next_cursor(first, "relevance")).select(*_SHOWN, F.round("score", 9).alias("score"))
 
 
+def _best_documents(t: Tables, **options) -> DataFrame:
+    """As :func:`_documents`, from blocks of postings that are read only as far as the page needs."""
+    d = t.raw("documents")
+    ranked = topk.stored(t.spark, "documents", storage.state_of(d), d.select(F.col("doc_id").alias("id"), "text"))
+    return topk.top(_documents_corpus(t), ranked, t.supported(), '"the" of-t', **options).rows.select(*_SHOWN, F.round("score", 9).alias("score"))
+
+
+@register(_BM25.format("", "", 20))
+def q2_best_blocks(t):
+    return _best_documents(t, limit=20)
+
+
+@register(_BM25.format(f"AND agent IN ('claude', 'gemini') AND ts >= {EPOCH + 50_000} AND ts <= {EPOCH + 800_000} AND (has_error OR had_error)", "", 200))
+def q2_best_blocks_filtered(t):
+    return _best_documents(t, agents=["claude", "gemini"], since=EPOCH + 50_000, until=EPOCH + 800_000, errors_only=True)
+
+
 @register("SELECT p.id, canonical_key, display_name, count(*) AS session_count, coalesce(max(last_activity_at), 0) AS last_activity_at FROM project p JOIN session s ON s.project_id = p.id WHERE s.agent <> 'other' GROUP BY ALL")
 def q3_projects(t):
     return browse.projects(t.project(), t.session(), t.supported())
