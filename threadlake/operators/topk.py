@@ -82,7 +82,8 @@ def stored(spark: SparkSession, name: str, state: str, messages: DataFrame, id_c
 
     def tables() -> dict[str, DataFrame]:
         new = build(messages, id_col, text, block_docs)
-        return {"blocks": new.blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block"), "corpus": new.corpus.coalesce(1)}
+        # Written first: the range exchange samples its input, and would fold all texts again.
+        return {"blocks": storage.save(new.blocks, "blocks").repartitionByRange("token", "block").sortWithinPartitions("token", "block"), "corpus": new.corpus.coalesce(1)}
 
     return Ranked(**storage.kept(spark, f"ranked-{name}", f"{state}-{kind}", tables))
 
