@@ -1,19 +1,21 @@
 """Full-text search over a posting table: parse, match, rank, page.
 
-``postings(id, token, positions, n)`` is an ordinary table, stored in order of the
-token, so a query's terms prune the files and row groups it reads; ``n`` is the row's
-number of tokens, and ``corpus`` holds the two figures of all rows that scores need.
+``postings(id, token, positions, n)`` is an ordinary table, each of its files in order of the
+token, so a query's terms prune the row groups and pages it reads; no posting moves between tasks
+when it is stored, and a query's rows are spread over all files.  ``n`` is the row's number of tokens, and ``corpus`` holds the two figures of all rows that scores need.
 :mod:`segments` keeps such an index under change, with a message's sections apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,7 +76,8 @@ class Index(NamedTuple):
 #: A message's sections stand so far apart in its positions; no section has as many tokens.
 SECTION = 1 << 24
 POSTING = "token string, id bigint, positions array<int>, ns array<int>"
-FOLD_ROWS = 50_000
+#: So many tokens are put in order at once, or one longer message's.
+FOLD_TOKENS = 1 << 20
 
 
 def words_of(messages: DataFrame, id_col: str, sections: list[Column]) -> DataFrame:
@@ -84,25 +87,65 @@ def words_of(messages: DataFrame, id_col: str, sections: list[Column]) -> DataFr
     return rows.select("id", "first", F.array(*[tokens(F.col(f"_{k}")) for k in range(len(sections))]).alias("words"))
 
 
+def slices(words: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` tokens each, or one longer row."""
+    sections = words.flatten()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(sections).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)])]
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+class Sorted(NamedTuple):
+    """The postings of some rows in order of token and row: what each is of, and where its positions begin."""
+
+    token: pa.Array
+    rank: np.ndarray
+    row: np.ndarray
+    positions: pa.ListArray
+
+
+def sorted_postings(words: pa.ListArray) -> Sorted:
+    """``words`` has each row's sections; places in section ``k`` start at ``k * SECTION``."""
+    sections = words.flatten()
+    flat = sections.flatten()
+    in_row = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    in_section = pc.list_value_length(sections).to_numpy(zero_copy_only=False)
+    row_of = np.repeat(np.arange(len(words)), in_row)
+    number = np.arange(len(row_of)) - np.repeat(np.cumsum(in_row) - in_row, in_row)
+    at = (np.arange(len(flat)) + np.repeat(number * SECTION - (np.cumsum(in_section) - in_section), in_section)).astype(np.int32)
+    coded = flat.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    key = rank[coded.indices.to_numpy()] * max(1, len(words)) + np.repeat(row_of, in_section)
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    own, row = np.divmod(key[starts], max(1, len(words)))
+    return Sorted(coded.dictionary.take(order).take(pa.array(own)), own, row, lists(starts, pa.array(at[by])))
+
+
+def lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists that begin at these places and follow each other to the end."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+
+
 def fold(words: DataFrame) -> DataFrame:
     """Postings, a message's own put together inside its row: places in section ``k`` start at ``k * SECTION``, ``ns[k]`` counts the tokens up to section ``k``."""
     arrow = pa.schema([("token", pa.string()), ("id", pa.int64()), ("positions", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
         for b in batches:
-            for ident, sections in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                places, ns = defaultdict(list), []
-                for k, words in enumerate(sections):
-                    for i, w in enumerate(words, k * SECTION):
-                        places[w].append(i)
-                    ns.append((ns[-1] if ns else 0) + len(words))
-                rows += [(w, ident, at, ns) for w, at in places.items()]
-                if len(rows) >= FOLD_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+            for lo, hi in slices(b.column(1), FOLD_TOKENS):
+                ids, own = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+                p = sorted_postings(own)
+                k = len(own.flatten()) // len(own)
+                ns = np.cumsum(pc.list_value_length(own.flatten()).to_numpy(zero_copy_only=False).reshape(-1, k), axis=1, dtype=np.int32)[p.row]
+                yield pa.RecordBatch.from_arrays([p.token, ids.take(pa.array(p.row)), p.positions, lists(np.arange(len(ns)) * k, pa.array(ns.ravel()))], schema=arrow)
 
     return words.select("id", "words").mapInArrow(run, POSTING)
 
@@ -115,7 +158,7 @@ def build_index(messages: DataFrame, id_col: str = "id", text: Column | None = N
 
 
 def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
-    """The index of messages in this state, from storage if it is there; else it is built and stored in order of the token.
+    """The index of messages in this state, from storage if it is there; else it is built and stored, each file in order of the token.
 
     What is indexed and the rules that make tokens belong to the state, so another text under the same name is another index.
     """
@@ -123,42 +166,45 @@ def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame
 
     def tables() -> dict[str, DataFrame]:
         new = build_index(messages, id_col, text)
-        return {"postings": new.postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), "corpus": new.corpus.coalesce(1)}
+        return {"postings": new.postings.sortWithinPartitions("token", "id"), "corpus": new.corpus.coalesce(1)}
 
     return Index(**storage.kept(spark, f"search-{name}", f"{state}-{kind}", tables))
 
 
-def slots_of(phrases: list[Phrase]) -> tuple[Column, Column]:
-    """For a row of postings: whether its token is wanted, and the places ``(phrase, offset, size)`` it can take."""
+def fits(phrase: Phrase, i: int) -> Column:
+    """Whether a row of postings has a token for the phrase's word ``i``."""
+    word = phrase.words[i]
+    return F.startswith("token", F.lit(word)) if phrase.prefix and i == len(phrase.words) - 1 else F.col("token") == word
 
-    def fits(word: str, open_end: bool) -> Column:
-        return F.startswith("token", F.lit(word)) if open_end else F.col("token") == word
 
-    slots = [(k, i, fits(w, p.prefix and i == len(p.words) - 1)) for k, p in enumerate(phrases) for i, w in enumerate(p.words)]
-    wanted = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("offset"), F.lit(len(phrases[k].words)).alias("size"))) for k, i, cond in slots]))
-    any_slot = slots[0][2]
-    for _, _, cond in slots[1:]:
-        any_slot = any_slot | cond
-    return any_slot, wanted
+def wanted(phrases: list[Phrase]) -> Column:
+    """Whether a row of postings has a token for any word."""
+    return reduce(lambda a, b: a | b, [fits(p, i) for p in phrases for i in range(len(p.words))])
 
 
-def phrase_hits(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """``(id, phrase, tf, n)``: how often each phrase stands in each row that has it, and the row's length."""
-    any_slot, wanted = slots_of(phrases)
-    # A phrase stands where all its words agree on one start.
-    starts = postings.where(any_slot).select("id", "n", F.explode(wanted).alias("s"), "positions").select("id", "n", "s.*", F.explode("positions").alias("pos"))
-    found = starts.groupBy("id", "n", "phrase", "size", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("words")).where("words = size")  # a start and an offset name one token
-    return found.groupBy("id", "n", "phrase").agg(F.count("*").alias("tf"))
+def _less(i: int) -> Callable[[Column], Column]:
+    return lambda at: at - i
 
 
-def match(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """Ids that hold every phrase."""
-    return phrase_hits(postings, phrases).groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") == len(phrases)).select("id")
+def side_by_side(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """``(id, n, tf0, tf1, ...)``: how often each phrase stands in each row that has any of their words; null where a phrase is not there."""
+    cols, counts = [], []
+    for k, p in enumerate(phrases):
+        if len(p.words) == 1:
+            cols.append(F.sum(F.when(fits(p, 0), F.size("positions"))).alias(f"tf{k}"))
+            counts.append(F.col(f"tf{k}"))
+            continue
+        # A phrase stands where all its words agree on one start; a place holds one token, so no start repeats.
+        starts = [f"s{k}_{i}" for i in range(len(p.words))]
+        cols += [F.flatten(F.collect_list(F.when(fits(p, i), F.transform("positions", _less(i))))).alias(c) for i, c in enumerate(starts)]
+        n = F.size(reduce(F.array_intersect, map(F.col, starts)))
+        counts.append(F.when(n > 0, n.cast("bigint")).alias(f"tf{k}"))
+    return postings.where(wanted(phrases)).groupBy("id", "n").agg(*cols).select("id", "n", *counts)
 
 
-def side_by_side(hits: DataFrame, phrases: int) -> DataFrame:
-    """``(id, n, tf0, tf1, ...)``: a row's counts of all phrases; null where a phrase is not there."""
-    return hits.groupBy("id", "n").agg(*[F.sum(F.when(F.col("phrase") == k, F.col("tf"))).alias(f"tf{k}") for k in range(phrases)])
+def match(postings: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """Ids that hold every phrase."""
+    return side_by_side(postings, phrases).dropna().select("id")
 
 
 def weigh(total: Column, df: Column, tf: Column, n: Column, avg_len: Column) -> Column:
@@ -169,8 +215,8 @@ def weigh(total: Column, df: Column, tf: Column, n: Column, avg_len: Column) ->
 
 def bm25(index: Index, phrases: list[Phrase]) -> DataFrame:
     """``(id, score)`` of the rows that hold every phrase; lower is better.  Corpus figures are of all indexed rows."""
-    # A row's counts side by side, so the phrases' rows are counted in the same pass that scores read.
-    wide = side_by_side(phrase_hits(index.postings, phrases), len(phrases))
+    # A row's counts side by side, so the phrases' rows are counted where scores are read; written, as both read them.
+    wide = storage.save(side_by_side(index.postings, phrases), "hits")
     rows = wide.agg(*[F.count(f"tf{k}").alias(f"df{k}") for k in range(len(phrases))]).crossJoin(F.broadcast(index.corpus))  # one row each
     parts = [weigh(F.col("total"), F.col(f"df{k}"), F.col(f"tf{k}"), F.col("n"), F.col("avg_len")) for k in range(len(phrases))]
     score = parts[0]

@@ -74,7 +74,7 @@ class Segments:
     def _write(self, postings: DataFrame, docs: DataFrame) -> str:
         name = f"segment-{uuid.uuid4().hex[:16]}"
         docs.sortWithinPartitions("id").write.option("compression", "zstd").parquet(f"{self.folder}/{name}/docs")
-        postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.option("compression", "zstd").parquet(f"{self.folder}/{name}/postings")
+        postings.sortWithinPartitions("token", "id").write.option("compression", "zstd").parquet(f"{self.folder}/{name}/postings")
         return name
 
     def update(self, added: DataFrame | None = None, deleted: DataFrame | None = None, id_col: str = "id", sections: Mapping[str, Column] | None = None) -> None:

@@ -9,11 +9,12 @@ blocks that can still reach the page.  Messages of like length share a block, so
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,29 +43,38 @@ def fold_blocks(words: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Rows of ``blocks``, put together inside the tasks; a block has at most ``block_docs`` messages and, but for a longer one, ``BLOCK_TOKENS`` tokens."""
     arrow = pa.schema([("token", pa.string()), ("block", pa.int64()), ("docs", pa.int32()), ("tf", pa.int32()), ("least", pa.int32()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
 
+    def fold(ids: pa.Array, text: pa.ListArray, block: np.ndarray) -> pa.RecordBatch:
+        p = search.sorted_postings(search.lists(np.arange(len(text)), text))
+        n = pc.list_value_length(text).to_numpy(zero_copy_only=False).astype(np.int32)[p.row]
+        starts = np.flatnonzero(np.concatenate([[True], (p.rank[1:] != p.rank[:-1]) | (block[p.row[1:]] != block[p.row[:-1]])]))
+        docs = np.diff(np.append(starts, len(n))).astype(np.int32)
+        tf = np.maximum.reduceat(pc.list_value_length(p.positions).to_numpy(zero_copy_only=False).astype(np.int32), starts)
+        first = pa.array(starts)
+        own = [search.lists(starts, c) for c in (ids.take(pa.array(p.row)), pa.array(n), p.positions)]
+        return pa.RecordBatch.from_arrays([p.token.take(first), pa.array(block[p.row[starts]]), pa.array(docs), pa.array(tf), pa.array(np.minimum.reduceat(n, starts)), *own], schema=arrow)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        block, docs, size = TaskContext.get().partitionId() << 32, 0, 0
-        held: dict[str, list[tuple[int, int, list[int]]]] = defaultdict(list)
+        at, docs, size = TaskContext.get().partitionId() << 32, 0, 0
+        # Messages since the last block that was given on; several whole blocks are put in order at once.
+        ids, texts, blocks, held = [], [], [], 0
 
-        def close() -> pa.RecordBatch:
-            rows = [(w, block, len(own), max(len(p) for _, _, p in own), min(n for _, n, _ in own), *map(list, zip(*own, strict=True))) for w, own in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield fold(pa.concat_arrays(ids), pa.concat_arrays(texts), np.concatenate(blocks))
+            ids.clear(), texts.clear(), blocks.clear()
 
         for b in batches:
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if docs and (docs == block_docs or size + len(text) > BLOCK_TOKENS):
-                    if held:
-                        yield close()
-                    block, docs, size = block + 1, 0, 0
-                    held.clear()
-                places = defaultdict(list)
-                for i, w in enumerate(text):
-                    places[w].append(i)
-                for w, at in places.items():
-                    held[w].append((ident, len(text), at))
-                docs, size = docs + 1, size + len(text)
-        if held:
-            yield close()
+            lo, own = 0, np.empty(len(b.column(0)), np.int64)
+            for i, n in enumerate(pc.list_value_length(b.column(1)).to_pylist()):
+                if docs and (docs == block_docs or size + n > BLOCK_TOKENS):
+                    at, docs, size = at + 1, 0, 0
+                    if held >= search.FOLD_TOKENS:
+                        ids.append(b.column(0)[lo:i]), texts.append(b.column(1)[lo:i]), blocks.append(own[lo:i])
+                        yield from close()
+                        lo, held = i, 0
+                own[i], docs, size, held = at, docs + 1, size + n, held + n
+            ids.append(b.column(0)[lo:]), texts.append(b.column(1)[lo:]), blocks.append(own[lo:])
+        yield from close()
 
     own = words.select("id", F.col("words")[0].alias("text"))
     return own.sortWithinPartitions(F.size("text"), "id").mapInArrow(run, BLOCK)
@@ -77,13 +87,12 @@ def build(messages: DataFrame, id_col: str = "id", text: Column | None = None, b
 
 
 def stored(spark: SparkSession, name: str, state: str, messages: DataFrame, id_col: str = "id", text: Column | None = None, block_docs: int = BLOCK_DOCS) -> Ranked:
-    """The index of messages in this state from storage, written there first if need be, in order of token and block."""
+    """The index of messages in this state from storage, written there first if need be, each file in order of token and block."""
     kind = hashlib.sha256(f"{id_col}|{text}|{token_class()}|{block_docs}".encode()).hexdigest()[:12]
 
     def tables() -> dict[str, DataFrame]:
         new = build(messages, id_col, text, block_docs)
-        # Written first: the range exchange samples its input, and would fold all texts again.
-        return {"blocks": storage.save(new.blocks, "blocks").repartitionByRange("token", "block").sortWithinPartitions("token", "block"), "corpus": new.corpus.coalesce(1)}
+        return {"blocks": new.blocks.sortWithinPartitions("token", "block"), "corpus": new.corpus.coalesce(1)}
 
     return Ranked(**storage.kept(spark, f"ranked-{name}", f"{state}-{kind}", tables))
 
@@ -102,11 +111,11 @@ def frequencies(ranked: Ranked, phrases: list[Phrase]) -> list[int]:
     parts = []
     for k, p in enumerate(phrases):
         if len(p.words) > 1:
-            one = search.phrase_hits(postings(ranked.blocks), [p]).agg(F.count("*").alias("df"))
+            one = search.side_by_side(postings(ranked.blocks), [p]).agg(F.count("tf0").alias("df"))
         elif p.prefix:
-            one = ranked.blocks.where(search.slots_of([p])[0]).select(F.explode("ids").alias("id")).distinct().agg(F.count("*").alias("df"))
+            one = ranked.blocks.where(search.wanted([p])).select(F.explode("ids").alias("id")).distinct().agg(F.count("*").alias("df"))
         else:
-            one = ranked.blocks.where(search.slots_of([p])[0]).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("df"))
+            one = ranked.blocks.where(search.wanted([p])).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("df"))
         parts.append(one.select(F.lit(k).alias("k"), "df"))
     out = parts[0]
     for p in parts[1:]:
@@ -119,8 +128,8 @@ def bounds(ranked: Ranked, phrases: list[Phrase], df: list[int], total: int, avg
 
     A phrase stands no more often than its rarest word, and a message with all of them is no shorter than the longest of their shortest.
     """
-    any_slot, wanted = search.slots_of(phrases)
-    slots = ranked.blocks.where(any_slot).select("block", "tf", "least", F.explode(wanted).alias("s")).select("block", "tf", "least", "s.*")
+    slot = F.array_compact(F.array(*[F.when(search.fits(p, i), F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("offset"), F.lit(len(p.words)).alias("size"))) for k, p in enumerate(phrases) for i in range(len(p.words))]))
+    slots = ranked.blocks.where(search.wanted(phrases)).select("block", "tf", "least", F.explode(slot).alias("s")).select("block", "tf", "least", "s.*")
     # Words with one beginning can all stand in one message.
     by_word = slots.groupBy("block", "phrase", "size", "offset").agg(F.sum("tf").alias("tf"), F.min("least").alias("least"))
     by_phrase = by_word.groupBy("block", "phrase", "size").agg(F.count("*").alias("words"), F.min("tf").alias("tf"), F.max("least").alias("least")).where("words = size")
@@ -175,7 +184,6 @@ def top(corpus: DataFrame, ranked: Ranked, supported: DataFrame, text: str, limi
     if not all(df):
         return Page(empty, 0, 0)
     held = storage.save(bounds(ranked, phrases, df, total, avg_len), "bounds")
-    any_slot = search.slots_of(phrases)[0]
     order = [F.col("score").asc(), F.col("id").desc()]
     found: DataFrame | None = None
     above, read, safe = float("inf"), 0, False
@@ -191,8 +199,8 @@ def top(corpus: DataFrame, ranked: Ranked, supported: DataFrame, text: str, limi
         chosen = held.where((F.col("bound") < above) & (F.col("bound") >= end))
         n = chosen.count()
         if n:
-            lists = _lists(ranked.blocks.where(any_slot), chosen, n)
-            wide = search.side_by_side(search.phrase_hits(postings(lists), phrases), len(phrases))
+            lists = _lists(ranked.blocks.where(search.wanted(phrases)), chosen, n)
+            wide = search.side_by_side(postings(lists), phrases)
             hits = wide.select("id", (-_score(df, total, avg_len, "n")).alias("score")).where("score is not null")
             rows = search.filters(corpus, supported, **only).join(hits, "id")
             rows = storage.save(search.after_relevance(rows, *cursor) if cursor else rows, "round")
