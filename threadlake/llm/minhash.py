@@ -329,13 +329,15 @@ def _merge(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _components(sigs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """``(rid, comp)`` of the nodes that are linked with another; None if there are none."""
+    """``(rid, comp)`` of the nodes that are linked with another; None if there are none.  ``sigs`` is read here for the last time and removed."""
     bands = sigs.join(nodes, "rid").select(F.explode("bands").alias("key"), "rid")
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = save(bands.join(shared, "key").select("key", "rid"), "buckets")
     met = buckets.select("rid").distinct()
-    texts = save(texts.join(met, "rid"), "texts")
+    # Signatures first, so that those of all documents are gone before texts move: texts and their shuffle take the most room.
     packed = save(sigs.select("rid", "n", "sig", "bands").join(met, "rid"), "packed")
+    drop(sigs)
+    texts = save(texts.join(met, "rid"), "texts")
     label, links = None, []
     for turn in range(PIVOT_ROUNDS + 1):
         here = buckets.withColumn("label", F.col("rid")) if label is None else buckets.join(label, "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
@@ -382,7 +384,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         members = members.join(comp.withColumnRenamed("rid", "node"), "node", "left").select("rid", "n", F.coalesce("comp", "node").alias("node"))
     # Decisions are made on ids; whole records move once, to meet theirs.
     named = save(members.join(staged.select("rid", ident), "rid"), "named")
-    drop(sigs)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
     heads = named.groupBy("node").agg(F.count("*").alias("size"), first.alias("first")).where("size > 1").select("node", "first")
     decided = named.join(heads, "node", "left").select(
