@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from threadlake.functions import tokens
 from threadlake.operators import search, segments, topk
 
 
@@ -79,3 +80,33 @@ def test_blocks_go_on_across_batches(spark):
         ns = [len(said[i].split()) for i in r["ids"]]
         assert r["positions"] == [[k for k, w in enumerate(said[i].split()) if w == r["token"]] for i in r["ids"]]
         assert r["ns"] == ns and r["least"] == min(ns) and r["tf"] == max(map(len, r["positions"])) and r["docs"] == len(ns)
+
+
+def test_texts_of_a_batch_are_split_as_a_query_is():
+    rng = random.Random(3)
+    parts = ["the", "Of", "É", "é", "́", "ß", "İ", "Σ", "ΑΣ", "日本", "😀", "\U0001d518", "", "ǅ", "1", "-", " ", "\n"]
+    texts = [None, *("".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(500)), "", "plain", "ascii"]
+    for piece in (1, 64, 1 << 19):
+        kept, tokens.PIECE = tokens.PIECE, piece
+        got = tokens.split(pa.array(texts, pa.string())[1:], tokens.folds()).to_pylist()
+        tokens.PIECE = kept
+        assert got == [tokens.tokenise(t) for t in texts[1:]]
+
+
+def test_a_stored_index_holds_a_token_once_a_task_and_its_texts_not_their_tokens(spark, monkeypatch):
+    saved, made = {}, {}
+    save = search.storage.save
+    monkeypatch.setattr(search.storage, "save", lambda df, tag: saved.setdefault(tag, save(df, tag)))
+    monkeypatch.setattr(search.storage, "kept", lambda spark, name, state, tables: made.setdefault("tables", tables()))
+    texts = [(i, "the of to tea " * (i % 4) + f"W{i % 5}") for i in range(40)]
+    index = search.stored_index(spark, "a", "s", spark.createDataFrame(texts, "id bigint, text string").coalesce(1))
+    assert set(saved) == {"texts"} and {r["id"]: r["texts"] for r in saved["texts"].collect()} == {i: [t] for i, t in texts}
+    held = made["tables"]["postings"]
+    assert sorted(r["token"] for r in held.collect()) == sorted({w for _, t in texts for w in t.lower().split()})
+    want = search.build_index(spark.createDataFrame(texts, "id bigint, text string"))
+    columns = ["token", "id", "positions", "n"]
+    assert sorted(map(tuple, index.postings.select(columns).collect())) == sorted(map(tuple, want.postings.select(columns).collect()))
+    assert index.corpus.collect() == want.corpus.collect()
+    # What a search asks for is asked of the stored rows, before they are taken apart.
+    plan = index.postings.where(search.wanted(search.parse_query("th")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("StartsWith")

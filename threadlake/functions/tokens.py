@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import sqlite3
 import unicodedata
+import zlib
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +69,68 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(folded, F.lit("")), F.lit(token_class()), 0)
 
 
+#: So many bytes of text are taken apart at once.
+PIECE = 1 << 19
+SIGMA = "\u03a3"
+
+
+@lru_cache(1)
+def folds() -> bytes:
+    """For each code point what it is in a token, 0 if it parts tokens, -1 if it leaves no trace; packed, as tasks get it from the driver."""
+    marks, late = dict(zip(*folding(), strict=True)), {cp for a, b in late_symbols() for cp in range(a, b + 1)}
+    out = np.zeros(0x11_0000, np.int32)
+    for cp in range(len(out)):
+        if not 0xD800 <= cp < 0xE000:
+            kept = [c for c in (marks.get(c, c) for c in chr(cp).lower()) if unicodedata.category(c) != "Mn"]
+            kind = unicodedata.category(kept[0]) if kept else ""
+            out[cp] = -1 if not kept else ord(kept[0]) if kind[0] in "LN" or kind == "Co" or ord(kept[0]) in late else 0
+    return zlib.compress(out.tobytes())
+
+
+@lru_cache(1)
+def _table(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int32)
+
+
+def split(texts: pa.StringArray, packed: bytes) -> pa.ListArray:
+    """The same for a batch of texts, on whole arrays; ``packed`` is :func:`folds`'."""
+    ends = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False), dtype=np.int64)
+    out, lo = [], 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PIECE, "right")))
+        out.append(_split(texts[lo:hi], _table(packed)))
+        lo = hi
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+
+def _split(texts: pa.StringArray, table: np.ndarray) -> pa.ListArray:
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring(texts, SIGMA)).as_py():  # what this letter becomes depends on its place in a word
+        texts = pa.array([t.lower() if SIGMA in t else t for t in texts.to_pylist()], pa.string())
+    raw = b"".join(texts.cast(pa.binary()).to_pylist())
+    code = np.frombuffer(raw if raw.isascii() else raw.decode().encode("utf-32-le"), np.uint8 if raw.isascii() else np.uint32)
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    own = table[code]
+    kept = own >= 0
+    if not kept.all():
+        own, ends = own[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+    token = own > 0
+    first = token.copy()
+    first[1:] &= ~token[:-1]
+    rows = ends[:-1][np.diff(ends) > 0]
+    first[rows] = token[rows]  # no token goes on into the next text
+    starts = np.flatnonzero(first)
+    letters = own[token].astype(np.uint32)
+    at = np.concatenate([[0], np.cumsum(token)])[starts] if len(starts) else starts
+    if raw.isascii():
+        data = letters.astype(np.uint8).tobytes()
+    else:
+        data = letters.tobytes().decode("utf-32-le").encode()
+        at = np.concatenate([[0], np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x1_0000))])[at]
+    flat = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, ends).astype(np.int32)), flat)
+
+
 def _is_token(c: str) -> bool:
     return unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" or any(a <= ord(c) <= b for a, b in late_symbols())
 

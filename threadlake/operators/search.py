@@ -1,6 +1,6 @@
 """Full-text search over a posting table: parse, match, rank, page.
 
-``postings(id, token, positions, n)`` is an ordinary table, each of its files in order of the
+``postings(id, token, positions, n)`` is an ordinary table, stored with a token's postings of about a million tokens as lists in one row and each file in order of the
 token, so a query's terms prune the row groups and pages it reads; no posting moves between tasks
 when it is stored, and a query's rows are spread over all files.  ``n`` is the row's number of tokens, and ``corpus`` holds the two figures of all rows that scores need.
 :mod:`segments` keeps such an index under change, with a message's sections apart.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import storage
-from ..functions.tokens import token_class, tokenise, tokens
+from ..functions.tokens import folds, split, token_class, tokenise
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PAGE = 200
@@ -76,15 +76,55 @@ class Index(NamedTuple):
 #: A message's sections stand so far apart in its positions; no section has as many tokens.
 SECTION = 1 << 24
 POSTING = "token string, id bigint, positions array<int>, ns array<int>"
+LISTS = "token string, ids array<bigint>, ns array<int>, positions array<array<int>>"
 #: So many tokens are put in order at once, or one longer message's.
 FOLD_TOKENS = 1 << 20
 
 
-def words_of(messages: DataFrame, id_col: str, sections: list[Column]) -> DataFrame:
-    """``(id, first, words)`` of messages with text: the first section that is not blank, and each section's tokens."""
+def texts_of(messages: DataFrame, id_col: str, sections: list[Column]) -> DataFrame:
+    """``(id, first, texts)`` of messages with text: the first section that is not blank, and all sections."""
     first = F.coalesce(*[F.when(F.trim(c) != "", F.lit(k)) for k, c in enumerate(sections)])
-    rows = messages.select(F.col(id_col).cast("bigint").alias("id"), first.alias("first"), *[c.alias(f"_{k}") for k, c in enumerate(sections)]).where("first is not null")
-    return rows.select("id", "first", F.array(*[tokens(F.col(f"_{k}")) for k in range(len(sections))]).alias("words"))
+    return messages.select(F.col(id_col).cast("bigint").alias("id"), first.alias("first"), F.array(*sections).alias("texts")).where("first is not null")
+
+
+def in_tasks(rows: DataFrame, columns: list[str], run: Callable[[Iterator[tuple[pa.Array, ...]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the texts of :func:`texts_of` in tasks: it gets the columns named and ``words``, each row's sections as tokens.
+
+    Texts are written once and become tokens where they are needed: tokens as rows' lists cost more to write and read than to make again.
+    """
+    table = folds()
+
+    def words(batches) -> Iterator[tuple[pa.Array, ...]]:
+        for b in batches:
+            texts = b.column(len(columns))
+            in_row = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+            own = split(texts.flatten(), table)
+            yield *b.columns[: len(columns)], lists(np.cumsum(in_row) - in_row, own)
+
+    return rows.select(*columns, "texts").mapInArrow(lambda batches: run(words(batches)), schema)
+
+
+def lengths(texts: DataFrame) -> DataFrame:
+    """``(id, first, ns)`` of these rows: ``ns[k]`` counts the tokens up to section ``k``."""
+    arrow = pa.schema([("id", pa.int64()), ("first", pa.int32()), ("ns", pa.list_(pa.int32()))])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for ids, first, words in batches:
+            ns = counts(words)
+            yield pa.RecordBatch.from_arrays([ids, first, lists(np.arange(len(ns)) * ns.shape[1], pa.array(ns.ravel()))], schema=arrow)
+
+    return in_tasks(texts, ["id", "first"], run, "id bigint, first int, ns array<int>")
+
+
+def counts(words: pa.ListArray) -> np.ndarray:
+    """For each row, how many tokens stand up to each section."""
+    sections = words.flatten()
+    return np.cumsum(pc.list_value_length(sections).to_numpy(zero_copy_only=False).reshape(len(words), -1 if len(words) else 1), axis=1, dtype=np.int32)
+
+
+def figures(texts: DataFrame) -> DataFrame:
+    """One row: how many messages have text, and their mean number of tokens."""
+    return lengths(texts).agg(F.count("*").alias("total"), F.avg(F.col("ns")[0]).alias("avg_len"))
 
 
 def slices(words: pa.ListArray, most: int) -> Iterator[tuple[int, int]]:
@@ -121,11 +161,13 @@ def sorted_postings(words: pa.ListArray) -> Sorted:
     order = pc.sort_indices(coded.dictionary)
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(len(order))
-    key = rank[coded.indices.to_numpy()] * max(1, len(words)) + np.repeat(row_of, in_section)
-    by = np.argsort(key, kind="stable")
-    key = key[by]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    own, row = np.divmod(key[starts], max(1, len(words)))
+    # Tokens stand in order of their rows, so a token's number is the rest of the key: plain integers are sorted, several times as fast as an order of them.
+    bits = len(flat).bit_length()
+    key = np.sort((rank[coded.indices.to_numpy()] << bits) | np.arange(len(flat)))
+    own, by = key >> bits, key & ((1 << bits) - 1)
+    row = np.repeat(row_of, in_section)[by]
+    starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+    own, row = own[starts], row[starts]
     return Sorted(coded.dictionary.take(order).take(pa.array(own)), own, row, lists(starts, pa.array(at[by])))
 
 
@@ -134,27 +176,46 @@ def lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
 
 
-def fold(words: DataFrame) -> DataFrame:
-    """Postings, a message's own put together inside its row: places in section ``k`` start at ``k * SECTION``, ``ns[k]`` counts the tokens up to section ``k``."""
+def fold(texts: DataFrame) -> DataFrame:
+    """Postings of :func:`texts_of`, a message's own put together inside its row: places in section ``k`` start at ``k * SECTION``, ``ns[k]`` counts the tokens up to section ``k``."""
     arrow = pa.schema([("token", pa.string()), ("id", pa.int64()), ("positions", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in slices(b.column(1), FOLD_TOKENS):
-                ids, own = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
-                p = sorted_postings(own)
-                k = len(own.flatten()) // len(own)
-                ns = np.cumsum(pc.list_value_length(own.flatten()).to_numpy(zero_copy_only=False).reshape(-1, k), axis=1, dtype=np.int32)[p.row]
-                yield pa.RecordBatch.from_arrays([p.token, ids.take(pa.array(p.row)), p.positions, lists(np.arange(len(ns)) * k, pa.array(ns.ravel()))], schema=arrow)
+        for ids, words in batches:
+            for lo, hi in slices(words, FOLD_TOKENS):
+                own = words[lo:hi]
+                p, ns = sorted_postings(own), counts(own)
+                yield pa.RecordBatch.from_arrays([p.token, ids[lo:hi].take(pa.array(p.row)), p.positions, lists(np.arange(len(p.row)) * ns.shape[1], pa.array(ns[p.row].ravel()))], schema=arrow)
+
+    return in_tasks(texts, ["id"], run, POSTING)
+
+
+def fold_lists(texts: DataFrame) -> DataFrame:
+    """Postings of texts of one section, those of one token in about ``FOLD_TOKENS`` tokens as lists in one row: a tenth of the rows to sort and store, with the same entries."""
+    arrow = pa.schema([("token", pa.string()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for ids, words in batches:
+            for lo, hi in slices(words, FOLD_TOKENS):
+                p = sorted_postings(words[lo:hi])
+                starts = np.flatnonzero(np.concatenate([[True], p.rank[1:] != p.rank[:-1]])) if len(p.rank) else p.rank
+                n = counts(words[lo:hi])[p.row, 0]
+                own = [lists(starts, c) for c in (ids[lo:hi].take(pa.array(p.row)), pa.array(n), p.positions)]
+                yield pa.RecordBatch.from_arrays([p.token.take(pa.array(starts)), *own], schema=arrow)
+
+    return in_tasks(texts, ["id"], run, LISTS)
+
 
-    return words.select("id", "words").mapInArrow(run, POSTING)
+def one_by_one(held: DataFrame) -> DataFrame:
+    """Lists of postings as :class:`Index` has them, one row a token and message; conditions on tokens hold before they are taken apart."""
+    one = F.explode(F.arrays_zip("ids", "ns", "positions")).alias("one")
+    return held.select("token", one).select("token", F.col("one.ids").alias("id"), F.col("one.positions").alias("positions"), F.col("one.ns").alias("n"))
 
 
 def build_index(messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
-    """Postings of all messages whose text is not blank, and ``(total, avg_len)``; texts are tokenised once."""
-    words = storage.save(words_of(messages, id_col, [F.col("text") if text is None else text]), "words")
-    postings = fold(words).select("token", "id", "positions", F.col("ns")[0].alias("n"))
-    return Index(postings, words.agg(F.count("*").alias("total"), F.avg(F.size(F.col("words")[0])).alias("avg_len")))
+    """Postings of all messages whose text is not blank, and ``(total, avg_len)``."""
+    texts = storage.save(texts_of(messages, id_col, [F.col("text") if text is None else text]), "texts")
+    return Index(fold(texts).select("token", "id", "positions", F.col("ns")[0].alias("n")), figures(texts))
 
 
 def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame, id_col: str = "id", text: Column | None = None) -> Index:
@@ -162,13 +223,14 @@ def stored_index(spark: SparkSession, name: str, state: str, messages: DataFrame
 
     What is indexed and the rules that make tokens belong to the state, so another text under the same name is another index.
     """
-    kind = hashlib.sha256(f"{id_col}|{text}|{token_class()}".encode()).hexdigest()[:12]
+    kind = hashlib.sha256(f"lists|{id_col}|{text}|{token_class()}".encode()).hexdigest()[:12]
 
     def tables() -> dict[str, DataFrame]:
-        new = build_index(messages, id_col, text)
-        return {"postings": new.postings.sortWithinPartitions("token", "id"), "corpus": new.corpus.coalesce(1)}
+        texts = storage.save(texts_of(messages, id_col, [F.col("text") if text is None else text]), "texts")
+        return {"postings": fold_lists(texts).sortWithinPartitions("token"), "corpus": figures(texts).coalesce(1)}
 
-    return Index(**storage.kept(spark, f"search-{name}", f"{state}-{kind}", tables))
+    held = storage.kept(spark, f"search-{name}", f"{state}-{kind}", tables)
+    return Index(one_by_one(held["postings"]), held["corpus"])
 
 
 def fits(phrase: Phrase, i: int) -> Column:

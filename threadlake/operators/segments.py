@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sections import SCOPES
 from ..storage import create_text, names_in, read_text, remove, save
-from .search import POSTING, SECTION, Index, fold, words_of
+from .search import POSTING, SECTION, Index, fold, lengths, texts_of
 from .store import Conflict
 
 FANOUT = 8
@@ -85,10 +85,10 @@ class Segments:
         """
         at, log = self._last(), self.log()
         gone = deleted.select(F.col(id_col).cast("bigint").alias("id")) if deleted is not None else None
-        words = None
+        texts = None
         if added is not None:
             where = [(sections or {}).get(n) if sections is not None else F.col(n) for n in WIDEST]
-            words = save(words_of(added, id_col, [F.coalesce(c, F.lit("")) if c is not None else F.lit("") for c in where]), "words")
+            texts = save(texts_of(added, id_col, [F.coalesce(c, F.lit("")) if c is not None else F.lit("") for c in where]), "texts")
             named = added.select(F.col(id_col).cast("bigint").alias("id"))
             gone = named if gone is None else gone.unionByName(named)
         # Only ids that are in the index are deleted, and what they counted is taken off the sums.
@@ -102,12 +102,11 @@ class Segments:
                 lost.select("id").write.option("compression", "zstd").parquet(f"{self.folder}/{name}/deleted")
                 log["deletions"].append({"name": name, "seq": seq})
                 figures = [[a - c, b - d] for (a, b), (c, d) in zip(figures, off, strict=True)]
-        if words is not None:
-            ns = [F.aggregate(F.slice("words", 1, k + 1), F.lit(0), lambda a, w: a + F.size(w)) for k in range(len(WIDEST))]
-            docs = words.select("id", "first", F.array(*ns).alias("ns"))
+        if texts is not None:
+            docs = save(lengths(texts), "docs")
             n = docs.count()
             if n:
-                log["segments"].append({"name": self._write(fold(words), docs), "rows": n, "applied": seq})
+                log["segments"].append({"name": self._write(fold(texts), docs), "rows": n, "applied": seq})
                 figures = [[a + c, b + d] for (a, b), (c, d) in zip(figures, self._figures(docs), strict=True)]
         log |= {"seq": seq, "figures": figures}
         self._merge(log)

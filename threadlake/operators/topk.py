@@ -39,7 +39,7 @@ class Ranked(NamedTuple):
     corpus: DataFrame
 
 
-def fold_blocks(words: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def fold_blocks(texts: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Rows of ``blocks``, put together inside the tasks; a block has at most ``block_docs`` messages and, but for a longer one, ``BLOCK_TOKENS`` tokens."""
     arrow = pa.schema([("token", pa.string()), ("block", pa.int64()), ("docs", pa.int32()), ("tf", pa.int32()), ("least", pa.int32()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
 
@@ -56,34 +56,34 @@ def fold_blocks(words: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         at, docs, size = TaskContext.get().partitionId() << 32, 0, 0
         # Messages since the last block that was given on; several whole blocks are put in order at once.
-        ids, texts, blocks, held = [], [], [], 0
+        ids, held_texts, blocks, held = [], [], [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                yield fold(pa.concat_arrays(ids), pa.concat_arrays(texts), np.concatenate(blocks))
-            ids.clear(), texts.clear(), blocks.clear()
+                yield fold(pa.concat_arrays(ids), pa.concat_arrays(held_texts), np.concatenate(blocks))
+            ids.clear(), held_texts.clear(), blocks.clear()
 
-        for b in batches:
-            lo, own = 0, np.empty(len(b.column(0)), np.int64)
-            for i, n in enumerate(pc.list_value_length(b.column(1)).to_pylist()):
+        for own_ids, words in batches:
+            text = words.flatten()
+            lo, own = 0, np.empty(len(own_ids), np.int64)
+            for i, n in enumerate(pc.list_value_length(text).to_pylist()):
                 if docs and (docs == block_docs or size + n > BLOCK_TOKENS):
                     at, docs, size = at + 1, 0, 0
                     if held >= search.FOLD_TOKENS:
-                        ids.append(b.column(0)[lo:i]), texts.append(b.column(1)[lo:i]), blocks.append(own[lo:i])
+                        ids.append(own_ids[lo:i]), held_texts.append(text[lo:i]), blocks.append(own[lo:i])
                         yield from close()
                         lo, held = i, 0
                 own[i], docs, size, held = at, docs + 1, size + n, held + n
-            ids.append(b.column(0)[lo:]), texts.append(b.column(1)[lo:]), blocks.append(own[lo:])
+            ids.append(own_ids[lo:]), held_texts.append(text[lo:]), blocks.append(own[lo:])
         yield from close()
 
-    own = words.select("id", F.col("words")[0].alias("text"))
-    return own.sortWithinPartitions(F.size("text"), "id").mapInArrow(run, BLOCK)
+    return search.in_tasks(texts.sortWithinPartitions(F.length(F.col("texts")[0]), "id"), ["id"], run, BLOCK)
 
 
 def build(messages: DataFrame, id_col: str = "id", text: Column | None = None, block_docs: int = BLOCK_DOCS) -> Ranked:
     """The index of all messages whose text is not blank; an id stands for one message, a null id is none."""
-    words = storage.save(search.words_of(messages, id_col, [F.col("text") if text is None else text]), "words")
-    return Ranked(fold_blocks(words, block_docs), words.agg(F.count("*").alias("total"), F.avg(F.size(F.col("words")[0])).alias("avg_len")))
+    texts = storage.save(search.texts_of(messages, id_col, [F.col("text") if text is None else text]), "texts")
+    return Ranked(fold_blocks(texts, block_docs), search.figures(texts))
 
 
 def stored(spark: SparkSession, name: str, state: str, messages: DataFrame, id_col: str = "id", text: Column | None = None, block_docs: int = BLOCK_DOCS) -> Ranked:
@@ -99,8 +99,7 @@ def stored(spark: SparkSession, name: str, state: str, messages: DataFrame, id_c
 
 def postings(blocks: DataFrame) -> DataFrame:
     """The lists of blocks as :class:`search.Index` has them, one row a token and message."""
-    one = F.explode(F.arrays_zip("ids", "ns", "positions")).alias("one")
-    return blocks.select("token", one).select("token", F.col("one.ids").alias("id"), F.col("one.positions").alias("positions"), F.col("one.ns").alias("n"))
+    return search.one_by_one(blocks)
 
 
 def frequencies(ranked: Ranked, phrases: list[Phrase]) -> list[int]:
