@@ -126,11 +126,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
     Alternates two star contractions: a node hangs its larger neighbours, then
     its smaller ones, on the smallest; the edge set shrinks to stars in about
-    log rounds.  Each round is a partial ``min`` and a join on the node, so a
+    log rounds, and ends as soon as it is stars.  Each round is a partial ``min`` and a join on the node, so a
     hub's edges are pre-aggregated, and AQE splits the join's hot partitions.
     """
     edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -139,9 +138,9 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         old, edges = edges, save(small, tag)
         drop(old)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).groupBy("e.node")
+        # All are stars, each on its smallest node, once no node hangs on two, or hangs on one and holds others.
+        if ends.agg(F.sum("e.up").alias("up"), F.min("e.up").alias("holds")).where("up > 1 or (up = 1 and holds = 0)").isEmpty():
             break
-        seen = now
     leaves = edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

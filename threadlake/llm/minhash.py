@@ -33,6 +33,8 @@ HASHES, BITS, BANDS, ROWS = 512, 4, 40, 5
 #: Under 0.66 an estimate agrees in at most 348; of pairs at the threshold about one in 250,000 does.
 LEAST_ESTIMATE = 0.66
 PIVOT_ROUNDS = 4
+#: Where the pairs that are left are at most this many a bucket member, they are all met at once instead of in further rounds with pivots.
+FEW_PAIRS = 8
 #: Documents on the two sides of a block of signatures, and on those of a square of shingle sets; squares of long documents hold fewer.
 BLOCK_LEFT, BLOCK_RIGHT = 1_024, 4_096
 SQUARE_LEFT, SQUARE_RIGHT, SQUARE_SHINGLES = 64, 256, 4_096
@@ -119,12 +121,9 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def estimate(a, b):
     """Collision-corrected similarity of two packed signatures, by bit counts of equal four-bit lanes."""
     lanes = F.lit(0x1111111111111111)
-    differing = F.lit(0)
-    for i in range(HASHES * BITS // 64):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differing = differing + F.bit_count(x.bitwiseAND(lanes))
+    # Lambdas over the longs: written out for each of them, the expression would be most of its plan, and of the driver's memory.
+    pairs = F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)))
+    differing = F.aggregate(pairs, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(lanes)))
     chance = 2.0**-BITS
     return (1 - differing / HASHES - chance) / (1 - chance)
 
@@ -289,9 +288,10 @@ def _with_pivots(live: DataFrame, packed: DataFrame, first_round: bool) -> DataF
     longer = F.greatest(F.lit(0), F.ceil(F.log2(F.col("na") / SQUARE_SHINGLES))).cast("int")
     slots = F.ceil(F.col("m") / F.greatest(F.lit(1), F.lit(SQUARE_RIGHT) / F.pow(F.lit(2), longer))).cast("bigint")
     pairs = rated.select(F.xxhash64("b", longer, F.pmod(F.xxhash64("a"), slots)).alias("square"), "a", "b", "ca", "cb")
-    whole = pairs.select("square", "a", "ca", F.array("b").alias("bs"), F.array("cb").alias("cbs"))
+    # One row says what to compare, two that a square needs a document's set; a union would work the pairs out twice.
     none = [F.lit(0).cast("bigint").alias("ca"), *[F.lit(None).cast("array<bigint>").alias(n) for n in ("bs", "cbs")]]
-    return save(whole.unionByName(pairs.select("square", F.explode(F.array("a", "b")).alias("a"), *none)), "candidates")
+    rows = F.array(F.struct("a", "ca", F.array("b").alias("bs"), F.array("cb").alias("cbs")), *[F.struct(F.col(side).alias("a"), *none) for side in ("a", "b")])
+    return save(pairs.select("square", F.explode(rows).alias("row")).select("square", "row.*"), "candidates")
 
 
 def _with_all(live: DataFrame, packed: DataFrame) -> DataFrame:
@@ -348,16 +348,18 @@ def _components(sigs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
         pivots = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("most"), F.min("pivot").alias("pivot")).where((F.col("most.n") < F.col("m")) & (F.col("m") > (2 if turn else 1)))
         live = save(here.join(pivots, "key").select("key", "rid", "label", "m", F.col("most.label").alias("most"), F.col("pivot.rid").alias("pivot"), F.col("pivot.label").alias("pivot_label")), "live")
         drop(buckets)
-        if live.isEmpty():
+        left = live.agg(F.count("*").alias("members"), F.sum(F.when(F.col("label") != F.col("most"), F.col("m"))).alias("pairs")).first()
+        if not left["members"]:
             break
-        last = turn == PIVOT_ROUNDS
+        last = turn == PIVOT_ROUNDS or left["pairs"] <= FEW_PAIRS * left["members"]
         candidates = _with_all(live, packed) if last else _with_pivots(live, packed.drop("bands"), turn == 0)
         links.append(_links(candidates, texts))
         drop(candidates)
-        if not last:
-            label = _merge(label, links[-1])
-            buckets = live.select("key", "rid")
-            buckets.saved_at = live.saved_at
+        if last:
+            break
+        label = _merge(label, links[-1])
+        buckets = live.select("key", "rid")
+        buckets.saved_at = live.saved_at
     every = reduce(DataFrame.unionByName, links) if links else None
     comp = None if every is None or every.isEmpty() else components(every.select("a", "b")).select(F.col("node").alias("rid"), "comp")
     drop(texts, packed, live, *links)
