@@ -35,6 +35,15 @@ def test_few_pairs_need_no_rounds_with_pivots(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.report(docs).collect()} == got and rounds
 
 
+def test_rounds_with_pivots_end_when_they_leave_most_pairs(spark, monkeypatch):
+    """Documents that share buckets and are not linked."""
+    docs = spark.createDataFrame([(i, " ".join([f"w{k}" for k in range(75)] + [f"d{i}n{k}" for k in range(20)])) for i in range(12)], "doc_id bigint, text string")
+    rounds, with_pivots = [], minhash._with_pivots
+    monkeypatch.setattr(minhash, "_with_pivots", lambda *a: rounds.append(1) or with_pivots(*a))
+    monkeypatch.setattr(minhash, "FEW_PAIRS", -1)
+    assert all(r["component_id"] == r["doc_id"] for r in minhash.report(docs).collect()) and 0 < len(rounds) < minhash.PIVOT_ROUNDS
+
+
 def test_estimate_is_a_short_expression(spark):
     df = spark.createDataFrame([([1] * 32, [1] * 32)], "a array<bigint>, b array<bigint>").select(minhash.estimate(F.col("a"), F.col("b")))
     assert len(df._jdf.queryExecution().analyzed().toString()) < 4_000 and df.first()[0] == 1

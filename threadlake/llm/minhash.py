@@ -338,7 +338,7 @@ def _components(sigs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     packed = save(sigs.select("rid", "n", "sig", "bands").join(met, "rid"), "packed")
     drop(sigs)
     texts = save(texts.join(met, "rid"), "texts")
-    label, links = None, []
+    label, links, before = None, [], None
     for turn in range(PIVOT_ROUNDS + 1):
         here = buckets.withColumn("label", F.col("rid")) if label is None else buckets.join(label, "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
         # Per bucket: a random member as pivot, and the label that most members have.
@@ -351,7 +351,10 @@ def _components(sigs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
         left = live.agg(F.count("*").alias("members"), F.sum(F.when(F.col("label") != F.col("most"), F.col("m"))).alias("pairs")).first()
         if not left["members"]:
             break
-        last = turn == PIVOT_ROUNDS or left["pairs"] <= FEW_PAIRS * left["members"]
+        # A round that leaves most pairs as they were would be followed by more of that kind.
+        stalled = before is not None and 4 * left["pairs"] > 3 * before
+        last = turn == PIVOT_ROUNDS or stalled or left["pairs"] <= FEW_PAIRS * left["members"]
+        before = left["pairs"]
         candidates = _with_all(live, packed) if last else _with_pivots(live, packed.drop("bands"), turn == 0)
         links.append(_links(candidates, texts))
         drop(candidates)
